@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spotloom.llm import byte_bpe, decontaminate, secret_scan
+from spotloom.llm import byte_bpe, decontaminate, fm_quality, secret_scan, simhash
 
-MODULES = (secret_scan, decontaminate, byte_bpe)
+MODULES = (secret_scan, decontaminate, byte_bpe, fm_quality, simhash)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
