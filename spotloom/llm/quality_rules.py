@@ -79,7 +79,7 @@ def measured(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return found.select(*keys, F.col("w.n").alias("n_words"), "word_chars", "n_symbols", (F.col("l.n") - F.col("l.d")).alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), F.col("l.n").alias("n_lines"))
 
 
-BASE_FAILED = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+BASE_FAILED = f"(n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words)"
 
 
 def _bucket(name: str) -> Column:
@@ -90,7 +90,7 @@ def _bucket(name: str) -> Column:
 def sketches(m: DataFrame) -> DataFrame:
     """Counts by (lang, source, measure, bucket) of the texts that pass the base rules."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _bucket(k).alias("bucket")) for k in MEASURES]))
-    return m.where(~BASE_FAILED).select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
+    return m.where(f"NOT {BASE_FAILED}").select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -131,7 +131,7 @@ def judged(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
             out = out | (_bucket(k) < F.col(f"lo_{k}"))
     # every (lang, source) with a row that passes the base rules has bounds; the others need none
     j = m.join(bounds, ["lang", "source"], "left")
-    return j.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", BASE_FAILED.alias("base_failed"), (~BASE_FAILED & ~F.coalesce(out, F.lit(False))).alias("kept"))
+    return j.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), (~F.expr(BASE_FAILED) & ~F.coalesce(out, F.lit(False))).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
