@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spotloom.llm import byte_bpe, decontaminate, fm_quality, quality_rules, secret_scan, simhash
+from spotloom.llm import byte_bpe, decontaminate, fm_quality, quality_rules, secret_scan, simhash, url_filter
 
-MODULES = (secret_scan, decontaminate, byte_bpe, fm_quality, simhash, quality_rules)
+MODULES = (secret_scan, decontaminate, byte_bpe, fm_quality, simhash, quality_rules, url_filter)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
