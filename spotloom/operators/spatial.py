@@ -89,7 +89,7 @@ def support(counts: DataFrame, edges: DataFrame, weighted: bool = False) -> Data
 def site_support(counts: DataFrame, edges: DataFrame, least: float = 0.3) -> DataFrame:
     """Mean of a site's positive supports (0 if none), and whether that is enough."""
     s = support(counts, edges).groupBy("site").agg(F.coalesce(F.avg(F.when(F.col("support") > 0, F.col("support"))), F.lit(0.0)).alias("score"))
-    return s.withColumn("valid", F.col("score") >= least)
+    return s.withColumn("valid", F.round("score", 9) >= least)
 
 
 def consistent_counts(counts: DataFrame, edges: DataFrame, least: float = 0.3) -> DataFrame:

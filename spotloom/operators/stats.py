@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def rank_sum(df: DataFrame, by: list[str], value: str = "value", group: str = "g
 
 def normal_p(z: str):
     """Two-sided normal p of a column, at most 1; one row a test, so this is no hot path."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(s: pd.Series) -> pd.Series:
         return s.map(lambda v: min(1.0, math.erfc(v / math.sqrt(2))) if v == v and v is not None else None).astype("float64")

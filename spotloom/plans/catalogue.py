@@ -541,7 +541,7 @@ def _(v):
     return v.sites.withColumn("k", F.row_number().over(Window.partitionBy("gene", "chr", "reads").orderBy("site"))).where("k = 1").select("gene", "chr", "site")
 
 
-@add("set05_requantify", "SELECT chr, strand, island, spot, CAST(sum(count) AS BIGINT) AS count FROM counts JOIN isl USING (site) GROUP BY ALL", _islands_sql(10))
+@add("set05_requantify", "SELECT chr, strand, CAST(island AS BIGINT) AS island, spot, CAST(sum(count) AS BIGINT) AS count FROM counts JOIN isl USING (site) GROUP BY ALL", _islands_sql(10))
 def _(v):
     i = intervals.islands(v.sites, ["chr", "strand"], "s", "e", 10, "site").select("site", "chr", "strand", "island")
     return v.counts.join(i, "site").groupBy("chr", "strand", "island", "spot").agg(F.sum("count").alias("count"))
@@ -631,3 +631,465 @@ def _(v):
 def _(v):
     s = F.col("padj") < 0.05
     return _adjusted(v).select("gene", r6(-F.log10(F.col("p") + 1e-300), "y"), F.when(s & (F.col("log2fc") > 0.01), "up").when(s & (F.col("log2fc") < -0.01), "down").otherwise("ns").alias("class"))
+
+
+# --- spatial -----------------------------------------------------------------------------------
+
+_W = _KNN + """,
+wi AS (SELECT src, dst, d2, v / sum(v) OVER (PARTITION BY src) AS w FROM (SELECT *, 1 / (sqrt(d2) + 1e-6) AS v FROM knn)),
+sym AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn))"""
+
+
+@add("spa01_weights", "SELECT src, dst, round(w, 6) AS w FROM wi", _W)
+def _(v):
+    return rounded(spatial.weights(_knn(v)), "w")
+
+
+@add("spa02_symmetric", "SELECT src, dst, round(w, 6) AS w FROM sym", _W)
+def _(v):
+    return rounded(spatial.symmetric(_knn(v)), "w")
+
+
+_SUP = _W + f""",
+big AS (SELECT site, spot, CASE WHEN count > 30 THEN count ELSE 0 END AS count FROM counts),
+sup AS (
+  SELECT a.site, a.spot, count(b.spot) / {K}.0 AS support, coalesce(sum(w.w) FILTER (b.spot IS NOT NULL), 0) AS weighted
+  FROM big a JOIN wi w ON a.spot = w.src LEFT JOIN big b ON b.site = a.site AND b.spot = w.dst AND b.count > 0 WHERE a.count > 0 GROUP BY a.site, a.spot)"""
+
+
+def _big(v):
+    return v.counts.select("site", "spot", F.when(F.col("count") > 30, F.col("count")).otherwise(0).alias("count"))
+
+
+@add("spa03_site_support", "SELECT site, round(coalesce(avg(support) FILTER (support > 0), 0), 6) AS score, round(coalesce(avg(support) FILTER (support > 0), 0), 9) >= 0.3 AS valid FROM sup GROUP BY site", _SUP)
+def _(v):
+    return rounded(spatial.site_support(_big(v), _knn(v)), "score")
+
+
+@add("spa04_weighted_support", "SELECT site, spot, round(weighted, 6) AS support FROM sup", _SUP)
+def _(v):
+    return rounded(spatial.support(_big(v), _knn(v), weighted=True), "support")
+
+
+@add("spa05_consistent", "SELECT big.site, big.spot, CASE WHEN coalesce(support, 0) >= 0.3 THEN count ELSE 0 END AS count FROM big LEFT JOIN sup USING (site, spot)", _SUP)
+def _(v):
+    return spatial.consistent_counts(_big(v), _knn(v))
+
+
+_MORAN = _W + """,
+zz AS (SELECT gene, spot, value - avg(value) OVER (PARTITION BY gene) AS z FROM obs),
+own AS (SELECT gene, count(*) AS n, sum(z * z) AS ss FROM zz GROUP BY gene),
+cross_ AS (SELECT a.gene, sum(w) AS s0, sum(w * a.z * b.z) AS c, sum(w * (a.z - b.z) * (a.z - b.z)) AS g FROM zz a JOIN sym ON a.spot = sym.src JOIN zz b ON b.gene = a.gene AND b.spot = sym.dst GROUP BY a.gene)"""
+
+
+@add("spa06_07_autocorrelation", "SELECT gene, n, round(CASE WHEN n >= 3 AND ss > 1e-12 AND s0 > 0 THEN n / s0 * c / ss END, 6) AS morans_i, round(CASE WHEN n >= 3 AND ss > 1e-12 AND s0 > 0 THEN (n - 1) / (2 * s0) * g / ss END, 6) AS gearys_c FROM own LEFT JOIN cross_ USING (gene)", _MORAN)
+def _(v):
+    return rounded(spatial.autocorrelation(v.observed, spatial.symmetric(_knn(v))), "morans_i", "gearys_c")
+
+
+@add("spa08_permutation")
+def _(v):
+    return impute.permutation_p(v.usage, spatial.symmetric(_knn(v)), 49)
+
+
+@add("spa09_table")
+def _(v):
+    t = impute.permutation_p(v.usage, spatial.symmetric(_knn(v)), 49).where("n >= 10").withColumn("c", F.lit(1))
+    return stats.adjust(t, ["c"]).drop("c").withColumn("significant", F.col("padj") < 0.05)
+
+
+@add("spa10_moments", "SELECT round((SELECT sum(pow(coalesce(a.w, 0) + coalesce(b.w, 0), 2)) / 2 FROM sym a FULL JOIN sym b ON a.src = b.dst AND a.dst = b.src), 5) AS s1, round(sum(t * t), 5) AS s2, round(sum(t) / 2, 5) AS s0 FROM (SELECT k, sum(w) AS t FROM (SELECT src AS k, w FROM sym UNION ALL SELECT dst, w FROM sym) GROUP BY k)", _W)
+def _(v):
+    m = spatial.moran_moments(spatial.symmetric(_knn(v)))
+    return m.select(*[F.round(c, 5).alias(c) for c in ("s1", "s2", "s0")])
+
+
+@add("spa16_similarity", "SELECT a.gene AS a, b.gene AS b, count(*) AS n, round(corr(a.value, b.value), 5) AS pearson, round(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value)), 5) AS cosine FROM obs a JOIN obs b ON a.spot = b.spot AND b.gene = a.gene + 1 GROUP BY ALL HAVING count(*) >= 3")
+def _(v):
+    b = v.observed.select(F.col("gene").alias("b"), (F.col("gene") - 1).alias("a"), "spot", F.col("value").alias("y"))
+    j = v.observed.select(F.col("gene").alias("a"), "spot", F.col("value").alias("x")).join(b, ["a", "spot"])
+    cosine = F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))
+    return j.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 5).alias("pearson"), F.round(cosine, 5).alias("cosine")).where("n >= 3")
+
+
+@add("spa20_fidelity", "SELECT round(corr(a, b), 5) AS fidelity FROM (SELECT pred - avg(pred) OVER (PARTITION BY gene) AS a, m - avg(m) OVER (PARTITION BY gene) AS b FROM (SELECT p.gene, p.spot, p.truth + 0.01 * (p.spot % 5) AS pred, avg(q.truth) AS m FROM pred p JOIN knn ON p.spot = knn.src JOIN pred q ON q.gene = p.gene AND q.spot = knn.dst GROUP BY p.gene, p.spot, p.truth))", _KNN)
+def _(v):
+    p = v.pred.withColumn("pred", F.col("truth") + 0.01 * (F.col("spot") % 5))
+    return spatial.fidelity(p, _knn(v)).select(F.round("fidelity", 5).alias("fidelity"))
+
+
+# --- tests -------------------------------------------------------------------------------------
+
+_GROUPS = "gr AS (SELECT gene, value, CASE WHEN domain = 0 THEN 1 ELSE 2 END AS g FROM obs JOIN spot USING (spot))"
+_U = _GROUPS + """,
+rk AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY gene, value) AS t FROM gr),
+us AS (SELECT gene, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 2) AS n2, sum(r) FILTER (g = 1) - count(*) FILTER (g = 1) * (count(*) FILTER (g = 1) + 1) / 2 AS u, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM rk GROUP BY gene)"""
+
+
+def _groups(v):
+    return v.observed.join(v.spots, "spot").select("gene", "value", F.when(F.col("domain") == 0, 1).otherwise(2).alias("g"))
+
+
+@add("sta01_rank_sum", "SELECT gene, n1, n2, u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 5) AS z FROM us WHERE n1 > 0 AND n2 > 0", _U)
+def _(v):
+    return stats.rank_sum(_groups(v), ["gene"]).withColumn("z", F.round("z", 5))
+
+
+@add("sta01_p_values")
+def _(v):
+    return stats.rank_sum(_groups(v), ["gene"]).withColumn("p", stats.normal_p("z"))
+
+
+_WELCH = _GROUPS + ", we AS (SELECT gene, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 2) AS n2, avg(value) FILTER (g = 1) AS m1, avg(value) FILTER (g = 2) AS m2, var_samp(value) FILTER (g = 1) AS v1, var_samp(value) FILTER (g = 2) AS v2 FROM gr GROUP BY gene)"
+
+
+@add("sta02_welch", "SELECT gene, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) AS t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS df FROM we WHERE n1 > 1 AND n2 > 1", _WELCH)
+def _(v):
+    return stats.welch(_groups(v), ["gene"]).select("gene", F.round("t", 5).alias("t"), F.round("df", 4).alias("df"))
+
+
+@add("sta05_adjust", "SELECT gene, round(padj, 6) AS bh, round(least(1.0, p * (SELECT count(*) FROM diff)), 6) AS bonferroni, round(least(1.0, padj_raw * (SELECT sum(1.0 / i) FROM range(1, 1 + (SELECT count(*) FROM diff)) t(i))), 6) AS by_ FROM (SELECT *, min(p * m / k) OVER (ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING) AS padj_raw, least(1.0, min(p * m / k) OVER (ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, gene) AS k FROM diff))")
+def _(v):
+    d = v.diff.withColumn("c", F.lit(1))
+    a = stats.adjust(d, ["c"]).select("gene", r6(F.col("padj"), "bh"))
+    b = stats.adjust(d, ["c"], method="bonferroni").select("gene", r6(F.col("padj"), "bonferroni"))
+    c = stats.adjust(d, ["c"], method="by").select("gene", r6(F.col("padj"), "by_"))
+    return a.join(b, "gene").join(c, "gene")
+
+
+@add("sta06_all_pairs", "SELECT a, b, gene, sum(r) FILTER (domain = a) - count(*) FILTER (domain = a) * (count(*) FILTER (domain = a) + 1) / 2 AS u FROM (SELECT a, b, gene, domain, rank() OVER (PARTITION BY a, b, gene ORDER BY value) + (count(*) OVER (PARTITION BY a, b, gene, value) - 1) / 2.0 AS r FROM obs JOIN spot USING (spot) JOIN (SELECT 0 AS a, 1 AS b UNION ALL SELECT 0, 2 UNION ALL SELECT 1, 2) ON domain = a OR domain = b) GROUP BY a, b, gene HAVING count(*) FILTER (domain = a) > 0 AND count(*) FILTER (domain = b) > 0")
+def _(v):
+    pairs = F.filter(F.expr("array(struct(0 AS a, 1 AS b), struct(0 AS a, 2 AS b), struct(1 AS a, 2 AS b))"), lambda p: (p["a"] == F.col("domain")) | (p["b"] == F.col("domain")))
+    j = v.observed.join(v.spots, "spot").withColumn("p", F.explode(pairs)).select("p.*", "gene", "value", F.when(F.col("domain") == F.col("p.a"), 1).otherwise(2).alias("g"))
+    return stats.rank_sum(j, ["a", "b", "gene"]).select("a", "b", "gene", "u")
+
+
+@add("sta07_markers", "SELECT d AS domain, gene, round(log2((avg(value) FILTER (domain <> d) + 1e-6) / (avg(value) FILTER (domain = d) + 1e-6)), 6) AS log2fc_rest_over_domain FROM obs JOIN spot USING (spot), (SELECT DISTINCT domain AS d FROM spot) GROUP BY d, gene HAVING count(*) FILTER (domain = d) > 0 AND count(*) FILTER (domain <> d) > 0")
+def _(v):
+    per = v.observed.join(v.spots, "spot").groupBy("gene", "domain").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    w = Window.partitionBy("gene")
+    m = per.withColumn("rest_n", F.sum("n").over(w) - F.col("n")).withColumn("rest", F.when(F.col("rest_n") > 0, F.try_divide(F.sum("s").over(w) - F.col("s"), F.col("rest_n"))))
+    return m.where("rest_n > 0").select("domain", "gene", r6(F.log2((F.col("rest") + 1e-6) / (F.col("s") / F.col("n") + 1e-6)), "log2fc_rest_over_domain"))
+
+
+@add("sta12_slope", "SELECT round(regr_slope(log10(n + 1), log10(total + 1)), 5) AS slope FROM (SELECT gene, count(*) AS n, sum(total) AS total FROM gindex GROUP BY gene HAVING count(*) > 0)")
+def _(v):
+    g = quantify.gene_index(v.counts, v.sites, 0).groupBy("gene").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+    return g.agg(F.round(F.regr_slope(F.log10(F.col("n") + 1), F.log10(F.col("total") + 1)), 5).alias("slope"))
+
+
+# --- imputation and uncertainty ----------------------------------------------------------------
+
+
+@add("imp14_gene_mean", "SELECT gene, spot, round(coalesce(value, avg(value) OVER (PARTITION BY gene)), 6) AS imputed FROM usage")
+def _(v):
+    return impute.by_gene(v.usage).select("gene", "spot", r6(F.col("imputed"), "imputed"))
+
+
+@add("imp14_gene_median", "SELECT gene, spot, round(coalesce(value, median(value) OVER (PARTITION BY gene)), 6) AS imputed FROM usage")
+def _(v):
+    return impute.by_gene(v.usage, "median").select("gene", "spot", r6(F.col("imputed"), "imputed"))
+
+
+@add("imp15_neighbours", "SELECT u.gene, u.spot, round(coalesce(u.value, m.m, avg(u.value) OVER (PARTITION BY u.gene)), 6) AS imputed FROM usage u LEFT JOIN (SELECT o.gene, knn.src AS spot, avg(o.value) AS m FROM knn JOIN obs o ON o.spot = knn.dst GROUP BY ALL) m ON u.gene = m.gene AND u.spot = m.spot", _KNN)
+def _(v):
+    return impute.by_neighbours(v.usage, _knn(v)).select("gene", "spot", r6(F.col("imputed"), "imputed"))
+
+
+@add("imp06_length_scale", "SELECT round(median(sqrt(d2)), 6) AS length_scale FROM knn WHERE rank = 5", _KNN)
+def _(v):
+    return _knn(v).where("rank = 5").agg(r6(F.percentile(F.sqrt(F.col("d2").cast("double")), F.lit(0.5)), "length_scale"))
+
+
+@add("imp04_inducing_grid", "SELECT i, j, round(x0 + (x1 - x0) * i / 4, 6) AS x, round(y0 + (y1 - y0) * j / 4, 6) AS y FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM spot), range(5) a(i), range(5) b(j)")
+def _(v):
+    b = v.spots.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    g = b.withColumn("i", F.explode(F.expr("sequence(0L, 4L)"))).withColumn("j", F.explode(F.expr("sequence(0L, 4L)")))
+    return g.select("i", "j", r6(F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("i") / 4, "x"), r6(F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("j") / 4, "y"))
+
+
+def _grid(v, m: int = 6):
+    import numpy as np
+
+    x0, x1, y0, y1 = v.spots.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return np.array([(x, y) for x in np.linspace(x0, x1, m) for y in np.linspace(y0, y1, m)])
+
+
+@add("imp03_05_sparse_gp")
+def _(v):
+    return impute.sparse_gp(v.usage, v.spots, _grid(v), 150.0, 0.3)
+
+
+@add("dom15_likelihood_ratio")
+def _(v):
+    return impute.likelihood_ratio(v.usage, v.spots, [50.0, 150.0, 400.0])
+
+
+_LOCAL = _KNN + ", loc AS (SELECT o.gene, o.spot, o.value, count(n.value) AS k, avg(n.value) AS m, var_pop(n.value) AS var FROM obs o LEFT JOIN knn ON knn.src = o.spot LEFT JOIN obs n ON n.gene = o.gene AND n.spot = knn.dst GROUP BY o.gene, o.spot, o.value)"
+
+
+@add("imp07_local_noise", "SELECT gene, round(greatest(pow(1.4826 * median(abs(value - m)), 2) * 1000, 1e-3), 5) AS noise FROM loc WHERE m IS NOT NULL GROUP BY gene", _LOCAL)
+def _(v):
+    loc = spatial.local_statistics(v.observed, _knn(v)).where("mean IS NOT NULL")
+    mad = F.percentile(F.abs(F.col("value") - F.col("mean")), F.lit(0.5))
+    return loc.groupBy("gene").agg(F.round(F.greatest(F.pow(1.4826 * mad, 2) * 1000, F.lit(1e-3)), 5).alias("noise"))
+
+
+@add("imp08_spot_noise", "SELECT gene, spot, round(greatest(coalesce(CASE WHEN k >= 2 THEN var END, var_pop(value) OVER (PARTITION BY gene), 0.01), 1e-6) * 1000, 4) AS noise FROM loc", _LOCAL)
+def _(v):
+    loc = spatial.local_statistics(v.observed, _knn(v))
+    n = F.coalesce(F.when(F.col("n") >= 2, F.col("var")), F.var_pop("value").over(Window.partitionBy("gene")), F.lit(0.01))
+    return loc.select("gene", "spot", F.round(F.greatest(n, F.lit(1e-6)) * 1000, 4).alias("noise"))
+
+
+_CONF = """
+fl AS (SELECT greatest(max(std) * 1e-3, 1e-12) AS floor_ FROM pred WHERE part = 0),
+sc AS (SELECT abs(truth - pred) / greatest(std, floor_) AS s FROM pred, fl WHERE part = 0),
+q AS (SELECT s AS q FROM (SELECT s, row_number() OVER (ORDER BY s) AS k, count(*) OVER () AS n FROM sc) WHERE k = ceil(least(1.0, ceil((n + 1) * 0.9) / n) * (n - 1)) + 1)"""
+
+
+def _q(v):
+    return stats.conformal(v.pred.where("part = 0"), 0.1)
+
+
+@add("imp18_conformal", "SELECT round(q, 6) AS q FROM q", _CONF)
+def _(v):
+    return _q(v).select(r6(F.col("q"), "q"))
+
+
+@add("imp19_intervals", "SELECT gene, spot, round(pred - q * greatest(std, floor_), 6) AS lo, round(pred + q * greatest(std, floor_), 6) AS hi FROM pred, fl, q WHERE part = 1", _CONF)
+def _(v):
+    return rounded(stats.intervals(v.pred.where("part = 1"), _q(v)).select("gene", "spot", "lo", "hi"), "lo", "hi")
+
+
+_IV = _CONF + ", iv AS (SELECT *, pred - q * greatest(std, floor_) AS lo, pred + q * greatest(std, floor_) AS hi FROM pred, fl, q WHERE part = 1)"
+_COV = "round(avg(CAST(truth BETWEEN lo AND hi AS DOUBLE)), 6) AS coverage, round(avg(hi - lo), 6) AS width, round(avg(hi - lo + 20 * greatest(lo - truth, 0) + 20 * greatest(truth - hi, 0)), 6) AS interval_score"
+
+
+@add("imp20_21_coverage", f"SELECT {_COV} FROM iv", _IV)
+def _(v):
+    return rounded(stats.coverage(stats.intervals(v.pred.where("part = 1"), _q(v)), 0.1, []), "coverage", "width", "interval_score")
+
+
+@add("imp22_by_domain", f"SELECT domain, {_COV} FROM iv JOIN spot USING (spot) GROUP BY domain", _IV)
+def _(v):
+    iv = stats.intervals(v.pred.where("part = 1"), _q(v)).join(v.spots.select("spot", "domain"), "spot")
+    return rounded(stats.coverage(iv, 0.1, ["domain"]), "coverage", "width", "interval_score")
+
+
+@add("imp23_calibration", "SELECT round(avg(CAST(abs(truth - pred) <= greatest(std, 1e-6) AS DOUBLE)), 6) AS within_1, round(avg(CAST(abs(truth - pred) <= 1.96 * greatest(std, 1e-6) AS DOUBLE)), 6) AS within_2, round(avg(0.5 * ln(2 * pi() * pow(greatest(std, 1e-6), 2)) + pow(truth - pred, 2) / (2 * pow(greatest(std, 1e-6), 2))), 5) AS nll, round(corr(std, abs(truth - pred)), 5) AS r FROM pred")
+def _(v):
+    s, d = F.greatest("std", F.lit(1e-6)), F.abs(F.col("truth") - F.col("pred"))
+    return v.pred.agg(r6(F.avg((d <= s).cast("double")), "within_1"), r6(F.avg((d <= 1.96 * s).cast("double")), "within_2"), F.round(F.avg(0.5 * F.log(2 * F.pi() * s * s) + d * d / (2 * s * s)), 5).alias("nll"), F.round(F.corr("std", d), 5).alias("r"))
+
+
+# --- evaluation --------------------------------------------------------------------------------
+
+
+@add("eva01_errors", "SELECT gene, count(*) AS n, round(sqrt(avg(pow(pred - truth, 2))), 6) AS rmse, round(avg(abs(pred - truth)), 6) AS mae, round(1 - avg(pow(pred - truth, 2)) / var_pop(truth), 5) AS r2 FROM pred GROUP BY gene HAVING var_pop(truth) > 1e-12")
+def _(v):
+    return stats.errors(["gene"], v.pred).where("r2 IS NOT NULL").select("gene", "n", r6(F.col("rmse"), "rmse"), r6(F.col("mae"), "mae"), F.round("r2", 5).alias("r2"))
+
+
+@add("eva02_spearman", "SELECT gene, round(corr(a, b), 5) AS spearman FROM (SELECT gene, rank() OVER (PARTITION BY gene ORDER BY std) + (count(*) OVER (PARTITION BY gene, std) - 1) / 2.0 AS a, rank() OVER (PARTITION BY gene ORDER BY truth) + (count(*) OVER (PARTITION BY gene, truth) - 1) / 2.0 AS b FROM pred) GROUP BY gene")
+def _(v):
+    return stats.spearman(v.pred, ["gene"], "std", "truth").withColumn("spearman", F.round("spearman", 5))
+
+
+@add("eva03_quality", "SELECT count(*) AS n, round(avg(std), 6) AS mean_std, round(median(std), 6) AS median_std, round(max(std), 6) AS max_std, round(corr(std, abs(pred - truth)), 5) AS r FROM pred")
+def _(v):
+    return v.pred.agg(F.count("*").alias("n"), r6(F.avg("std"), "mean_std"), r6(F.percentile("std", F.lit(0.5)), "median_std"), r6(F.max("std"), "max_std"), F.round(F.corr("std", F.abs(F.col("pred") - F.col("truth"))), 5).alias("r"))
+
+
+_FOLD = "fo AS (SELECT gene, spot, value, CAST('0x' || substr(md5(gene || '/' || spot), 1, 6) AS BIGINT) % 4 AS fold FROM obs)"
+
+
+def _folds(v):
+    return v.observed.withColumn("fold", F.conv(F.substring(F.md5(F.concat_ws("/", "gene", "spot")), 1, 6), 16, 10).cast("bigint") % 4)
+
+
+@add("eva04_cross_validation", "SELECT f AS fold, count(*) AS n, round(sqrt(avg(pow(value - m, 2))), 6) AS rmse FROM (SELECT k.fold AS f, k.value, (s.s - t.s) / (s.n - t.n) AS m FROM fo k JOIN (SELECT gene, sum(value) AS s, count(*) AS n FROM fo GROUP BY gene) s USING (gene) JOIN (SELECT gene, fold, sum(value) AS s, count(*) AS n FROM fo GROUP BY gene, fold) t ON t.gene = k.gene AND t.fold = k.fold WHERE s.n > t.n) GROUP BY f", _FOLD)
+def _(v):
+    f, g, gf = _folds(v), Window.partitionBy("gene"), Window.partitionBy("gene", "fold")
+    t = f.withColumn("n", F.count("*").over(g) - F.count("*").over(gf)).withColumn("s", F.sum("value").over(g) - F.sum("value").over(gf)).where("n > 0")
+    return t.groupBy("fold").agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(F.pow(F.col("value") - F.col("s") / F.col("n"), 2))), "rmse"))
+
+
+_AGREE = """
+ct AS (SELECT domain, batch, CAST(count(*) AS DOUBLE) AS n FROM spot GROUP BY ALL), ra AS (SELECT domain, sum(n) AS a FROM ct GROUP BY ALL), rb AS (SELECT batch, sum(n) AS b FROM ct GROUP BY ALL), tt AS (SELECT sum(n) AS t FROM ct)"""
+
+
+@add("eva07_agreement", "SELECT round((s - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 5) AS ari, round(2 * mi / (ha + hb), 5) AS nmi, round(pure / t, 6) AS purity FROM tt, (SELECT sum(n * (n - 1) / 2) AS s FROM ct), (SELECT sum(a * (a - 1) / 2) AS sa, -sum(a / t * ln(a / t)) AS ha FROM ra, tt), (SELECT sum(b * (b - 1) / 2) AS sb, -sum(b / t * ln(b / t)) AS hb FROM rb, tt), (SELECT sum(n / t * ln(n * t / (a * b))) AS mi FROM ct JOIN ra USING (domain) JOIN rb USING (batch), tt), (SELECT sum(m) AS pure FROM (SELECT max(n) AS m FROM ct GROUP BY domain))", _AGREE)
+def _(v):
+    a = stats.agreement(v.spots, "domain", "batch")
+    return a.select(F.round("ari", 5).alias("ari"), F.round("nmi", 5).alias("nmi"), r6(F.col("purity"), "purity"))
+
+
+@add("eva09_within_layer", "SELECT domain, round(avg(r), 5) AS mean_r, count(*) AS pairs FROM (SELECT sa.domain, corr(a.value, b.value) AS r FROM obs a JOIN obs b ON a.gene = b.gene AND a.spot < b.spot JOIN spot sa ON sa.spot = a.spot JOIN spot sb ON sb.spot = b.spot AND sa.domain = sb.domain WHERE sa.sample = sb.sample GROUP BY sa.domain, a.spot, b.spot HAVING count(*) >= 10) GROUP BY domain")
+def _(v):
+    o = v.observed.join(v.spots.select("spot", "domain", "sample"), "spot")
+    b = o.select("gene", "domain", "sample", F.col("spot").alias("spot2"), F.col("value").alias("y"))
+    c = o.join(b, ["gene", "domain", "sample"]).where("spot < spot2").groupBy("domain", "spot", "spot2").agg(F.corr("value", "y").alias("r"), F.count("*").alias("k")).where("k >= 10")
+    return c.groupBy("domain").agg(F.round(F.avg("r"), 5).alias("mean_r"), F.count("*").alias("pairs"))
+
+
+@add("eva10_entropy", "SELECT round(max(p), 6) AS collapse, round(-sum(p * log2(p)), 6) AS entropy, max(p) > 0.8 AND count(*) > 3 AS warn FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM spot GROUP BY domain)")
+def _(v):
+    n = v.spots.groupBy("domain").agg(F.count("*").alias("n"))
+    p = n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("t")))).select((F.col("n") / F.col("t")).alias("p"))
+    return p.agg(r6(F.max("p"), "collapse"), r6(-F.sum(F.col("p") * F.log2("p")), "entropy"), ((F.max("p") > 0.8) & (F.count("*") > 3)).alias("warn"))
+
+
+@add("eva13_baseline_delta", "SELECT gene, round(sqrt(avg(pow(pred + 0.01 - truth, 2))) - sqrt(avg(pow(pred - truth, 2))), 6) AS delta FROM pred GROUP BY gene")
+def _(v):
+    m = stats.errors(["gene"], v.pred.withColumn("pred", F.col("pred") + 0.01)).select("gene", F.col("rmse").alias("a"))
+    return m.join(stats.errors(["gene"], v.pred).select("gene", "rmse"), "gene").select("gene", r6(F.col("a") - F.col("rmse"), "delta"))
+
+
+# --- domains, graphs, batches ------------------------------------------------------------------
+
+_RBF = _KNN + ", sg AS (SELECT median(sqrt(d2)) AS s FROM knn WHERE d2 > 0), rbf AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(exp(-d2 / (2 * s * s))) AS w FROM knn, sg GROUP BY ALL)"
+
+
+@add("dom01_rbf_graph", "SELECT a, b, round(w, 6) AS w FROM rbf", _RBF)
+def _(v):
+    return rounded(spatial.rbf_graph(_knn(v)), "w")
+
+
+@add("dom02_laplacian", "SELECT i, j, round(sum(v), 6) AS v FROM (SELECT a AS i, b AS j, -w AS v FROM rbf UNION ALL SELECT b, a, -w FROM rbf UNION ALL SELECT a, a, w FROM rbf UNION ALL SELECT b, b, w FROM rbf) GROUP BY ALL", _RBF)
+def _(v):
+    return rounded(spatial.laplacian(spatial.rbf_graph(_knn(v))), "v")
+
+
+@add("dom08_smooth", "SELECT spot.spot, coalesce(l, domain) AS label FROM spot LEFT JOIN (SELECT src, l FROM (SELECT src, d.domain AS l, count(*) AS k, sum(count(*)) OVER (PARTITION BY src) AS t, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, d.domain) AS r FROM knn JOIN spot d ON d.spot = knn.dst GROUP BY src, d.domain) WHERE r = 1 AND k * 2 > t) m ON m.src = spot.spot", _KNN)
+def _(v):
+    return spatial.smooth_labels(v.spots.select("spot", F.col("domain").alias("label")), _knn(v))
+
+
+@add("dom09_small_domains", "SELECT spot, CASE WHEN count(*) OVER (PARTITION BY sample) < 4 THEN -1 ELSE sample END AS label FROM spot")
+def _(v):
+    return v.spots.select("spot", F.when(F.count("*").over(Window.partitionBy("sample")) < 4, -1).otherwise(F.col("sample")).alias("label"))
+
+
+_LIFT = "pe AS (SELECT a.p AS a, b.p AS b, 1.0 / (1 + b.p - a.p) AS w FROM (SELECT DISTINCT spot // 4 AS p FROM spot) a JOIN (SELECT DISTINCT spot // 4 AS p FROM spot) b ON b.p BETWEEN a.p + 1 AND a.p + 2), ch AS (SELECT spot, spot // 4 AS parent, count(*) OVER (PARTITION BY spot // 4) AS k FROM spot)"
+
+
+@add("dom11_lift", "SELECT l.spot AS i, r.spot AS j, round(w / sqrt(l.k * r.k), 6) AS w FROM pe JOIN ch l ON l.parent = a JOIN ch r ON r.parent = b", _LIFT)
+def _(v):
+    ch = v.spots.select("spot", F.floor(F.col("spot") / 4).alias("parent"))
+    p = ch.select(F.col("parent").alias("a")).distinct()
+    edges = p.withColumn("b", F.explode(F.array(F.col("a") + 1, F.col("a") + 2))).join(p.select(F.col("a").alias("b")), "b", "left_semi").withColumn("w", 1 / (1 + F.col("b") - F.col("a")))
+    return rounded(spatial.lift_graph(edges, ch), "w")
+
+
+@add("dom12_neighbour_count", "SELECT CAST(greatest(1, least(15 + greatest(0, round((n / np - 4) * 10)), n - 1)) AS BIGINT) AS k FROM (SELECT count(*) AS n, count(DISTINCT spot // 4) AS np FROM spot)")
+def _(v):
+    a = v.spots.agg(F.count("*").alias("n"), F.count_distinct(F.floor(F.col("spot") / 4)).alias("np"))
+    return a.select(F.greatest(F.lit(1), F.least(15 + F.greatest(F.lit(0), F.round((F.col("n") / F.col("np") - 4) * 10)), F.col("n") - 1)).cast("bigint").alias("k"))
+
+
+@add("dom13_batch_correction", "SELECT gene, spot, round(CASE WHEN batch = 1 THEN value - coalesce(avg(value) FILTER (batch = 1) OVER (PARTITION BY gene) - avg(value) FILTER (batch = 0) OVER (PARTITION BY gene), 0) ELSE value END, 6) AS corrected FROM obs JOIN spot USING (spot)")
+def _(v):
+    return impute.two_batch_correction(v.observed.join(v.spots.select("spot", "batch"), "spot")).select("gene", "spot", r6(F.col("corrected"), "corrected"))
+
+
+@add("dom14_sample_correlation", "SELECT a.sample AS a, b.sample AS b, round(corr(a.m, b.m), 5) AS r FROM (SELECT sample, gene, avg(value) AS m FROM obs JOIN spot USING (spot) GROUP BY ALL) a JOIN (SELECT sample, gene, avg(value) AS m FROM obs JOIN spot USING (spot) GROUP BY ALL) b ON a.gene = b.gene AND a.sample < b.sample GROUP BY ALL HAVING count(*) >= 3")
+def _(v):
+    m = v.observed.join(v.spots, "spot").groupBy("sample", "gene").agg(F.avg("value").alias("m"))
+    j = m.select(F.col("sample").alias("a"), "gene", F.col("m").alias("x")).join(m.select(F.col("sample").alias("b"), "gene", F.col("m").alias("y")), "gene").where("a < b")
+    return j.groupBy("a", "b").agg(F.round(F.corr("x", "y"), 5).alias("r"), F.count("*").alias("k")).where("k >= 3").drop("k")
+
+
+@add("dom06_kmeans")
+def _(v):
+    from spotloom.operators.cluster import kmeans_domains
+
+    return kmeans_domains(v.usage, v.spots, 3)
+
+
+@add("dom05_label_propagation")
+def _(v):
+    from spotloom.operators.cluster import label_propagation
+
+    return label_propagation(spatial.rbf_graph(_knn(v)), v.spots.select("spot"))
+
+
+@add("spa17_shortest_path")
+def _(v):
+    from spotloom.operators.cluster import shortest_path
+
+    return shortest_path(_knn(v), 1, 2)
+
+
+# --- study operators ---------------------------------------------------------------------------
+
+
+@add("stu05_pooled_within", "SELECT round(corr(std, abs(pred - truth)), 5) AS pooled, round(median(r), 5) AS median_within FROM pred, (SELECT median(r) AS r FROM (SELECT corr(std, abs(pred - truth)) AS r FROM pred GROUP BY gene HAVING count(*) >= 5))")
+def _(v):
+    e = F.abs(F.col("pred") - F.col("truth"))
+    per = v.pred.groupBy("gene").agg(F.corr("std", e).alias("r"), F.count("*").alias("k")).where("k >= 5").agg(F.round(F.percentile("r", F.lit(0.5)), 5).alias("median_within"))
+    return v.pred.agg(F.round(F.corr("std", e), 5).alias("pooled")).crossJoin(per)
+
+
+@add("stu04_leave_one_out", "SELECT domain, batch AS picked FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY m DESC, batch) AS k FROM (SELECT a.domain, b.batch, round(avg(b.m), 6) AS m FROM (SELECT DISTINCT domain FROM spot) a JOIN (SELECT domain, batch, avg(value) AS m FROM obs JOIN spot USING (spot) GROUP BY ALL) b ON a.domain <> b.domain GROUP BY a.domain, b.batch)) WHERE k = 1")
+def _(v):
+    m = v.observed.join(v.spots, "spot").groupBy("domain", "batch").agg(F.avg("value").alias("m"))
+    a = v.spots.select(F.col("domain").alias("held")).distinct()
+    o = a.join(m, F.col("held") != F.col("domain")).groupBy("held", "batch").agg(F.round(F.avg("m"), 6).alias("m"))
+    return o.groupBy(F.col("held").alias("domain")).agg(F.max_by("batch", F.struct("m", -F.col("batch"))).alias("picked"))
+
+
+@add("stu01_stratified", "SELECT spot FROM (SELECT spot, row_number() OVER (PARTITION BY x // 250, y // 250 ORDER BY md5(CAST(spot AS VARCHAR)), spot) AS k FROM spot) WHERE k <= 2")
+def _(v):
+    w = Window.partitionBy(F.floor(F.col("x") / 250), F.floor(F.col("y") / 250)).orderBy(F.md5(F.col("spot").cast("string")), "spot")
+    return v.spots.withColumn("k", F.row_number().over(w)).where("k <= 2").select("spot")
+
+
+@add("stu03_proportional", "SELECT spot FROM (SELECT spot, row_number() OVER (PARTITION BY domain ORDER BY md5(CAST(spot AS VARCHAR)), spot) AS k, count(*) OVER (PARTITION BY domain) AS n, count(*) OVER () AS t FROM spot) WHERE k <= greatest(1, (20 * n * 2 + t) // (2 * t))")
+def _(v):
+    w = Window.partitionBy("domain")
+    t = v.spots.agg(F.count("*").alias("t"))
+    s = v.spots.withColumn("k", F.row_number().over(w.orderBy(F.md5(F.col("spot").cast("string")), "spot"))).withColumn("n", F.count("*").over(w)).crossJoin(F.broadcast(t))
+    return s.where("k <= greatest(1, (20 * n * 2 + t) div (2 * t))").select("spot")
+
+
+@add("stu11_suite", "SELECT domain, batch, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM obs JOIN spot USING (spot) GROUP BY ALL")
+def _(v):
+    return v.observed.join(v.spots, "spot").groupBy("domain", "batch").agg(r6(F.avg("value"), "mean"), r6(F.stddev_samp("value"), "std"), F.count("*").alias("n"))
+
+
+@add("stu12_representative", "SELECT site FROM counts GROUP BY site HAVING count(*) >= 10 ORDER BY round(var_pop(count), 4) DESC, site LIMIT 10")
+def _(v):
+    g = v.counts.groupBy("site").agg(F.count("*").alias("k"), F.round(F.var_pop("count"), 4).alias("s")).where("k >= 10")
+    return g.orderBy(F.desc("s"), "site").limit(10).select("site")
+
+
+@add("stu13_directed_moran", "SELECT gene, round(n / s0 * c / ss, 6) AS i FROM (SELECT a.gene, count(*) AS s0, sum(a.z * b.z) AS c FROM zz a JOIN knn ON a.spot = knn.src JOIN zz b ON b.gene = a.gene AND b.spot = knn.dst GROUP BY a.gene) JOIN own USING (gene) WHERE n >= 11 AND ss > 1e-12", _MORAN)
+def _(v):
+    e = _knn(v).select("src", "dst", F.lit(1.0).alias("w"))
+    return spatial.autocorrelation(v.observed, e).where("n >= 11 AND morans_i IS NOT NULL").select("gene", r6(F.col("morans_i"), "i"))
+
+
+@add("stu15_proxy", "SELECT site, spot, round(CASE WHEN hi = lo THEN 1 ELSE (count - lo) / (hi - lo) END, 6) AS proxy FROM (SELECT *, min(count) OVER (PARTITION BY site) AS lo, max(count) OVER (PARTITION BY site) AS hi FROM counts) WHERE CAST('0x' || substr(md5(site || '/' || spot), 1, 2) AS BIGINT) >= 77")
+def _(v):
+    w = Window.partitionBy("site")
+    lo, hi = F.min("count").over(w), F.max("count").over(w)
+    p = v.counts.select("site", "spot", r6(F.when(hi == lo, F.lit(1.0)).otherwise((F.col("count") - lo) / (hi - lo)), "proxy"))
+    return p.where(F.conv(F.substring(F.md5(F.concat_ws("/", "site", "spot")), 1, 2), 16, 10).cast("bigint") >= 77)
+
+
+# --- sinks and extensions ----------------------------------------------------------------------
+
+
+@add("snk02_bed_lines", "SELECT chr || chr(9) || s || chr(9) || e || chr(9) || gene || chr(9) || CAST(floor(support * 1000) AS INTEGER) || chr(9) || strand AS value FROM site")
+def _(v):
+    from spotloom.sources.tables import bed_lines
+
+    return bed_lines(v.sites)
+
+
+@add("ext_event_windows", "SELECT event_type, time_bucket(INTERVAL 1 hour, ts) AS start_, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(v):
+    from spotloom.streaming.windows import hourly
+
+    return hourly(v.table("events"))
