@@ -135,3 +135,98 @@ def quantile_normalize(values: DataFrame) -> DataFrame:
     hi = pooled.select("gene", F.col("j").alias("j1"), F.col("ref").alias("hi"))
     j = v.join(lo, ["gene", "j0"]).join(hi, ["gene", "j1"])
     return j.select("gene", "spot", "batch", "value", F.when(F.col("nb") < 2, F.col("value")).otherwise(F.col("lo") + (F.col("at") - F.col("j0")) * (F.col("hi") - F.col("lo"))).alias("normalized"))
+
+
+def exact_gp(usage: DataFrame, spots: DataFrame, lengths: list[float], noises: list[float], nu: float | None = 1.5) -> DataFrame:
+    """Exact Gaussian process by gene, Matern (nu 0.5, 1.5, 2.5) or RBF (None): the length and noise of greatest likelihood on a grid.
+
+    Values are standardised; observed values stay, with std 0.  A gene needs two observed values, else its rows stay null.
+    """
+
+    def shape(d: np.ndarray, ell: float) -> np.ndarray:
+        r = d / ell
+        if nu is None:
+            return np.exp(-r * r / 2)
+        if nu == 0.5:
+            return np.exp(-r)
+        s = np.sqrt(2 * nu) * r
+        return (1 + s) * np.exp(-s) if nu == 1.5 else (1 + s + s * s / 3) * np.exp(-s)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("spot").reset_index(drop=True)
+        at, y = pdf[["x", "y"]].to_numpy(float), pdf.value.to_numpy(float)
+        seen = np.isfinite(y)
+        out = pdf[["gene", "spot"]].copy()
+        out["imputed"], out["std"] = y, np.where(seen, 0.0, np.nan)
+        if seen.sum() < 2:
+            return out
+        mu, sd = y[seen].mean(), y[seen].std() or 1.0
+        t = (y[seen] - mu) / sd
+        d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+        best = None
+        for ell in lengths:
+            k = shape(d, ell)
+            for s2 in noises:
+                low = np.linalg.cholesky(k[np.ix_(seen, seen)] + (s2 + 1e-9) * np.eye(len(t)))
+                a = np.linalg.solve(low, t)
+                ll = -0.5 * a @ a - np.log(np.diag(low)).sum()
+                if best is None or ll > best[0]:
+                    best = (ll, k, low, a)
+        _, k, low, a = best
+        v = np.linalg.solve(low, k[np.ix_(seen, ~seen)])
+        out.loc[~seen, "imputed"] = mu + sd * (v.T @ a)
+        out.loc[~seen, "std"] = sd * np.sqrt(np.maximum(1 - (v * v).sum(0), 0))
+        return out
+
+    return usage.join(spots.select("spot", "x", "y"), "spot").groupBy("gene").applyInPandas(fit, "gene bigint, spot bigint, imputed double, std double")
+
+
+def block_gp(usage: DataFrame, spots: DataFrame, side: float, lengths: list[float], noises: list[float], overlap: float = 0.25) -> DataFrame:
+    """exact_gp by gene and square block; blocks reach `overlap` of their side into their neighbours, and estimates are averaged."""
+    reach = side * overlap
+    cut = lambda c: F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))
+    placed = spots.select("spot", "x", "y", F.explode(cut("x")).alias("bx")).select("*", F.explode(cut("y")).alias("by"))
+    ids = placed.select("bx", "by").distinct().select("bx", "by", F.xxhash64("bx", "by").alias("block"))
+    rows = usage.join(placed, "spot").join(ids, ["bx", "by"]).withColumn("key", F.xxhash64("gene", "block"))
+    keys = rows.select("key", F.col("gene").alias("of")).distinct()
+    got = exact_gp(rows.select(F.col("key").alias("gene"), "spot", "value"), spots, lengths, noises).join(keys, F.col("gene") == F.col("key"))
+    return got.groupBy(F.col("of").alias("gene"), "spot").agg(F.avg("imputed").alias("imputed"), F.avg("std").alias("std"))
+
+
+def neighbour_passes(usage: DataFrame, edges: DataFrame, passes: int = 3) -> DataFrame:
+    """Missing values take the mean of their neighbours' values, pass by pass; then the gene's mean."""
+    now = usage.select("gene", "spot", "value", F.col("value").alias("filled"))
+    for _ in range(passes):
+        near = now.where("filled IS NOT NULL").select("gene", F.col("spot").alias("dst"), F.col("filled").alias("v"))
+        m = edges.join(near, "dst").groupBy("gene", F.col("src").alias("spot")).agg(F.avg("v").alias("m"))
+        now = now.join(m, ["gene", "spot"], "left").select("gene", "spot", "value", F.coalesce("filled", "m").alias("filled"))
+    return now.select("gene", "spot", F.coalesce("filled", F.avg("value").over(Window.partitionBy("gene"))).alias("imputed"))
+
+
+def factorize(usage: DataFrame, rank: int, rounds: int = 3, ridge: float = 0.1, seed: int = 42) -> DataFrame:
+    """(gene, spot, imputed) by alternating weighted ridge regressions: each side's factors solve against the other's.
+
+    The outer products are summed on the fly by group; factors are small vectors that travel by join.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("f", T.ArrayType(T.DoubleType()))])
+    seen = usage.where("value IS NOT NULL").withColumn("base", F.avg("value").over(Window.partitionBy("gene")))
+    data = seen.select("gene", "spot", (F.col("value") - F.col("base")).alias("v"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.f.to_numpy())
+        w = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ pdf.v.to_numpy(float))
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "f": [w.tolist()]})
+
+    hashed = F.transform(F.sequence(F.lit(1), F.lit(rank)), lambda i: (F.pmod(F.xxhash64("spot", i, F.lit(seed)), F.lit(20001)) - 10000) / 10000.0)
+    side = data.select("spot").distinct().select(F.col("spot").alias("id"), hashed.alias("f"))
+    genes = None
+    for _ in range(rounds):
+        genes = data.join(side.withColumnRenamed("id", "spot"), "spot").select(F.col("gene").alias("id"), "v", "f").groupBy("id").applyInPandas(solve, schema)
+        side = data.join(genes.withColumnRenamed("id", "gene"), "gene").select(F.col("spot").alias("id"), "v", "f").groupBy("id").applyInPandas(solve, schema)
+    base = seen.select("gene", "base").distinct()
+    g = genes.select(F.col("id").alias("gene"), F.col("f").alias("fg"))
+    s = side.select(F.col("id").alias("spot"), F.col("f").alias("fs"))
+    dot = F.aggregate(F.zip_with("fg", "fs", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return usage.join(base, "gene", "left").join(g, "gene", "left").join(s, "spot", "left").select("gene", "spot", F.coalesce("value", F.col("base") + dot, "base").alias("imputed"))

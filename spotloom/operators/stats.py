@@ -116,3 +116,75 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     r = cell.crossJoin(ent(ra, "na", "a")).crossJoin(ent(rb, "nb", "b")).crossJoin(best)
     expected = F.col("sa") * F.col("sb") / pair(F.col("t"))
     return r.select(((F.col("s") - expected) / ((F.col("sa") + F.col("sb")) / 2 - expected)).alias("ari"), (2 * F.col("mi") / (F.col("ha") + F.col("hb"))).alias("nmi"), (F.col("pure") / F.col("t")).alias("purity"))
+
+
+def student_p(t: str, df: str):
+    """Two-sided p of Student's t, by the regularised incomplete beta function; one row a test."""
+
+    def beta(a: float, b: float, x: float) -> float:
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+        if x > (a + 1) / (a + b + 2):
+            return 1 - beta(b, a, 1 - x)
+        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+        out = d
+        for m in range(1, 300):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / (1 + num * d or 1e-300)
+                c = 1 + num / c or 1e-300
+                out *= c * d
+            if abs(c * d - 1) < 1e-14:
+                break
+        return front * out / a
+
+    @F.pandas_udf("double")
+    def p(ts: pd.Series, dfs: pd.Series) -> pd.Series:
+        def one(x, n):
+            if x != x or n != n or n <= 0:
+                return None
+            v = n / (n + x * x)
+            return 1.0 if v >= 1 else 0.0 if v <= 0 else min(1.0, beta(n / 2, 0.5, v))
+
+        return pd.Series([one(x, n) for x, n in zip(ts, dfs)], dtype="float64")
+
+    return p(F.col(t), F.col(df))
+
+
+def permutation_difference(df: DataFrame, by: str, n_perm: int = 200, seed: int = 42) -> DataFrame:
+    """Share of label shuffles whose mean difference is at least the observed one; seeded by group."""
+    import numpy as np
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["g", "value"])
+        v, one = pdf.value.to_numpy(float), (pdf.g == 1).to_numpy()
+        key = int(pdf[by].iloc[0])
+        if one.all() or not one.any():
+            return pd.DataFrame({by: [], "difference": [], "p": []}).astype({by: "int64", "difference": "float64", "p": "float64"})
+        gap = lambda m: v[m].mean() - v[~m].mean()
+        rng = np.random.default_rng([seed, key])
+        seen = gap(one)
+        null = np.array([abs(gap(rng.permutation(one))) for _ in range(n_perm)])
+        return pd.DataFrame([(key, seen, float((null >= abs(seen)).mean()))], columns=[by, "difference", "p"])
+
+    return df.select(by, "g", "value").groupBy(by).applyInPandas(fit, f"{by} bigint, difference double, p double")
+
+
+def fixed_effects(df: DataFrame, by: str, response: str, predictor: str, group: str) -> DataFrame:
+    """Least squares of response on predictor with a dummy for each group, by key: slope, standard error, t and residual degrees of freedom."""
+    import numpy as np
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = int(pdf[by].iloc[0])
+        x, y = pdf[predictor].to_numpy(float), pdf[response].to_numpy(float)
+        dummies = pd.get_dummies(pdf[group], drop_first=True).to_numpy(float)
+        a = np.column_stack([x, np.ones(len(x)), dummies])
+        dof = len(y) - np.linalg.matrix_rank(a)
+        out = (key, len(y), None, None, None, int(dof))
+        if dof > 0 and np.ptp(x) > 0:
+            coef = np.linalg.lstsq(a, y, rcond=None)[0]
+            res = y - a @ coef
+            cov = np.linalg.pinv(a.T @ a) * float(res @ res) / dof
+            se = math.sqrt(max(cov[0, 0], 0))
+            out = (key, len(y), float(coef[0]), se, float(coef[0] / se) if se > 0 else None, int(dof))
+        return pd.DataFrame([out], columns=[by, "n", "beta", "se", "t", "dof"])
+
+    return df.groupBy(by).applyInPandas(fit, f"{by} bigint, n bigint, beta double, se double, t double, dof bigint")
