@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spotloom.operators import cluster, impute, intervals, quantify, spatial, stats
-from spotloom.plans.catalogue import _BH, _CONF, _FOLD, _GROUPS, _KNN, _LOCAL, _MORAN, _METRICS, _adjusted, _folds, _groups, _knn, _q, add, rounded
+from spotloom.operators import cluster, geometry, impute, intervals, quantify, spatial, stats
+from spotloom.plans.catalogue import _BH, _CONF, _curve, _FOLD, _GROUPS, _KNN, _LOCAL, _MORAN, _METRICS, _adjusted, _folds, _groups, _knn, _q, add, rounded
 from spotloom.plans.views import r6
 
 
@@ -290,3 +290,18 @@ def _(v):
     from spotloom.plans.workflow import Workflow
 
     return Workflow(v.counts, v.sites, v.spots, min_parent=200).run()["trends"]
+
+
+@add("jn11_delaunay")
+def _(v):
+    return geometry.delaunay_edges(v.spots, "domain")
+
+
+@add("spa18_smooth_curves")
+def _(v):
+    return geometry.smooth_curves(_curve(v).withColumn("domain", F.col("domain").cast("int")), 0.6)
+
+
+@add("sta11_binomial_band")
+def _(v):
+    return geometry.binomial_band(v.observed.groupBy("gene").agg(F.count("*").alias("n")), "n", 0.9)

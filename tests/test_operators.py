@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotloom.operators import cluster, impute, intervals, quantify, spatial, stats
+from spotloom.operators import cluster, geometry, impute, intervals, quantify, spatial, stats
 from spotloom.sources import tables
 
 
@@ -149,3 +149,30 @@ def test_stream_equals_table(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, hourly(events).collect()))
+
+
+def test_delaunay_circles_are_empty():
+    pts = np.random.default_rng(4).uniform(0, 100, (60, 2))
+    tri = geometry.triangles(pts)
+    assert 2 * 60 - 2 - 40 <= len(tri) <= 2 * 60 - 5
+    for a, b, c in tri:
+        m = np.array([pts[b] - pts[a], pts[c] - pts[a]]) * 2
+        o = np.linalg.solve(m, [(pts[b] ** 2).sum() - (pts[a] ** 2).sum(), (pts[c] ** 2).sum() - (pts[a] ** 2).sum()])
+        r = ((pts[a] - o) ** 2).sum()
+        assert (((pts - o) ** 2).sum(1) > r * (1 - 1e-9)).all()
+
+
+def test_lowess_keeps_a_line():
+    x = np.arange(10.0)
+    assert np.allclose(geometry.lowess(x, 2 * x + 1), 2 * x + 1)
+
+
+def test_student_p(spark):
+    p = stats.student_p("t", "df")
+    got = spark.createDataFrame([(2.228139, 10.0), (0.0, 5.0), (12.7062, 1.0)], "t double, df double").select(p.alias("p")).collect()
+    assert [round(r.p, 4) for r in got] == [0.05, 1.0, 0.05]
+
+
+def test_binomial_band(spark):
+    r = geometry.binomial_band(spark.createDataFrame([(100,)], "n long"), "n", 0.9).first()
+    assert (r.lo, r.hi) == (0.84, 0.95)
