@@ -55,7 +55,7 @@ class Views:
         from pyspark.sql import Window
 
         w = Window.partitionBy("gene")
-        return self.observed.select("gene", "spot", F.col("value").alias("truth"), F.round(F.avg("value").over(w), 6).alias("pred"), F.round(F.stddev_pop("value").over(w) * (1 + (F.col("spot") % 7) / 10), 6).alias("std"), ((F.col("gene") * 31 + F.col("spot")) % 2).alias("part"))
+        return self.observed.select("gene", "spot", F.col("value").alias("truth"), F.round(F.avg("value").over(w), 9).alias("pred"), F.round(F.stddev_pop("value").over(w) * (1 + (F.col("spot") % 7) / 10), 9).alias("std"), ((F.col("gene") * 31 + F.col("spot")) % 2).alias("part"))
 
     @cached_property
     def diff(self) -> DataFrame:
@@ -79,7 +79,7 @@ gindex AS (
 usage AS (SELECT gene, spot, CASE WHEN total >= {MIN_PARENT} THEN distal / total END AS value FROM gindex),
 obs AS (SELECT * FROM usage WHERE value IS NOT NULL),
 pred AS (
-  SELECT gene, spot, value AS truth, round(avg(value) OVER w, 6) AS pred, round(stddev_pop(value) OVER w * (1 + (spot % 7) / 10.0), 6) AS std, (gene * 31 + spot) % 2 AS part
+  SELECT gene, spot, value AS truth, round(avg(value) OVER w, 9) AS pred, round(stddev_pop(value) OVER w * (1 + (spot % 7) / 10.0), 9) AS std, (gene * 31 + spot) % 2 AS part
   FROM obs WINDOW w AS (PARTITION BY gene)),
 diff AS (
   SELECT gene, round(pow(avg(value), 4) * pow(stddev_pop(value), 2), 9) AS p,
