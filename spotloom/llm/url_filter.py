@@ -99,7 +99,8 @@ def judge(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confide
     src = scratch.save(src.withColumn("fixed", fixed(F.col("host"), F.col("path"))).withColumn("key", F.concat_ws(" ", "tokens")))
     rules = scratch.save(mine(examples(src.withColumn("ruled", F.col("fixed.verdict")), labels), support, confidence))
     sets = src.where("fixed is null and size(tokens) > 0").groupBy("key").agg(F.first("tokens").alias("tokens"))
-    out = src.join(match(sets, rules), "key", "left")
+    # written, so that the join below stands alone and the planner can split the partition of a hot set of tokens
+    out = src.join(scratch.save(match(sets, rules)), "key", "left")
     learned = lambda c: F.when(F.col("fixed").isNull(), F.col(c))
     return out.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", "learned", F.lit("allow")).alias("verdict"), learned("learned_rule").alias("learned_rule"), learned("confidence").alias("confidence"))
 
