@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from spotloom.llm.common import map_texts, table
+from spotloom.llm.common import PART, map_texts, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 MOST_STATES = 200_000
@@ -294,7 +294,7 @@ def encode(docs: DataFrame, keys: list[str], text: str = "text", ranks_path: str
 
         return fn
 
-    return map_texts(docs, keys, text, make, IDS if with_ids else DIGESTS)
+    return map_texts(docs, keys, text, make, IDS if with_ids else DIGESTS, PART)
 
 
 _encoders: dict[tuple[bytes, str], Encoder] = {}

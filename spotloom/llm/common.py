@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,11 +98,29 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def map_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[list], dict]], out: T.StructType) -> DataFrame:
+#: bytes of text that a task works on at a time
+PART = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = PART):
+    """The batch in runs of rows of at most `most` bytes of text, or one row."""
+    size = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(size):
+        if held and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def map_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[list], dict]], out: T.StructType, most: int | None = None) -> DataFrame:
     """For each row the keys and what a function of the text's UTF-8 bytes gives.
 
     make() runs once for each task and returns a function from a list of bytes (None for null)
     to a dict of equally long lists by column of out.  No shuffle; rows keep their partition.
+    With `most`, the function gets at most that many bytes of text at a time, or one text.
     """
     ship(df.sparkSession)
     src = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("binary").alias("__text"))
@@ -113,7 +132,7 @@ def map_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Call
 
         arrow = to_arrow_schema(schema)
         fn = make()
-        for b in batches:
+        for b in (part for batch in batches for part in (slices(batch, n_keys, most) if most else [batch])):
             if b.num_rows == 0:
                 continue
             got = fn(b.column(n_keys).to_pylist())

@@ -27,12 +27,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotloom.llm.common import LOWER, Scratch, remainder, ship, table
+from spotloom.llm.common import LOWER, Scratch, remainder, ship, slices, table
 
 WORDS = 4000
 CLASS = 64
@@ -402,23 +401,6 @@ def build(spark: SparkSession, docs: DataFrame, counts: DataFrame, most: int = F
     return model
 
 
-#: bytes of text that a task works on at a time
-PART = 4 << 20
-
-
-def slices(batch: pa.RecordBatch, text: int, most: int = PART):
-    """The batch in runs of rows of at most `most` bytes of text, or one row."""
-    size = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
-    start = held = 0
-    for i, n in enumerate(size):
-        if held and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 RARE = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("k", T.IntegerType())]))
 PARTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", RARE)])
 
