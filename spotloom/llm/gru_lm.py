@@ -7,23 +7,30 @@ P(w | other) = (1 - e) * count(w) / count(other) + e * spelling(w), with e the s
 probability, and all these statistics cover the whole corpus.
 
 The recurrent part is one GRU layer with a class-factored softmax: P(w | h) = P(class | h) P(w | class, h),
-classes being runs of frequency ranks.  It is fitted by truncated backpropagation in numpy on at most
-TRAIN_DOCS whole training documents (those of least hash of the id; few
-tokens are read more than once): on all documents it would take about
-forty times the CPU time of scoring them.  Scoring runs many documents in step and carries each one's state from
-window to window, to the end of the document.
+classes being runs of frequency ranks.  It is fitted by truncated backpropagation in numpy on every token of
+every training document: each task reads its own documents in LANES lanes side by side, steps by Adam from
+the common start, and the tasks' parameters are averaged, weighted by their tokens (ROUNDS: a first part of
+the documents, then the rest from the average).  Where there are fewer than TRAIN_TOKENS training tokens, each
+document is read several times.  In training, documents are cut into pieces of PIECE tokens, so that lanes
+are equally long; the first symbol before a piece is the one that stands there.
+
+Scoring runs many documents in step and carries each one's state from window to window, to the end of the
+document.
 
 Tokens that make up 1/FREQUENT of all tokens or more, FREQUENT at most, are sent to the tasks; the others
 are looked up by a join in which no key can be hot for that very reason.
 
-Defined results: null is the empty text (one end token); repeated rows give a row each; without training
-tokens the probabilities come from the spelling model and an even GRU; other columns are ignored.
+Defined results: null is the empty text (one end token); texts may be of any length; repeated rows give a
+row each; without training tokens the probabilities come from the spelling model and an even GRU; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +40,27 @@ from pyspark.sql import types as T
 
 from spotloom.llm.common import LOWER, Scratch, remainder, ship, slices, table
 
-WORDS = 4000
-CLASS = 64
-HIDDEN = 32
-FREQUENT = 100_000
-TRAIN_DOCS = 1200
-TRAIN_TOKENS = 900_000
+WORDS = 1022
+CLASS = 32
+HIDDEN = 24
+FREQUENT = 1_000_000
+#: the least number of tokens to step through, by reading documents MOST_PASSES times at most
+TRAIN_TOKENS = 600_000
 MOST_PASSES = 6
-TRAIN_BATCH = 48
+#: sixteenths of the documents that each round of averaging begins and ends with
+ROUNDS = ((0, 2), (2, 16))
+PIECE = 1024
+#: lanes of a task: one for so many training tokens, between the two bounds
+TOKENS_A_LANE, LANES = 10_000, (32, 512)
 TRAIN_WINDOW = 16
-WINDOW = 96
+#: numbers of the parameter vector in a row that is averaged
+CHUNK = 8192
+WINDOW = 64
 STEP = 512
+#: bytes of text scored at a time
+SCORED = 8 << 20
 RATE = 0.01
+BOUND = 72 / HIDDEN
 SEED = 11
 OTHER, END = 0, 1  # symbols before the words; the start of a text is the state's zero input
 
@@ -53,202 +69,243 @@ def words_of(data: bytes | None) -> list[bytes]:
     return data.translate(LOWER).split() if data else []
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def _picked(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """Log softmax of each row at one place; x is overwritten."""
-    x -= x.max(1, keepdims=True)
-    got = x[np.arange(len(x)), pick].copy()
-    np.exp(x, out=x)
-    return got - np.log(x @ np.ones(x.shape[1], x.dtype))
-
-
 class Gru:
-    """Symbols 0 .. size - 1; `emb` has a further row for the start."""
+    """Symbols 0 .. size - 1; `emb` has a further row for the start of a text.
 
-    def __init__(self, size: int, hidden: int = HIDDEN, width: int = CLASS, seed: int = SEED):
+    z, r = sigmoid(x + h u), c = tanh(x + r * (h u)), h <- h + z (c - h); x is the symbol's row of `emb`,
+    which holds all three parts.  Parameters are views of one vector, so that models are averaged as vectors.
+    """
+
+    def __init__(self, size: int, hidden: int = HIDDEN, width: int = CLASS, seed: int = SEED, dtype=np.float32):
         r, h = np.random.default_rng(seed), hidden
         self.size, self.hidden, self.width = size, h, width
         self.classes = -(-size // width)
-        n = lambda *s: r.normal(0, 1 / math.sqrt(h), s).astype(np.float32)
-        self.p = {
-            "emb": r.normal(0, 0.1, (size + 1, 3 * h)).astype(np.float32),  # the input's part of both gates and the candidate
-            "u": n(h, 2 * h),
-            "v": n(h, h),
-            "b": np.zeros(3 * h, np.float32),
-            "cw": n(h, self.classes),
-            "cb": np.zeros(self.classes, np.float32),
-            "ww": n(self.classes, width, h),
-            "wb": np.zeros((self.classes, width), np.float32),
-        }
-        self.p["wb"].reshape(-1)[size:] = -1e9
-
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """One step: x are symbols.  Returns the gates and the new state."""
-        p, n = self.p, self.hidden
-        a = p["emb"][x] + p["b"]
-        zr = _sigmoid(a[:, : 2 * n] + h @ p["u"])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(a[:, 2 * n :] + (r * h) @ p["v"])
-        return z, r, c, h + z * (c - h)
-
-    def log_probs(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probability of symbol y after each state."""
-        p, k = self.p, y // self.width
-        out = _picked(hs @ p["cw"] + p["cb"], k)
-        order = np.argsort(k, kind="stable")
-        cuts = np.flatnonzero(np.diff(k[order])) + 1
-        for rows in np.split(order, cuts) if len(order) else ():
-            c = k[rows[0]]
-            out[rows] += _picked(hs[rows] @ p["ww"][c].T + p["wb"][c], y[rows] - c * self.width)
-        return out
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, first: np.ndarray, h0: np.ndarray):
-        """Loss and gradients over a window (time, rows), and the state after it; where `first` holds, the state starts from zero."""
-        p, n, steps = self.p, self.hidden, len(x)
-        h, kept, hs = h0, [], []
-        for t in range(steps):
-            h = np.where(first[t][:, None], np.float32(0), h)
-            z, r, c, new = self.step(x[t], h)
-            new = np.where(mask[t][:, None], new, h)
-            kept.append((h, z, r, c))
-            hs.append(new)
-            h = new
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        flat, at = np.concatenate(hs), np.flatnonzero(mask.ravel())
-        yy, hh = y.ravel()[at], flat[at]
-        k, scale = yy // self.width, 1.0 / max(1, len(at))
-        lc = _log_softmax(hh @ p["cw"] + p["cb"])
-        loss = -lc[np.arange(len(at)), k].sum()
-        d = np.exp(lc)
-        d[np.arange(len(at)), k] -= 1
-        d *= scale
-        g["cw"], g["cb"] = hh.T @ d, d.sum(0)
-        dh_at = d @ p["cw"].T
-        order = np.argsort(k, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(k[order])) + 1) if len(order) else ():
-            c = k[rows[0]]
-            lw = _log_softmax(hh[rows] @ p["ww"][c].T + p["wb"][c])
-            pick = yy[rows] % self.width
-            loss -= lw[np.arange(len(rows)), pick].sum()
-            d = np.exp(lw)
-            d[np.arange(len(rows)), pick] -= 1
-            d *= scale
-            g["ww"][c] = d.T @ hh[rows]
-            g["wb"][c] = d.sum(0)
-            dh_at[rows] += d @ p["ww"][c]
-        out = np.zeros_like(flat)
-        out[at] = dh_at
-        out = out.reshape(steps, *h0.shape)
-        dh = np.zeros_like(h0)
-        for t in range(steps - 1, -1, -1):
-            m = mask[t][:, None]
-            prev, z, r, c = kept[t]
-            total = dh + out[t]
-            through = np.where(m, total, 0)
-            dz = through * (c - prev) * z * (1 - z)
-            dc = through * z * (1 - c * c)
-            drh = dc @ p["v"].T
-            dr = drh * prev * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            da = np.concatenate([dzr, dc], 1)
-            g["u"] += prev.T @ dzr
-            g["v"] += (r * prev).T @ dc
-            g["b"] += da.sum(0)
-            np.add.at(g["emb"], x[t], da)
-            dh = np.where(m, through * (1 - z) + drh * r + dzr @ p["u"].T, total)
-            dh[first[t]] = 0
-        return loss * scale, g, h
-
-    def fit(self, texts: list[np.ndarray], batch: int = TRAIN_BATCH, window: int = TRAIN_WINDOW, rate: float = RATE) -> "Gru":
-        """One pass over the texts by Adam, or as many as make TRAIN_TOKENS; each batch lane reads one text after another, and starts each with state zero."""
-        self.start_from(texts)
-        passes = min(MOST_PASSES, max(1, -(-TRAIN_TOKENS // max(1, sum(map(len, texts))))))
-        rng = np.random.default_rng(SEED)
-        order = np.concatenate([rng.permutation(len(texts)) for _ in range(passes)])
-        lanes: list[list[np.ndarray]] = [[] for _ in range(batch)]
-        size = [0] * batch
-        for i in order:
-            lane = size.index(min(size))
-            lanes[lane].append(texts[i])
-            size[lane] += len(texts[i])
-        length = max(size, default=0)
-        y = np.zeros((length, batch), np.int64)
-        mask, first = np.zeros((length, batch), bool), np.zeros((length, batch), bool)
-        for j, lane in enumerate(lanes):
-            t = 0
-            for s in lane:
-                y[t : t + len(s), j] = s
-                mask[t : t + len(s), j] = True
-                first[t, j] = True
-                t += len(s)
-        x = np.vstack([np.full((1, batch), self.size), y[:-1]]) if length else y
-        x[first] = self.size
-        m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        h, count = np.zeros((batch, self.hidden), np.float32), 0
-        for t in range(0, length, window):
-            cut = slice(t, t + window)
-            _, g, h = self.gradients(x[cut], y[cut], mask[cut], first[cut], h)
-            norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            clip = min(1.0, 1.0 / (norm + 1e-9))
-            count += 1
-            pace = rate * min(1.0, 2.0 * (1 - t / length) + 0.05)
-            for k, v in g.items():
-                v = v * clip
-                m1[k] += 0.1 * (v - m1[k])
-                m2[k] += 0.005 * (v * v - m2[k])
-                self.p[k] -= (pace / (1 - 0.9**count) * m1[k] / (np.sqrt(m2[k] / (1 - 0.995**count)) + 1e-6)).astype(np.float32)
-        self.p["wb"].reshape(-1)[self.size :] = -1e9
-        return self
-
-    def start_from(self, texts: list[np.ndarray]) -> None:
-        """Output biases from the symbols' frequencies in the texts."""
-        n = np.bincount(np.concatenate(texts), minlength=self.classes * self.width)[: self.classes * self.width] + 0.5 if texts else np.ones(self.classes * self.width)
-        n[self.size :] = 1e-30
+        shapes = {"emb": (size + 1, 3 * h), "u": (h, 3 * h), "cw": (h, self.classes), "cb": (self.classes,), "ww": (self.classes, width, h), "wb": (self.classes, width)}
+        spread = {"emb": 0.1, "u": 1 / math.sqrt(h), "cw": 1 / math.sqrt(h), "ww": 1 / math.sqrt(h)}
+        self.vector, self.p, at = np.zeros(sum(map(math.prod, shapes.values())), dtype), {}, 0
+        for k, s in shapes.items():
+            self.p[k] = self.vector[at : at + math.prod(s)].reshape(s)
+            at += math.prod(s)
+            if k in spread:
+                self.p[k][:] = r.normal(0, spread[k], s)
+        self._close()
+
+    def _close(self) -> None:
+        """No probability for places of the last class beyond the symbols."""
+        self.p["wb"].reshape(-1)[self.size :] = -60.0
+
+    def start_from(self, counts: np.ndarray) -> None:
+        """Output biases from the symbols' frequencies."""
+        n = np.full(self.classes * self.width, 1e-30)
+        n[: self.size] = counts[: self.size] + 0.5
         by = n.reshape(self.classes, self.width)
         self.p["cb"][:] = np.log(by.sum(1) / by.sum())
         self.p["wb"][:] = np.log(by / by.sum(1, keepdims=True))
-        self.p["wb"].reshape(-1)[self.size :] = -1e9
+        self._close()
 
-    def score(self, texts: list[np.ndarray], step: int = STEP, window: int = WINDOW) -> np.ndarray:
+    def step(self, x: np.ndarray, h: np.ndarray):
+        """One step: x are symbols, h is (hidden, lanes).  Returns update gate, reset gate, candidate, the candidate's recurrent part, and the new state."""
+        n, a, g = self.hidden, np.take(self.p["emb"], x, 0).T, self.p["u"].T @ h
+        zr = a[: 2 * n] + g[: 2 * n]
+        np.negative(zr, zr)
+        np.exp(zr, zr)
+        zr += 1
+        np.reciprocal(zr, zr)
+        z, r, q = zr[:n], zr[n:], g[2 * n :]
+        c = r * q
+        c += a[2 * n :]
+        np.tanh(c, c)
+        new = c - h
+        new *= z
+        new += h
+        return z, r, c, q, new
+
+    def _classes(self, y: np.ndarray):
+        """Rows sorted by symbol, the symbols in that order, their classes, and (class, from, to) of each run."""
+        order = np.argsort(y.astype(np.int16 if self.size < 1 << 15 else np.int64), kind="stable")
+        ys = y[order]
+        ks = ys // self.width
+        cuts = [0, *(np.flatnonzero(np.diff(ks)) + 1).tolist(), len(ks)]
+        return order, ys, ks, [(int(ks[a]), a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+    def log_probs(self, hs: np.ndarray, y: np.ndarray, backward: dict | None = None):
+        """Natural log probability of symbol y after each state (a column of hs); with `backward`, gradients of the mean loss go there and that of the states is returned too."""
+        p, one = self.p, np.ones(max(len(y), self.classes, self.width), hs.dtype)
+        order, ys, ks, parts = self._classes(y)
+        h, at = np.take(hs.T, order, 0), np.arange(len(y))
+        e = h @ p["cw"]
+        e += p["cb"]
+        out = e[at, ks].astype(np.float64)
+        np.exp(e, e)
+        total = e @ one[: self.classes]
+        out -= np.log(total)
+        if backward is not None:
+            e *= (1 / (len(y) * total))[:, None]
+            e[at, ks] -= one[0] / len(y)
+            backward["cw"] += h.T @ e
+            backward["cb"] += one[: len(y)] @ e
+            dh = e @ p["cw"].T
+        for c, a, b in parts:
+            part, pick, own = h[a:b], ys[a:b] - c * self.width, at[: b - a]
+            e = part @ p["ww"][c].T
+            e += p["wb"][c]
+            out[a:b] += e[own, pick]
+            np.exp(e, e)
+            total = e @ one[: self.width]
+            out[a:b] -= np.log(total)
+            if backward is not None:
+                e *= (1 / (len(y) * total))[:, None]
+                e[own, pick] -= one[0] / len(y)
+                backward["ww"][c] += e.T @ part
+                backward["wb"][c] += one[: b - a] @ e
+                dh[a:b] += e @ p["ww"][c]
+        back = np.empty_like(out)
+        back[order] = out
+        if backward is None:
+            return back
+        d = np.empty_like(dh)
+        d[order] = dh
+        return back, d
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, live: list[int], h0: np.ndarray, grad: np.ndarray):
+        """Mean loss over a window and the state after it; the gradient goes to `grad`.
+
+        x, y, first: (time, lanes).  At step t the first live[t] lanes have a symbol (never more than at t - 1);
+        where `first` holds, the state starts from zero.
+        """
+        grad[:] = 0
+        g, n, steps, at = {}, self.hidden, len(x), 0
+        for k, v in self.p.items():
+            g[k] = grad[at : at + v.size].reshape(v.shape)
+            at += v.size
+        h, kept = h0, []
+        for t in range(steps):
+            h = h[:, : live[t]]
+            if first[t, : live[t]].any():
+                h = h * ~first[t, : live[t]]
+            kept.append((h, *self.step(x[t, : live[t]], h)))
+            h = kept[-1][-1]
+        hs = np.concatenate([k[-1] for k in kept], 1)
+        logs, out = self.log_probs(hs, np.concatenate([y[t, : live[t]] for t in range(steps)]), g)
+        out = np.ascontiguousarray(out.T)
+        ends = np.cumsum([0, *live[:steps]])
+        da, dg = np.empty((3 * n, hs.shape[1]), hs.dtype), np.empty((3 * n, hs.shape[1]), hs.dtype)
+        dh = np.zeros((n, live[steps - 1]), hs.dtype)
+        for t in range(steps - 1, -1, -1):
+            prev, z, r, c, q, _ = kept[t]
+            cut = slice(ends[t], ends[t + 1])
+            total = out[:, cut].copy()
+            total[:, : dh.shape[1]] += dh
+            tz = total * z
+            dc = 1 - c * c
+            dc *= tz
+            dz = c - prev
+            dz *= tz
+            dz *= 1 - z
+            dr = dc * r
+            dg[2 * n :, cut] = dr
+            dr *= q
+            dr *= 1 - r
+            da[:n, cut], da[n : 2 * n, cut], da[2 * n :, cut] = dz, dr, dc
+            dg[: 2 * n, cut] = da[: 2 * n, cut]
+            total -= tz
+            dh = self.p["u"] @ dg[:, cut]
+            dh += total
+            if first[t, : live[t]].any():
+                dh *= ~first[t, : live[t]]
+        g["u"][:] = np.concatenate([k[0] for k in kept], 1) @ dg.T
+        xs = np.concatenate([x[t, : live[t]] for t in range(steps)])
+        for j in range(3 * n):
+            g["emb"][:, j] = np.bincount(xs, da[j], self.size + 1)
+        g["wb"].reshape(-1)[self.size :] = 0
+        return -float(logs.mean()), h
+
+    def score(self, texts: list[np.ndarray], lanes: int = STEP, window: int = WINDOW) -> np.ndarray:
         """Natural log probability of each text's symbols; every text has one at least."""
         out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for a in range(0, len(order), step):
-            group = order[a : a + step]
-            longest = len(texts[group[0]])
-            h = np.zeros((len(group), self.hidden), np.float32)
-            last = np.full(len(group), self.size)
-            sizes = np.array([len(texts[i]) for i in group])
-            for t in range(0, longest, window):
-                live = int((sizes > t).sum())
-                span = min(window, longest - t)
-                y = np.zeros((span, live), np.int64)
-                for j in range(live):
-                    s = texts[group[j]][t : t + span]
-                    y[: len(s), j] = s
-                h, hs = h[:live], np.empty((span, live, self.hidden), np.float32)
-                x = last[:live]
-                for i in range(span):
-                    h = self.step(x, h)[3]
-                    hs[i] = h
-                    x = y[i]
-                last = x
-                real = (np.arange(span)[:, None] + t) < sizes[None, :live]
-                got = np.zeros((span, live))
-                got[real] = self.log_probs(hs[real], y[real])
-                out[group[:live]] += got.sum(0)
+        if not texts:
+            return out
+        x, y, first, text, live = in_lanes(texts, lanes, self.size)
+        h = np.zeros((self.hidden, x.shape[1]), self.vector.dtype)
+        for a in range(0, len(x), window):
+            hs, cuts = [], live[a : a + window]
+            for t, n in enumerate(cuts, a):
+                h = h[:, :n]
+                if first[t, :n].any():
+                    h = h * ~first[t, :n]
+                h = self.step(x[t, :n], h)[-1]
+                hs.append(h)
+            flat = lambda v: np.concatenate([v[t, :n] for t, n in enumerate(cuts, a)])
+            out += np.bincount(flat(text), self.log_probs(np.concatenate(hs, 1), flat(y)), len(texts))
         return out
 
 
+class Adam:
+    def __init__(self, gru: Gru, rate: float = RATE):
+        self.gru, self.rate, self.count = gru, rate, 0
+        self.m1, self.m2, self.grad = (np.zeros_like(gru.vector) for _ in range(3))
+
+    def read(self, texts: list[np.ndarray], lanes: int, window: int = TRAIN_WINDOW, piece: int = PIECE) -> int:
+        """One pass over the texts, a step for each window; returns the number of symbols."""
+        gru, grad = self.gru, self.grad
+        pieces = [s[i : i + piece] for s in texts for i in range(0, len(s), piece)]
+        before = np.array([gru.size if i == 0 else s[i - 1] for s in texts for i in range(0, len(s), piece)], np.int32)
+        if not pieces:
+            return 0
+        x, y, first, text, live = in_lanes(pieces, lanes, gru.size)
+        x[first] = before[text[first]]
+        h = np.zeros((gru.hidden, x.shape[1]), gru.vector.dtype)
+        for a in range(0, len(x), window):
+            cut, n = slice(a, a + window), live[a]
+            _, h = gru.gradients(x[cut, :n], y[cut, :n], first[cut, :n], live[cut], h[:, :n], grad)
+            self.count += 1
+            grad *= min(1.0, 1.0 / (math.sqrt(float(grad @ grad)) + 1e-9))
+            self.m1 += 0.1 * (grad - self.m1)
+            grad *= grad
+            self.m2 += 0.005 * (grad - self.m2)
+            pace = self.rate / math.sqrt(1 + self.count / 100)
+            root = np.sqrt(self.m2)
+            root *= 1 / math.sqrt(1 - 0.995**self.count)
+            root += 1e-6
+            np.divide(self.m1, root, root)
+            root *= pace / (1 - 0.9**self.count)
+            gru.vector -= root
+            for k in ("cw", "ww"):  # so that no logit overflows: states lie between -1 and 1
+                np.clip(gru.p[k], -BOUND, BOUND, gru.p[k])
+        return sum(map(len, pieces))
+
+
+def in_lanes(texts: list[np.ndarray], lanes: int, start: int):
+    """Texts one after another in at most that many lanes, the longest lane first.
+
+    (x, y, first, text, live): symbols before and at each place, whether a text starts there, which one it
+    is, and how many lanes go on at each step.
+    """
+    load = [(0, i) for i in range(min(lanes, len(texts)))]
+    where: list[list[int]] = [[] for _ in load]
+    for i in sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)):
+        n, lane = load[0]
+        where[lane].append(i)
+        heapq.heapreplace(load, (n + len(texts[i]), lane))
+    size = dict((lane, n) for n, lane in load)
+    where = [where[lane] for lane in sorted(size, key=lambda lane: (-size[lane], lane))]
+    long = np.array(sorted(size.values(), reverse=True), np.int64)
+    steps = int(long.max(initial=0))
+    y, text = np.zeros((len(where), steps), np.int32), np.zeros((len(where), steps), np.int32)
+    first = np.zeros((len(where), steps), bool)
+    for j, own in enumerate(where):
+        n = int(long[j])
+        y[j, :n] = np.concatenate([texts[i] for i in own])
+        sizes = [len(texts[i]) for i in own]
+        text[j, :n] = np.repeat(own, sizes)
+        first[j, np.cumsum([0, *sizes[:-1]])] = True
+    x = np.empty_like(y)
+    x[:, 1:] = y[:, :-1]
+    x[first] = start
+    live = np.searchsorted(-long, -np.arange(steps), "left").tolist()
+    return *(np.ascontiguousarray(v.T) for v in (x, y, first, text)), live
+
+
 #: buckets of the contexts of one, two and three bytes; 256 stands for the borders of a token
 CONTEXTS = (257, 1 << 12, 1 << 14)
 
@@ -301,7 +358,7 @@ class Statistics:
 
     def behind_other(self, words: list[bytes], counts) -> np.ndarray:
         """log10 P(w | other) of each word, given its count."""
-        told = math.log(self.unseen) + self.spelling.all(words)
+        told = math.log(self.unseen) + np.concatenate([self.spelling.all(words[i : i + 50_000]) for i in range(0, len(words), 50_000)] or [np.empty(0)])
         c = np.asarray(counts, float)
         if self.other and len(words):
             with np.errstate(divide="ignore"):
@@ -362,29 +419,92 @@ def _spelled(batches):
 
 
 class Model:
+    """What each task needs: the GRU, and of each frequent token its symbol, log10(count + 1), whether it is known, and log10 P(w | other) where the symbol is OTHER."""
+
     def __init__(self, gru: Gru, stats: Statistics, frequent: dict[bytes, tuple[int, int, float]]):
-        """frequent: token -> (count, symbol, log10 P(w | other) where the symbol is OTHER)."""
-        self.gru, self.stats, self.frequent = gru, stats, frequent
-        self.logs = {w: math.log10(c + 1) for w, (c, _, _) in frequent.items()}
+        """frequent: token -> (count, symbol, log10 P(w | other)); the empty token is the end."""
+        self.gru, self.stats = gru, stats
+        frequent = {b"": (0, END, 0.0)} | frequent
+        self.index = {w: i for i, w in enumerate(frequent)}
+        none = [(0, OTHER, 0.0)]  # what place -1 gives
+        count, symbol, behind = zip(*frequent.values(), *none)
+        self.log, self.known = np.log10(np.array(count, np.float64) + 1), np.array(count) > 0
+        self.symbol, self.behind = np.array(symbol, np.int32), np.array(behind)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Of each word and the end; -1 for tokens that are not frequent."""
+        return np.fromiter(map(self.index.get, [*words, b""], repeat(-1)), np.int32, len(words) + 1)
 
     def symbols(self, words: list[bytes]) -> np.ndarray:
-        f, none = self.frequent, (0, OTHER, 0.0)
-        return np.fromiter([f.get(w, none)[1] for w in words] + [END], np.int64, len(words) + 1)
+        return self.symbol[self.places(words)]
+
 
+PARAMETERS = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("numbers", T.BinaryType())])
 
-def build(spark: SparkSession, docs: DataFrame, counts: DataFrame, most: int = FREQUENT, n_words: int = WORDS, train_docs: int = TRAIN_DOCS) -> Model:
+
+def _in_chunks(vector: np.ndarray, weight: float) -> pa.RecordBatch:
+    """The vector times the weight, cut into rows."""
+    parts = [(vector[i : i + CHUNK].astype(np.float64) * weight).astype("<f4").tobytes() for i in range(0, len(vector), CHUNK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), type=pa.int32()), pa.array([float(weight)] * len(parts)), pa.array(parts, type=pa.binary())], names=PARAMETERS.fieldNames())
+
+
+def _summed(batches):
+    """One row for each chunk; a task holds no more numbers than the model has."""
+    weight: dict[int, float] = {}
+    numbers: dict[int, np.ndarray] = {}
+    for b in batches:
+        for c, w, x in zip(*(col.to_pylist() for col in b.columns)):
+            weight[c] = weight.get(c, 0.0) + w
+            numbers[c] = numbers.get(c, 0.0) + np.frombuffer(x, "<f4").astype(np.float64)
+    if weight:
+        kept = [(numbers[c] / max(weight[c], 1e-30)).astype("<f4").tobytes() for c in weight]
+        yield pa.RecordBatch.from_arrays([pa.array(list(weight), type=pa.int32()), pa.array(list(weight.values())), pa.array(kept, type=pa.binary())], names=PARAMETERS.fieldNames())
+
+
+def fitted(docs: DataFrame, gru: Gru, symbols: dict[bytes, int], n: int) -> Gru:
+    """The GRU after all rounds over docs (train, doc_id, text) with n training tokens."""
+    spark = docs.sparkSession
+    lanes = int(np.clip(n // TOKENS_A_LANE, *LANES))
+    passes = int(np.clip(-(-TRAIN_TOKENS // max(1, n)), 1, MOST_PASSES))
+    sixteenth = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    for begin, end in ROUNDS:
+        sent = spark.sparkContext.broadcast((gru, symbols))
+
+        def run(batches, sent=sent):
+            start, symbol = sent.value
+            own = Gru(start.size, start.hidden, start.width)
+            own.vector[:] = start.vector
+            adam, read = Adam(own), 0
+            for b in (part for batch in batches for part in slices(batch, 0)):
+                words = [words_of(t) for t in b.column(0).to_pylist()]
+                texts = [np.fromiter([*map(symbol.get, w, repeat(OTHER)), END], np.int32, len(w) + 1) for w in words]
+                for _ in range(passes):
+                    read += adam.read(texts, lanes)
+            if read:
+                yield _in_chunks(own.vector, read)
+
+        part = docs.where("train").where((sixteenth >= begin) & (sixteenth < end)).select(F.col("text").cast("binary").alias("text"))
+        sums = part.mapInArrow(run, PARAMETERS).repartition(8, "chunk").mapInArrow(_summed, PARAMETERS)
+        got = sums.collect()  # as many numbers as the model has
+        for r in got:
+            gru.vector[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.numbers, "<f4")
+        sent.unpersist()
+    return gru
+
+
+def build(spark: SparkSession, docs: DataFrame, counts: DataFrame, most: int = FREQUENT, n_words: int = WORDS) -> Model:
     n, v, everything = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("total")).first()
     n, everything = n or 0, everything or 0
     # at most `most` tokens can be that frequent
-    top = counts.where((F.col("total") >= everything / most) | (F.col("token") == "")).select(F.col("token").cast("binary").alias("token"), "c").collect()
-    ranked = sorted(((bytes(r.token), r.c) for r in top), key=lambda x: (-x[1], x[0]))
-    vocabulary = [w for w, c in ranked if w and c][:n_words]
+    top = counts.where((F.col("total") >= everything / most) | (F.col("token") == "")).select(F.col("token").cast("binary").alias("token"), "c").toPandas()
+    ranked = sorted(((bytes(w), int(c)) for w, c in zip(top["token"], top["c"])), key=lambda x: (-x[1], x[0]))
+    vocabulary = [(w, c) for w, c in ranked if w and c][:n_words]
     tables = [np.zeros(c * 257, np.int64) for c in CONTEXTS]
     spelled = counts.where("c > 0 and token <> ''").select(F.col("token").cast("binary")).mapInArrow(_spelled, SPELLED).groupBy("order", "at").agg(F.sum("n").alias("n")).toPandas()
     for order, filled in enumerate(tables):  # as many numbers as the tables have places at most
         part = spelled[spelled["order"] == order]
         filled[part["at"].to_numpy()] = part["n"].to_numpy()
-    symbol = {w: i + 2 for i, w in enumerate(vocabulary)}
+    symbol = {w: i + 2 for i, (w, _) in enumerate(vocabulary)}
     inside = sum(c for w, c in ranked if w in symbol or not w)
     once = counts.where("c = 1 and token <> ''").count()
     stats = Statistics(n, v, n - inside, once, Spelling([x.reshape(-1, 257) for x in tables]))
@@ -392,13 +512,9 @@ def build(spark: SparkSession, docs: DataFrame, counts: DataFrame, most: int = F
     behind = dict(zip((w for w, _ in beyond), stats.behind_other([w for w, _ in beyond], [c for _, c in beyond]).tolist()))
     frequent = {w: (c, END if not w else symbol.get(w, OTHER), behind.get(w, 0.0)) for w, c in ranked}
     gru = Gru(len(vocabulary) + 2)
-    model = Model(gru, stats, frequent)
-    # ids first: only the texts picked travel to the driver
-    ids = docs.where("train AND doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).distinct()
-    picked = docs.where("train").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text")).collect()
-    picked = sorted(picked, key=lambda r: (r.doc_id, bytes(r.text or b"")))[:train_docs]
-    gru.fit([model.symbols(words_of(r.text)) for r in picked])
-    return model
+    ends = dict(ranked).get(b"", 0)
+    gru.start_from(np.array([n - inside, ends, *(c for _, c in vocabulary)], np.float64))
+    return Model(fitted(docs, gru, symbol, n), stats, frequent)
 
 
 RARE = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("k", T.IntegerType())]))
@@ -415,27 +531,21 @@ def parts(docs: DataFrame, keys: list[str], model: Model, text: str = "text") ->
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        m, arrow = sent.value, to_arrow_schema(schema)
-        f, logs, k = m.frequent, m.logs, len(keys)
-        for b in (part for batch in batches for part in slices(batch, k)):
-            symbols, rows, rare, times, cuts = [], [], [], [], [0]
-            for data in b.column(k).to_pylist():
-                words = words_of(data)
-                symbols.append(m.symbols(words))
-                base, known, behind = logs.get(b"", 0.0), int(f.get(b"", (0,))[0] > 0), 0.0
-                for w, n in Counter(words).items():
-                    got = f.get(w)
-                    if got is None:
-                        rare.append(w)
-                        times.append(n)
-                        continue
-                    base += n * logs[w]
-                    known += n * (got[0] > 0)
-                    behind += n * got[2]
+        m, arrow, k = sent.value, to_arrow_schema(schema), len(keys)
+        for b in (part for batch in batches for part in slices(batch, k, SCORED)):
+            own = [words_of(data) for data in b.column(k).to_pylist()]
+            n_tokens = np.array([len(w) + 1 for w in own])
+            places = [m.places(w) for w in own]
+            flat, start = np.concatenate(places), np.concatenate([[0], np.cumsum(n_tokens)[:-1]])
+            known = np.add.reduceat(m.known[flat].astype(np.int64), start)
+            base, behind = np.add.reduceat(m.log[flat], start), np.add.reduceat(m.behind[flat], start)
+            rare, times, cuts = [], [], [0]
+            for w, p in zip(own, places):
+                met = Counter([w[i] for i in np.flatnonzero(p < 0).tolist()])
+                rare += met.keys()
+                times += met.values()
                 cuts.append(len(rare))
-                rows.append((len(words) + 1, known, base, behind))
-            n_tokens, known, base, behind = map(np.array, zip(*rows))
-            score = behind + m.gru.score(symbols) / math.log(10)
+            score = behind + m.gru.score([m.symbol[p] for p in places]) / math.log(10)
             tokens = pa.array(rare, type=pa.binary())
             try:
                 tokens = tokens.cast(pa.string())
@@ -451,14 +561,14 @@ def parts(docs: DataFrame, keys: list[str], model: Model, text: str = "text") ->
 LOOKED_UP = T.StructType([T.StructField("token", T.StringType()), T.StructField("c", T.LongType()), T.StructField("behind", T.DoubleType())])
 
 
-def scored(docs: DataFrame, train, n_words: int = WORDS, most: int = FREQUENT, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def scored(docs: DataFrame, train, n_words: int = WORDS, most: int = FREQUENT) -> DataFrame:
     """A row for each row of docs; train: which rows may be learnt from."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
     src = docs.select("doc_id", "text", train.alias("train"))
     counts = scratch.save(token_counts(src))
-    model = build(spark, src, counts, most, n_words, train_docs)
+    model = build(spark, src, counts, most, n_words)
     stats = spark.sparkContext.broadcast(model.stats)
     rows = scratch.save(parts(src, ["doc_id", "train"], model).withColumn("row", F.monotonically_increasing_id()))
     everything = counts.agg(F.sum("total")).first()[0] or 0
