@@ -5,8 +5,11 @@ only where a keyword stands is the kind's expression tried, anchored at the hit,
 checksum or a decodable header are kept only if that holds.  Hexadecimal runs have no keyword: there the
 text is mapped to character classes, in which 24 class letters in a row are the keyword.
 
-Defined results: null and empty texts have no span; repeated rows give a row each; other columns are
-ignored, and so cannot clash; offsets are code points, end exclusive.
+Each part of a text is read a fixed number of times, whatever it holds, so a text's cost is linear in its
+length.
+
+Defined results: null and empty texts have no span; texts may be of any length; repeated rows give a row
+each; other columns are ignored, and so cannot clash; offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ HEX = re.compile(rb"[0-9a-f]+")
 GITHUB = re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 NPM = re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+JWT_HEAD, JWT_REST = re.compile(rb"eyJ[A-Za-z0-9_-]+"), re.compile(rb"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]")
 PEM = re.compile(rb"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----")
 
 HEX_LEAST, ACCESS_LEAST, ASSIGN_LEAST = 24, 20, 6
@@ -109,6 +113,9 @@ def find(data: bytes, auto) -> list[tuple[int, str, int]]:
     for at, kind in hits:
         if at < past[kind]:
             continue
+        if kind == "jwt" and (head := JWT_HEAD.match(data, at)) and not JWT_REST.match(data, head.end()):
+            past[kind] = head.end()  # what follows is the same for all hits before it
+            continue
         rx, holds = ANCHORED[kind]
         m = rx.match(data, at)
         if m:

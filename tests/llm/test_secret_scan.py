@@ -62,3 +62,20 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.n_assign) for r in rows) == [(0, 1), (1, 0), (1, 0)]
     assert S.scan(df.limit(0), ["doc_id"]).count() == 0
     assert [r.text for r in S.redact(df).orderBy("doc_id").collect()].count("[ASSIGN]") == 1
+
+
+def test_long_texts_take_linear_time():
+    """Two million bytes of hits that lead nowhere."""
+    import time
+
+    auto = S.automaton()
+    for piece in (b"eyJ", b"eyJa.", b"eyJa.eyJ", b"token ", b"AKIA", b"ghp_", b"-----BEGIN "):
+        began = time.time()
+        S.find(piece * (2_000_000 // len(piece)), auto)
+        assert time.time() - began < 8, piece
+
+
+def test_a_token_after_heads_that_lead_nowhere():
+    good = b".".join(S.base64.urlsafe_b64encode(x).rstrip(b"=") for x in (b'{"alg":"HS256"}', b'{"sub":"1"}', b"sign"))
+    for data in (good, b"eyJeyJeyJ " + good, b"eyJa.eyJb " + good, b"eyJ." + good):
+        assert [(data[a:b]) for a, k, b in S.find(data, S.automaton()) if k == "jwt"] == [good]
