@@ -5,11 +5,14 @@ into windows of ten words; an item of fewer words is one window.  A text is norm
 place of each word kept, scanned once, and each occurrence marks its words, which map back to the
 original text's bytes.
 
-The items travel as a broadcast of a checked size: at most AUTOMATON_BYTES of windows a block.  A larger
-benchmark is scanned block by block, and the marks of the blocks are joined in the row that carries the text.
-
-Defined results: null and empty texts have no words; an item without words never occurs; repeated items
-with one id count once; repeated rows give a row each; other columns are ignored.
+The items travel as a broadcast of a checked size: at most about AUTOMATON_BYTES of windows a block; a long
+item is cut into pieces that overlap by all but one word of a window.  A larger benchmark is scanned block by
+block, and the marks of the blocks are joined in the row that carries the text.
+
+Defined results: null and empty texts have no words; texts may be of any length; an item without words never
+occurs; repeated items with one id count once; items without an id count as one item that has no name, so
+their words are hit too; repeated rows give a row each; all other columns are kept by mark(), whose own column
+gets another name where `marks` is taken, and ignored by digest().
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotloom.llm.common import ALNUM, Scratch, ship, table
+from spotloom.llm.common import ALNUM, Scratch, fresh, ship, table
 
 WINDOW = 10
 #: bytes of window text in one automaton; an automaton takes about forty times as much memory
@@ -40,11 +43,11 @@ def windows_of(words: list[bytes], n: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
 
 
-def build(items: list[tuple[str, bytes]], n: int = WINDOW):
+def build(items: list[tuple[str | None, bytes]], n: int = WINDOW):
     """The automaton; each pattern's value is (number of words, ids of the items it stands in)."""
     import ahocorasick
 
-    owners: dict[tuple[bytes, ...], set[str]] = {}
+    owners: dict[tuple[bytes, ...], set[str | None]] = {}
     for item, data in items:
         for w in windows_of(words_of(data), n):
             owners.setdefault(w, set()).add(item)
@@ -104,33 +107,62 @@ MARKS = T.StructType(
 )
 
 
-def blocks_of(items: DataFrame, most: int) -> list[DataFrame | list]:
-    """The items as (id, bytes) lists, one for each block of at most about `most` bytes of windows."""
-    src = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("data")).where("item is not null and data is not null")
+PIECES = T.StructType([T.StructField("item", T.StringType()), T.StructField("piece", T.IntegerType()), T.StructField("data", T.BinaryType())])
+
+
+def pieces_of(words: list[bytes], most: int, n: int = WINDOW) -> list[list[bytes]]:
+    """Runs of words of about `most` bytes, or n words, that together have the windows of all."""
+    out, start, held = [], 0, 0
+    for i, w in enumerate(words):
+        held += len(w) + 1
+        if held >= most and i - start + 1 >= n and i + 1 < len(words):
+            out.append(words[start : i + 1])
+            start = i - n + 2
+            held = sum(len(x) + 1 for x in words[start : i + 1])
+    return [*out, words[start:]] if words else []
+
+
+def blocks_of(items: DataFrame, most: int) -> list[DataFrame]:
+    """The items as (item, data), one table for each block of about `most` bytes of windows."""
+
+    def cut(batches):
+        for b in batches:
+            rows = [(i, k, b" ".join(p)) for i, t in zip(*(c.to_pylist() for c in b.columns)) for k, p in enumerate(pieces_of(words_of(t), max(1, most // (4 * WINDOW))))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary()))], names=PIECES.fieldNames())
+
+    src = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("data")).where("data is not null").mapInArrow(cut, PIECES)
     total = src.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     n = max(1, -(-total * WINDOW // most))
     if n == 1:
         return [src]
-    cut = src.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)))
-    return [cut.where(F.col("block") == i).drop("block") for i in range(n)]
+    dealt = src.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(n)))
+    return [dealt.where(F.col("block") == i).drop("block") for i in range(n)]
+
+
+def _sorted(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x))
 
 
 def mark(docs: DataFrame, items: DataFrame, text: str = "text", most: int = AUTOMATON_BYTES) -> DataFrame:
-    """docs with the column `marks`: number of words, hit ranges in words and bytes, and items that occur."""
+    """docs with a last column `marks`: number of words, hit ranges in words and bytes, and items that occur.
+
+    Where docs has a column of that name, the new one is named by fresh(docs, "marks").
+    """
     spark = docs.sparkSession
     ship(spark)
-    blocks, scratch = blocks_of(items, most), None
+    blocks, scratch, name = blocks_of(items, most), None, fresh(docs, "marks")
     out = docs
     for i, block in enumerate(blocks):
         rows = spark.sparkContext.broadcast([(r.item, bytes(r.data)) for r in block.collect()])
-        src = out if i else out.withColumn("marks", F.lit(None).cast(MARKS))
+        src = out if i else out.withColumn(name, F.lit(None).cast(MARKS))
         at, schema = src.columns.index(text), src.schema
 
         def run(batches, rows=rows, at=at, schema=schema):
             from pyspark.sql.pandas.types import to_arrow_schema
 
             auto, arrow = build(rows.value), to_arrow_schema(schema)
-            kind = arrow.field("marks").type
+            kind = arrow.field(arrow.names[-1]).type
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -141,7 +173,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", most: int = AUTO
                     if had and had["ranges"]:
                         ranges = merge([*ranges, *zip(had["ranges"][::2], had["ranges"][1::2])])
                         ids |= set(had["items"])
-                    new.append({"n_words": len(words), "ranges": [x for r in ranges for x in r], "spans": [x for r in byte_spans(data, ranges) for x in r], "items": sorted(ids)})
+                    new.append({"n_words": len(words), "ranges": [x for r in ranges for x in r], "spans": [x for r in byte_spans(data, ranges) for x in r], "items": _sorted(ids)})
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, type=kind)], schema=arrow)
 
         out = src.mapInArrow(run, schema)
@@ -173,22 +205,22 @@ _WORDS = "list_filter(regexp_split_to_array(translate({t}, 'ABCDEFGHIJKLMNOPQRST
 
 SQL = {
     "op5_decontaminate": f"""
-WITH d AS (SELECT doc_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(t="coalesce(text, '')")} AS w FROM benchmark),
 win AS (
   SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
 grams AS (
-  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-hits AS (SELECT g.doc_id, g.i, g.n, win.item FROM grams g JOIN win ON g.n = win.n AND g.g = win.g),
-pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT g.r, g.i, g.n, win.item FROM grams g JOIN win ON g.n = win.n AND g.g = win.g),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pos.n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(its.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(its.s, '')) AS items_sha256,
   coalesce(pos.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 }
 QUERIES = {"op5_decontaminate": op5_decontaminate}
