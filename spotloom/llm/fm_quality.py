@@ -12,7 +12,9 @@ alone come to the driver; every row is scored.
 
 Defined results: null and empty texts have the bins of an empty text and get a score; a document with
 several label rows has the label of the majority (ties: 1); null labels don't count; without any label, or
-with labels of one kind only, the score is that share (0.5 without any); repeated rows give a row each.
+with labels of one kind only, the score is that share (0.5 without any); repeated rows give a row each, and
+where an id that is learnt from has several texts, that of least hash is; texts may be of any length; other
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotloom.llm.common import LOWER, remainder, ship, table
+from spotloom.llm.common import LOWER, fresh, remainder, ship, table
 
 WORD_BUCKETS = 1 << 15
 FACTORS = 8
@@ -195,8 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, column: str, allowed: Column, rows
 
     # the sample has a fixed number of rows at most, so it is sent to each task
     picked = docs.select("doc_id", F.col("text").cast("binary").alias("text"), _chars(docs).alias("chars")).join(F.broadcast(sample_of(labels, column, allowed, rows)), "doc_id")
-    got = picked.select("doc_id", "label", featured("text", "chars").alias("x")).toPandas()
-    got = got.assign(size=got.x.map(lambda x: len(x["col"]))).sort_values(["doc_id", "size"], kind="stable").head(rows)
+    one = F.min(F.struct(F.xxhash64("text", "chars").alias("h"), "text", "chars")).alias("one")  # an id may have any number of rows
+    picked = picked.groupBy("doc_id", "label").agg(one).select("doc_id", "label", "one.text", "one.chars")
+    got = picked.select("doc_id", "label", featured("text", "chars").alias("x")).toPandas().sort_values("doc_id")
     data = [(np.asarray(x["col"], np.int64), np.asarray(x["val"], np.float32)) for x in got.x]
     return Machine().fit(data, got.label.to_numpy(np.float64))
 
@@ -215,8 +218,8 @@ def scorer(spark: SparkSession, machine: Machine):
 
 
 def scores(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with the column `score`."""
-    return docs.withColumn("score", scorer(docs.sparkSession, machine)(F.col("text").cast("binary"), _chars(docs)))
+    """docs with a last column `score`, or fresh(docs, "score") where there is one."""
+    return docs.withColumn(fresh(docs, "score"), scorer(docs.sparkSession, machine)(F.col("text").cast("binary"), _chars(docs)))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
