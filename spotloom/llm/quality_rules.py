@@ -2,22 +2,24 @@
 
 Measures of each text are expressions inside one projection (windows of eight words are compared by a
 64-bit hash; two different windows of one text that share a hash would count as equal).  For each language
-and source a quantile sketch is kept for each measure: counts by bucket of a thousandth, MEASURES times 1001
-numbers at most, whatever the number of rows.  Sketches merge by adding counts; a source with fewer than
-LEAST_ROWS documents takes the merged sketch of its language, a language with fewer that of all.
-
-A measure is out of bounds beyond the upper quartile plus REACH times the spread between the quartiles
-(with a least spread, since many clean sources have none); mean word length also below the lower quartile
-less as much.  The thresholds are joined back to the measures, and a text with a measure out of bounds,
-or that fails the base rules, is not kept.
-
-Defined results: null and empty texts have no words and fail the base rules; null languages and sources
-form groups of their own; repeated rows give a row each; other columns are ignored.
+and source a quantile sketch is kept for each measure: counts by bucket, the buckets as wide as a 32nd of
+their values, so a sketch has some hundreds of numbers whatever the number of rows.  Sketches merge by adding
+counts.  A source's sketch is merged with that of its language, which counts as PRIOR rows, and a language's
+likewise with that of all: small sources follow their language, large ones themselves, without a step between.
+
+The thresholds of a cell are the quantiles of its own sketch: a measure is out of bounds in the bucket beyond
+that up to which all but TAIL thousandths of the cell's rows lie, mean word length also below that of TAIL
+thousandths.  They are joined back to the measures, and a text with a measure out of bounds, or that fails
+the base rules, is not kept.
+
+Defined results: null and empty texts have no words and fail the base rules; texts may be of any length; null
+languages and sources form groups of their own; repeated rows give a row each; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spotloom.llm.common import Scratch, table
@@ -27,11 +29,16 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of words
-LEAST_ROWS = 50
-REACH = 3
-TOP = 1000
-#: measure -> (least spread of its quartiles, whether low values count too)
-MEASURES = {"symbols": (20, False), "dup_lines": (60, False), "repeats": (60, False), "word_length": (8, True)}
+#: rows that what is known of the language counts for in a source, and what is known of all in a language
+PRIOR = 100
+#: thousandths of a cell's rows beyond a threshold, by which a measure is out of bounds
+TAIL = 10
+#: highest bits of a measure that its bucket keeps: a relative error of 1/32
+SIGNIFICANT = 6
+#: measure -> what is divided by what
+MEASURES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+#: those of which low values are out of bounds too
+LOW_TOO = ("word_length",)
 NONE = "\u0000none"
 
 
@@ -82,68 +89,77 @@ def measured(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 BASE_FAILED = f"(n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words)"
 
 
-def _bucket(name: str) -> Column:
-    part = {"symbols": "1000 * n_symbols div greatest(word_chars, 1)", "dup_lines": "1000 * n_dup_lines div greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words div greatest(n_words, 1)", "word_length": "10 * word_chars div greatest(n_words, 1)"}[name]
-    return F.least(F.expr(part), F.lit(TOP).cast("long"))
+def _bucket(name: str, div: str = "div") -> str:
+    """SQL: the measure in millionths, cut to its SIGNIFICANT highest bits."""
+    value = f"1000000 * {MEASURES[name][0]} {div} greatest({MEASURES[name][1]}, 1)"
+    drop = f"greatest(length(bin({value})) - {SIGNIFICANT}, 0)"
+    if div == "div":
+        return f"shiftleft(shiftright({value}, {drop}), {drop})"
+    return f"((({value}) >> CAST({drop} AS BIGINT)) << CAST({drop} AS BIGINT))"
 
 
 def sketches(m: DataFrame) -> DataFrame:
     """Counts by (lang, source, measure, bucket) of the texts that pass the base rules."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _bucket(k).alias("bucket")) for k in MEASURES]))
-    return m.where(f"NOT {BASE_FAILED}").select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(_bucket(k)).alias("bucket")) for k in MEASURES]))
+    return m.where(f"NOT {BASE_FAILED}").select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").cast("decimal(38,0)").alias("n"))
 
 
 def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
-    return sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    return sketch.groupBy(*by, "bucket").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+
+
+def with_prior(sketch: DataFrame, prior: DataFrame, by: list[str]) -> DataFrame:
+    """The sketch, each of its cells as if PRIOR rows more had been seen that are spread as in the prior sketch of the cell's `by`.
 
+    Counts are multiplied by the prior's total, so that they stay whole numbers; only ratios matter.
+    """
+    total = prior.groupBy(*by).agg(F.sum("n").cast("decimal(38,0)").alias("total"))
+    rest = [c for c in sketch.columns if c not in (*by, "bucket", "n")]
+    cells = sketch.select(*by, *rest).distinct()
+    whole = lambda c: c.cast("decimal(38,0)")
+    own = sketch.join(total, by).select(*by, *rest, "bucket", whole(F.col("n") * F.col("total")).alias("n"))
+    more = cells.join(prior, by).select(*by, *rest, "bucket", whole(F.col("n") * PRIOR).alias("n"))
+    return merged(own.union(more), [*by, *rest])
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """(by, measure, rows, low, high): the least buckets below which a quarter, three quarters of the rows lie or in which they end."""
-    from pyspark.sql import Window
 
-    own = Window.partitionBy(*by, "measure")
-    c = sketch.select(*by, "measure", "bucket", F.sum("n").over(own.orderBy("bucket")).alias("upto"), F.sum("n").over(own).alias("rows"))
-    return c.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), F.min(F.when(F.col("upto") * 4 >= F.col("rows"), F.col("bucket"))).alias("low"), F.min(F.when(F.col("upto") * 4 >= F.col("rows") * 3, F.col("bucket"))).alias("high"))
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by, lo, hi): the least buckets up to which TAIL of the cell's rows lie, and all but TAIL."""
+    own = Window.partitionBy(*by)
+    c = sketch.select(*by, "bucket", F.sum("n").over(own.orderBy("bucket")).alias("upto"), F.sum("n").over(own).alias("rows"))
+    at = lambda share: F.min(F.when(F.col("upto") * 1000 >= F.col("rows") * share, F.col("bucket")))
+    return c.groupBy(*by).agg(at(TAIL).alias("lo"), at(1000 - TAIL).alias("hi"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row for each (lang, source): bounds as columns lo_ and hi_ of each measure."""
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(merged(sketch, ["lang"]), ["lang"]).select("lang", "measure", F.struct("rows", "low", "high").alias("of_lang"))
-    total = quartiles(merged(sketch.withColumn("all", F.lit(1)), ["all"]), ["all"]).select("measure", F.struct("rows", "low", "high").alias("of_all"))
-    best = F.when(F.col("rows") >= LEAST_ROWS, F.struct("rows", "low", "high")).when(F.col("of_lang.rows") >= LEAST_ROWS, F.col("of_lang")).otherwise(F.col("of_all"))
-    picked = own.join(lang, ["lang", "measure"]).join(total, "measure").select("lang", "source", "measure", best.alias("q"))
-    spread = F.greatest(F.col("q.high") - F.col("q.low"), F.create_map(*[F.lit(x) for k, (s, _) in MEASURES.items() for x in (k, s)])[F.col("measure")])
-    ends = picked.select("lang", "source", "measure", (F.col("q.low") - REACH * spread).alias("lo"), (F.col("q.high") + REACH * spread).alias("hi"))
+    of_all = merged(sketch, ["measure"])
+    of_lang = with_prior(merged(sketch, ["measure", "lang"]), of_all, ["measure"])
+    ends = quantiles(with_prior(sketch, of_lang, ["measure", "lang"]), ["lang", "source", "measure"])
     return ends.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col(e))).alias(f"{e}_{k}") for k in MEASURES for e in ("lo", "hi")])
 
 
+def _outside(div: str = "div") -> str:
+    return " OR ".join([f"{_bucket(k, div)} > hi_{k}" for k in MEASURES] + [f"{_bucket(k, div)} < lo_{k}" for k in LOW_TOO])
+
+
 def judged(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, measures, base_failed and kept of each row."""
     scratch = Scratch(docs.sparkSession)
-    src = docs.select(*keys, f"`{text}`", F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("source", F.lit(NONE)).alias("source"))
-    m = scratch.save(measured(src, [*keys, "lang", "source"], text))
-    bounds = thresholds(scratch.save(sketches(m)))
-    out = F.lit(False)
-    for k, (_, both) in MEASURES.items():
-        out = out | (_bucket(k) > F.col(f"hi_{k}"))
-        if both:
-            out = out | (_bucket(k) < F.col(f"lo_{k}"))
+    src = docs.select(*keys, f"`{text}`", F.coalesce("lang", F.lit(NONE)).alias("__lang"), F.coalesce("source", F.lit(NONE)).alias("__source"))
+    m = scratch.save(measured(src, [*keys, "__lang", "__source"], text))
+    sketch = scratch.save(sketches(m.withColumnsRenamed({"__lang": "lang", "__source": "source"})))
+    # written, so that the planner knows its size before it deals out the rows
+    bounds = scratch.save(thresholds(sketch).withColumnsRenamed({"lang": "__lang", "source": "__source"}))
     # every (lang, source) with a row that passes the base rules has bounds; the others need none
-    j = m.join(bounds, ["lang", "source"], "left")
-    return j.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), (~F.expr(BASE_FAILED) & ~F.coalesce(out, F.lit(False))).alias("kept"))
+    j = m.join(bounds, ["__lang", "__source"], "left")
+    inside = ~F.coalesce(F.expr(_outside()), F.lit(False))
+    return j.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), (~F.expr(BASE_FAILED) & inside).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-_B = {
-    "symbols": "1000 * n_symbols // greatest(word_chars, 1)",
-    "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)",
-    "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
-    "word_length": "10 * word_chars // greatest(n_words, 1)",
-}
 SQL = {
     "op9_quality_rules": f"""
 WITH d AS (
@@ -160,23 +176,22 @@ m AS (
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines
   FROM f LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM m),
-s AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, least({e}, {TOP}) AS bucket, count(*) AS n FROM b WHERE NOT base_failed GROUP BY ALL" for k, e in _B.items())}),
-lev AS (
-  SELECT 0 AS lev, lang, source, measure, bucket, n FROM s
-  UNION ALL SELECT 1, lang, '', measure, bucket, sum(n) FROM s GROUP BY lang, measure, bucket
-  UNION ALL SELECT 2, '', '', measure, bucket, sum(n) FROM s GROUP BY measure, bucket),
-c AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lev, lang, source, measure) AS tot FROM lev),
-q AS (SELECT lev, lang, source, measure, max(tot) AS tot, min(bucket) FILTER (upto * 4 >= tot) AS low, min(bucket) FILTER (upto * 4 >= tot * 3) AS high FROM c GROUP BY ALL),
-p AS (
-  SELECT a.lang, a.source, a.measure,
-    CASE WHEN a.tot >= {LEAST_ROWS} THEN a.low WHEN l.tot >= {LEAST_ROWS} THEN l.low ELSE z.low END AS low,
-    CASE WHEN a.tot >= {LEAST_ROWS} THEN a.high WHEN l.tot >= {LEAST_ROWS} THEN l.high ELSE z.high END AS high,
-    CASE a.measure {" ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in MEASURES.items())} END AS least
-  FROM q a JOIN q l ON a.lang = l.lang AND a.measure = l.measure AND l.lev = 1 JOIN q z ON z.measure = a.measure AND z.lev = 2 WHERE a.lev = 0),
-e AS (SELECT lang, source, measure, low - {REACH} * greatest(high - low, least) AS lo, high + {REACH} * greatest(high - low, least) AS hi FROM p),
+s AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {_bucket(k, '//')} AS bucket, CAST(count(*) AS HUGEINT) AS n FROM b WHERE NOT base_failed GROUP BY ALL" for k in MEASURES)}),
+a AS (SELECT measure, bucket, sum(n) AS n FROM s GROUP BY ALL),
+l0 AS (SELECT measure, lang, bucket, sum(n) AS n FROM s GROUP BY ALL),
+l AS (
+  SELECT measure, lang, bucket, sum(n) AS n FROM (
+    SELECT measure, lang, bucket, n * total AS n FROM l0 JOIN (SELECT measure, sum(n) AS total FROM a GROUP BY ALL) USING (measure)
+    UNION ALL SELECT measure, lang, bucket, n * {PRIOR} FROM (SELECT DISTINCT measure, lang FROM l0) JOIN a USING (measure)) GROUP BY ALL),
+w AS (
+  SELECT measure, lang, source, bucket, sum(n) AS n FROM (
+    SELECT measure, lang, source, bucket, n * total AS n FROM s JOIN (SELECT measure, lang, sum(n) AS total FROM l GROUP BY ALL) USING (measure, lang)
+    UNION ALL SELECT measure, lang, source, bucket, n * {PRIOR} FROM (SELECT DISTINCT measure, lang, source FROM s) JOIN l USING (measure, lang)) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS tot FROM w),
+e AS (SELECT lang, source, measure, min(bucket) FILTER (upto * 1000 >= tot * {TAIL}) AS lo, min(bucket) FILTER (upto * 1000 >= tot * {1000 - TAIL}) AS hi FROM c GROUP BY ALL),
 t AS (SELECT lang, source, {", ".join(f"max(lo) FILTER (measure = '{k}') AS lo_{k}, max(hi) FILTER (measure = '{k}') AS hi_{k}" for k in MEASURES)} FROM e GROUP BY ALL)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce({" OR ".join(f"least({e}, {TOP}) > hi_{k}" for k, e in _B.items())} OR least({_B["word_length"]}, {TOP}) < lo_word_length, false) AS kept
+  NOT base_failed AND NOT coalesce({_outside("//")}, false) AS kept
 FROM b LEFT JOIN t USING (lang, source)
 """
 }

@@ -1,5 +1,6 @@
 import random
 import re
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -38,6 +39,51 @@ def test_odd_tables(spark):
     assert R.judged(df.limit(0), ["doc_id"]).count() == 0
 
 
+def cell(values, prior):
+    """Quantile buckets of a cell by definition: own rows, and the prior's share of PRIOR rows."""
+    weight = {}
+    for v in values:
+        weight[v] = weight.get(v, Fraction(0)) + 1
+    for v, share in prior.items():
+        weight[v] = weight.get(v, Fraction(0)) + R.PRIOR * share
+    return weight
+
+
+def ends(weight):
+    total, upto, lo, hi = sum(weight.values()), 0, None, None
+    for v in sorted(weight):
+        upto += weight[v]
+        lo = v if lo is None and upto * 1000 >= total * R.TAIL else lo
+        hi = v if hi is None and upto * 1000 >= total * (1000 - R.TAIL) else hi
+    return lo, hi
+
+
+def shares(weight):
+    total = sum(weight.values())
+    return {v: w / total for v, w in weight.items()}
+
+
+def test_thresholds_of_each_source(spark):
+    r = random.Random(3)
+    sizes = {("en", "a"): 900, ("en", "b"): 700, ("de", "a"): 30, ("de", "c"): 1}
+    rows = [(lang, source, 100 * i, int(r.random() ** 3 * 60 * (1 + 4 * (source == "a"))), 400, 0, 0, 100, 10) for (lang, source), n in sizes.items() for i in range(n)]
+    m = spark.createDataFrame(rows, "lang string, source string, doc_id long, n_symbols long, word_chars long, n_dup_lines long, n_repeat_words long, n_words long, n_lines long")
+    bucket = lambda n: (lambda v: v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0))(1_000_000 * n // 400)
+    values = {k: [bucket(x[3]) for x in rows if x[:2] == k] for k in sizes}
+    everything = shares(cell([v for k in values for v in values[k]], {}))
+    got = {(x.lang, x.source): (x.lo_symbols, x.hi_symbols) for x in R.thresholds(R.sketches(m)).collect()}
+    for (lang, source), own in values.items():
+        of_lang = shares(cell([v for k in values if k[0] == lang for v in values[k]], everything))
+        assert got[lang, source] == ends(cell(own, of_lang)), (lang, source)
+    assert len({v[1] for v in got.values()}) > 1
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    x = R.judged(spark.createDataFrame([(1, long, "en", "a")], "doc_id long, text string, lang string, source string"), ["doc_id"]).first()
+    assert (x.n_words, x.n_repeat_words, x.base_failed, x.kept) == (200_000, 0, False, True)
+
+
 def test_query_equals_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
