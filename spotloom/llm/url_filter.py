@@ -1,10 +1,12 @@
 """URL filters: fixed host rules first, then association rules mined by FP-growth, in DataFrame functions only.
 
-Examples for mining are the pages that a fixed rule decides (with its verdict) and the other pages that
-`labels` covers (doc_id = page_id; block where the page is toxic or of low quality).  A page's tokens are its
-host's names, its site, the path's parts without numbers, the file ending, the names in the query, and marks
-for query and fragment.  FP-growth gives the frequent combinations; rules "tokens -> block" or "-> allow" stay
-if confident and frequent enough, if their confidence is above the verdict's share of all examples, and if no rule with one token less is as confident.
+Examples for mining are the pages that `labels` covers (doc_id = page_id; block where a row says toxic or of
+low quality); the fixed rules' verdicts are none.  A page's tokens are its host's names, its site, the path's
+parts without numbers, the file ending, the names in the query, and marks for query and fragment.  Tokens that
+stand in the very same examples are one item for mining, named by the least of them, since k such tokens would
+make 2^k combinations that say the same.  FP-growth gives the frequent combinations; rules "tokens -> block" or
+"-> allow" stay if confident and frequent enough, if their confidence is above the verdict's share of all
+examples, and if no rule with one token less is as confident.
 
 Matching uses an inverted index from token to rules: each distinct set of tokens is looked up token by token,
 and a rule matches when as many of its tokens were met as it has.  Sets stand for all pages that share them,
@@ -12,8 +14,8 @@ so a host with a third of all pages is one row.  The most confident rule gives t
 frequent, then the longer, then block); without any, allow.
 
 Defined results: null URLs, and those without ://, have an empty host and path and no token, and are
-allowed; without examples of both kinds no rule is mined; repeated rows give a row each; other columns are
-ignored.
+allowed; URLs may be of any length; without examples of both kinds no rule is mined; null labels say nothing;
+repeated rows give a row each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,11 +66,21 @@ def tokens(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.filter(F.concat(*lists), lambda x: ~x.endswith("=")))))
 
 
-def examples(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def folded(sets: DataFrame) -> DataFrame:
+    """(tokens, label) of which each group of tokens that stand in the same rows keeps its least one."""
+    rows = sets.withColumn("at", F.monotonically_increasing_id())
+    each = rows.select("at", F.explode("tokens").alias("token"))
+    where = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("at")).alias("x"), F.sum(F.xxhash64("at", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    least = where.groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token")
+    kept = each.join(least, "token").groupBy("at").agg(F.array_sort(F.collect_list("token")).alias("kept"))
+    return rows.join(kept, "at").select(F.col("kept").alias("tokens"), "label")
+
+
+def examples(pages: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Item sets to mine: tokens and the label item."""
-    by_id = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit("block")).otherwise(F.lit("allow"))).alias("said"))
-    got = pages.join(by_id, "page_id", "left").select("tokens", F.coalesce("ruled", "said").alias("label"))
-    return got.where("label is not null and size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
+    by_id = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit("block")).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), F.lit("allow"))).alias("said"))
+    got = pages.join(by_id, "page_id").select("tokens", F.col("said").alias("label"))
+    return folded(scratch.save(got.where("label is not null and size(tokens) > 0"))).select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
 
 
 def mine(items: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -97,7 +109,7 @@ def judge(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confide
     host, path = parts(F.col("url"))
     src = pages.select("page_id", host.alias("host"), path.alias("path"), tokens(F.col("url")).alias("tokens"))
     src = scratch.save(src.withColumn("fixed", fixed(F.col("host"), F.col("path"))).withColumn("key", F.concat_ws(" ", "tokens")))
-    rules = scratch.save(mine(examples(src.withColumn("ruled", F.col("fixed.verdict")), labels), support, confidence))
+    rules = scratch.save(mine(examples(src, labels, scratch), support, confidence))
     sets = src.where("fixed is null and size(tokens) > 0").groupBy("key").agg(F.first("tokens").alias("tokens"))
     # written, so that the join below stands alone and the planner can split the partition of a hot set of tokens
     out = src.join(scratch.save(match(sets, rules)), "key", "left")

@@ -59,3 +59,35 @@ def test_query_against_fixed_rules_and_odd_tables(spark, sf_dir):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted(r.verdict for r in U.judge(df, none).collect()) == ["allow", "allow", "block"]
     assert U.judge(df.limit(0), none).count() == 0
+
+
+def test_tokens_that_always_stand_together_are_one(spark):
+    """Thirty joint tokens would make 2^30 combinations."""
+    joint = [f"t{i:02}" for i in range(30)]
+    rows = [(joint + ["x"], "block")] * 40 + [(joint, "block")] * 5 + [(["x", "y"], "allow")] * 30 + [(["y"], "allow")] * 3
+    df = U.folded(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    assert sorted({tuple(r.tokens) for r in df.collect()}) == [("t00",), ("t00", "x"), ("x", "y"), ("y",)] and df.count() == len(rows)
+    rules = U.mine(df.select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items")), 0.05, 0.9).collect()
+    assert {(tuple(r.tokens), r.verdict) for r in rules} == {(("t00",), "block"), (("y",), "allow")}
+
+
+def test_learned_verdicts_equal_plain_matching(spark):
+    """Every page's verdict from the mined rules, by definition: the most confident whose tokens the page has; ties by support, length, verdict and name."""
+    hosts = ["free-bets.example.com", "a.casino.example.com", "news.example.com", "casino.example.org", "b.example.net"]
+    pages = [(i, f"http://{hosts[i % 5]}/{'en' if i % 3 else 'xx'}/{i}{'?page=2' if i % 7 == 0 else ''}", i) for i in range(400)] + [(7, "http://news.example.com/en/seven", 1), (None, None, 2), (401, "http://" + "casino." * 3000 + "example.com/", 3)]
+    labels = [(i, int(i % 5 not in (0, 1) or i % 3 == 0), int(i % 5 == 0)) for i in range(0, 300, 2)] + [(4, None, None), (None, 0, 1)]
+    df, known = spark.createDataFrame(pages, "page_id long, url string, tokens int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = U.judge(df, known, 0.02, 0.8).collect()
+    host, path = U.parts(F.col("url"))
+    src = df.select("page_id", "url", U.tokens(F.col("url")).alias("tokens"))
+    mined = U.mine(U.examples(src, known, U.Scratch(spark)), 0.02, 0.8).collect()
+    assert {r.verdict for r in mined} == {"allow", "block"}
+    want = []
+    for x in src.collect():
+        fits = [r for r in mined if set(r.tokens) <= set(x.tokens)]
+        best = max(fits, key=lambda r: (r.confidence, r.support, len(r.tokens), r.verdict, r.rule), default=None)
+        fixed = base(x.url)[2]
+        want.append((x.page_id or -1, x.url or "", RULES[fixed] if fixed else best.verdict if best else "allow"))
+    urls = {(p or -1, base(u)[0], base(u)[1]): u or "" for p, u, _ in pages}
+    assert sorted((r.page_id or -1, urls[r.page_id or -1, r.host, r.path], r.verdict) for r in got) == sorted(want)
+    assert {"allow", "block"} <= {r.verdict for r in got if r.learned_rule}
