@@ -13,8 +13,9 @@ of all texts) is never gathered: its windows are compared by 128-bit hash in a s
 
 Equal texts are known by a 128-bit hash of the text, and their runs collapse before they are shuffled.
 
-Defined results: null is the empty text; texts under LENGTH bytes lose nothing; repeated rows remove each
-other's bytes where they are long enough; other columns are ignored.
+Defined results: null is the empty text; texts under LENGTH bytes lose nothing, texts may be of any length;
+repeated rows, with or without an id, remove each other's bytes where they are long enough; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ W = LENGTH - K + 1
 CHUNK = (1 << 20) - 1024
 CROWD = 2000
 BATCH_CLASSES = 1500
+#: partitions of the sorting stage: one for so many batches, up to what a driver can keep track of
+BATCHES_A_TASK, MOST_TASKS = 8, 50_000
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -242,10 +245,16 @@ def removals(docs: DataFrame, scratch: Scratch, text: str = "text", crowd: int =
     crowds = wide.where(F.col("classes") > crowd).select("g")
     batches = max(1, pieces.count() // BATCH_CLASSES)
     small = pieces.join(crowds, "g", "left_anti").withColumn("batch", F.pmod(F.xxhash64("g"), F.lit(batches)))
-    found = small.groupBy("batch").applyInPandas(lambda pdf: _sorted_batch(pdf), FOUND)
+    # a number of its own, since the planner would join small partitions whose work is long
+    tasks = min(-(-batches // BATCHES_A_TASK), MOST_TASKS)
+    found = small.repartition(tasks, "batch").groupBy("batch").applyInPandas(lambda pdf: _sorted_batch(pdf), FOUND)
     found = scratch.save(found.union(_crowded(pieces.join(crowds, "g", "left_semi"))))
     # a class that stands twice repeats as a whole; of the others what was found
     status = known.select("g", "c", F.col("k").alias("stands")).join(found, ["g", "c"], "left").where("stands > 1 or spans is not null").select("g", "c", F.when(F.col("stands") == 1, F.col("spans")).alias("spans"))
+    # written, so that the join below stands alone and the planner can split the partition of a hot class
+    status = scratch.save(status)
+    for done in (pieces, found, known):
+        scratch.drop(done)
     each = occ.join(status, ["g", "c"]).select("t1", "t2", F.expr(f"transform(coalesce(spans, array(0, n)), (x, i) -> s + x + if(i % 2 = 1, {LENGTH - 1}, 0))").alias("spans"))
     return each.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

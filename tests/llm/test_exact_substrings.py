@@ -69,3 +69,11 @@ def test_query_against_brute_force(spark, sf_dir):
 
 def test_empty_table(spark):
     assert X.digest(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+def test_rows_without_id_and_a_very_long_text(spark):
+    r = random.Random(8)
+    long = "".join(chr(r.randint(97, 122)) for _ in range(300_000))
+    rows = [(None, long, 1), (None, long[1000:1300], 2), (5, "é" * 99, 3), (5, None, 4)]
+    got = X.digest(spark.createDataFrame(rows, "doc_id long, text string, g int"), ["doc_id"]).collect()
+    assert sorted((x.n_bytes, x.n_removed, x.n_spans) for x in got) == [(0, 0, 0), (198, 0, 0), (300, 300, 1), (300_000, 300, 1)]
