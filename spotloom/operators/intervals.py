@@ -18,6 +18,12 @@ def gap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(s2 - e1, s1 - e2, F.lit(0))
 
 
+def next_distance(sites: DataFrame, keys: list[str]) -> DataFrame:
+    """sites with the next one on the same keys (by start, end, id) and the gap between the two; null for the last."""
+    w = Window.partitionBy(*keys).orderBy("s", "e", "site")
+    return sites.select("*", F.lead("site").over(w).alias("next_site"), gap(F.col("s"), F.col("e"), F.lead("s").over(w), F.lead("e").over(w)).alias("distance")).withColumn("distance", F.when(F.col("next_site").isNotNull(), F.col("distance")))
+
+
 def _bins(df: DataFrame, size: int, s: str, e: str) -> DataFrame:
     return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col(s) / size), F.floor((F.col(e) - 1) / size))))
 
@@ -82,3 +88,28 @@ def segments(sites: DataFrame) -> DataFrame:
     """Proximal and distal site of a gene along its strand, and the region between them."""
     plus = F.col("strand") == "+"
     return sites.groupBy("gene", "chr", "strand").agg(F.count("*").alias("n"), F.min("coord").alias("lo"), F.max("coord").alias("hi")).where("n >= 2").select("gene", "chr", "strand", F.when(plus, F.col("lo")).otherwise(F.col("hi")).alias("proximal"), F.when(plus, F.col("hi")).otherwise(F.col("lo")).alias("distal"), "lo", "hi")
+
+
+def annotate(points: DataFrame, genes: DataFrame, key: str = "chr", flank: int = 5000, size: int = 4096) -> DataFrame:
+    """For each point (site, key, strand, pos) the gene that holds it, else the nearest on the key: (site, gid, gap, tier).
+
+    Of genes equally near, one of the point's strand comes first, then the least id.  tier is inside, near (a
+    gap up to flank), far, or null where the key has no gene.  Nearest ends come from one sort of points and
+    ends; only genes that end or start right there are joined.
+    """
+    ends = genes.select(key, F.col("ge").alias("at"), F.lit(-1).alias("end")).union(genes.select(key, F.col("gs").alias("at"), F.lit(1).alias("end"))).distinct()
+    u = points.select(key, F.col("pos").alias("at"), F.lit(0).alias("end"), "site").unionByName(ends, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("at")
+    near = lambda side: F.when(F.col("end") == side, F.col("at"))
+    below = F.last(near(-1), ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    above = F.first(near(1), ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    found = u.select(key, "site", "end", "at", below.alias("below"), above.alias("above")).where("end = 0").select("site", F.least(F.col("at") - F.col("below"), F.col("above") - F.col("at")).alias("gap"))
+    p = points.join(found, "site")
+    left = p.withColumn("there", F.col("pos") - F.col("gap")).join(genes.select(key, "gid", F.col("strand").alias("gstrand"), F.col("ge").alias("there")), [key, "there"])
+    right = p.withColumn("there", F.col("pos") + F.col("gap")).join(genes.select(key, "gid", F.col("strand").alias("gstrand"), F.col("gs").alias("there")), [key, "there"])
+    binned = genes.select(key, "gid", F.col("strand").alias("gstrand"), "gs", "ge", F.explode(F.sequence(F.floor(F.col("gs") / size), F.floor(F.col("ge") / size))).alias("bin"))
+    inside = points.withColumn("bin", F.floor(F.col("pos") / size)).join(binned, [key, "bin"]).where("pos >= gs AND pos <= ge").withColumn("gap", F.lit(0).cast("bigint"))
+    cols = ["site", F.col("gap").cast("bigint").alias("gap"), "gid", (F.col("strand") != F.col("gstrand")).alias("other")]
+    best = inside.select(*cols).union(left.select(*cols)).union(right.select(*cols)).groupBy("site").agg(F.min(F.struct("gap", "other", "gid")).alias("b"))
+    tier = F.when(F.col("b.gap") == 0, "inside").when(F.col("b.gap") <= flank, "near").when(F.col("b").isNotNull(), "far")
+    return points.select("site").join(best, "site", "left").select("site", F.col("b.gid").alias("gid"), F.col("b.gap").alias("gap"), tier.alias("tier"))

@@ -129,3 +129,12 @@ def wul(counts: DataFrame, sites: DataFrame, normalize: bool = True, pc: float =
     w = counts.join(place, "site").groupBy("gene", "spot").agg((F.sum(F.col("count") * F.col("coord")) / (F.sum("count") + pc)).alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     scaled = F.when(F.col("hi") == F.col("lo"), F.lit(0.5)).otherwise((F.col("w") - F.col("lo")) / (F.col("hi") - F.col("lo")))
     return w.select("gene", "spot", (scaled if normalize else F.col("w")).alias("wul"))
+
+
+def register_index(usage: DataFrame, value: str = "value") -> DataFrame:
+    """An index computed elsewhere: values clipped to [0, 1], NaN as missing; one row for each (gene, spot), or an error."""
+    twice = usage.groupBy("gene", "spot").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"more than one value for gene {twice[0].gene}, spot {twice[0].spot}")
+    v = F.col(value).cast("double")
+    return usage.withColumn(value, F.when(~F.isnan(v), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))))

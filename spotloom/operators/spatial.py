@@ -172,3 +172,22 @@ def lift_graph(parents: DataFrame, children: DataFrame) -> DataFrame:
     left = c.select(F.col("spot").alias("i"), F.col("parent").alias("a"), F.col("k").alias("ka"))
     right = c.select(F.col("spot").alias("j"), F.col("parent").alias("b"), F.col("k").alias("kb"))
     return parents.join(left, "a").join(right, "b").select("i", "j", (F.col("w") / F.sqrt((F.col("ka") * F.col("kb")).cast("double"))).alias("w"))
+
+
+def uncertain_moran(values: DataFrame, edges: DataFrame, least: int = 10) -> DataFrame:
+    """Moran's I in which a value counts by the inverse of its uncertainty: (gene, n, morans_i, expected_i).
+
+    values: (gene, spot, value, std); edges: (src, dst).  Weights 1 / (std + 1e-10) sum to one for a gene, each
+    spot's neighbours with a value share a weight of one, and the cross products are divided by the weighted
+    variance.  Genes with fewer than `least` values are left out; without variance the index is 0.
+    """
+    own = Window.partitionBy("gene")
+    a = values.where("value IS NOT NULL AND std IS NOT NULL").withColumn("a", 1 / (F.col("std") + 1e-10))
+    a = a.withColumn("n", F.count("*").over(own)).where(F.col("n") >= least).withColumn("a", F.col("a") / F.sum("a").over(own))
+    z = a.withColumn("z", F.col("value") - F.sum(F.col("a") * F.col("value")).over(own)).select("gene", "spot", "n", "a", "z")
+    near = z.select("gene", F.col("spot").alias("dst"), (F.col("a") * F.col("z")).alias("far"))
+    pair = z.select("gene", F.col("spot").alias("src"), (F.col("a") * F.col("z")).alias("here")).join(edges.select("src", "dst"), "src").join(near, ["gene", "dst"])
+    row = pair.groupBy("gene", "src").agg((F.first("here") * F.avg("far")).alias("c")).groupBy("gene").agg(F.sum("c").alias("c"))
+    var = z.groupBy("gene").agg(F.first("n").alias("n"), F.sum(F.col("a") * F.col("z") * F.col("z")).alias("var"))
+    i = F.when(F.col("var") < 1e-10, 0.0).otherwise(F.coalesce("c", F.lit(0.0)) / F.col("var"))
+    return var.join(row, "gene", "left").select("gene", "n", i.alias("morans_i"), (-1 / (F.col("n") - 1)).alias("expected_i"))

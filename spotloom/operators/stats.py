@@ -28,6 +28,47 @@ def rank_sum(df: DataFrame, by: list[str], value: str = "value", group: str = "g
     return a.select(*by, "n1", "n2", u.alias("u"), F.when(var > 0, (F.greatest(u, F.col("n1") * F.col("n2") - u) - mid - 0.5) / F.sqrt(var)).alias("z"))
 
 
+def all_pairs(df: DataFrame, label: str, by: list[str], value: str = "value") -> DataFrame:
+    """rank_sum of each unordered pair of labels (a < b), a being group 1; a row goes to the pairs of its own label."""
+    known = df.select(F.col(label).alias("__l")).where("__l IS NOT NULL").distinct()
+    pairs = known.select(F.col("__l").alias("a")).join(known.select(F.col("__l").alias("b")), F.col("a") < F.col("b"))
+    sides = pairs.select(F.col("a").alias(label), "a", "b", F.lit(1).alias("g")).union(pairs.select(F.col("b").alias(label), "a", "b", F.lit(2).alias("g")))
+    return rank_sum(df.select(*by, value, label).join(sides, label), ["a", "b", *by], value)
+
+
+def uncertainty_weights(df: DataFrame, by: list[str], uncertainty: str = "std") -> DataFrame:
+    """df with `weight`: 1 / (uncertainty + 1e-8), 1 where that is missing or not positive, and 1 throughout where fewer than three of a group are valid."""
+    ok = F.col(uncertainty).isNotNull() & ~F.isnan(uncertainty) & (F.col(uncertainty) > 0)
+    enough = F.count_if(ok).over(Window.partitionBy(*by)) >= 3
+    return df.withColumn("weight", F.when(enough & ok, 1 / (F.col(uncertainty) + 1e-8)).otherwise(1.0))
+
+
+def certain_half(df: DataFrame, by: list[str], group: str = "g", least: int = 5) -> DataFrame:
+    """Of each group of over `least` rows those of a weight above the group's median; smaller groups whole."""
+    own = [*by, group]
+    median = df.groupBy(*own).agg(F.percentile("weight", F.lit(0.5)).alias("__m"), F.count("*").alias("__n"))
+    return df.join(median, own).where((F.col("__n") <= least) | (F.col("weight") > F.col("__m"))).drop("__m", "__n")
+
+
+def resampled(df: DataFrame, by: str, value: str = "value", group: str = "g", most: int = 500, seed: int = 42) -> DataFrame:
+    """For each group of each `by` min(3 * the larger group, most) rows drawn by weight with replacement, seeded; those without both groups are left out."""
+    import numpy as np
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, rng, parts = pdf.sort_values([group, value, "weight"]), np.random.default_rng(seed), []
+        n = min(3 * int(pdf[group].value_counts().max()), most)
+        if set(pdf[group]) >= {1, 2}:
+            for g in (1, 2):
+                own = pdf[pdf[group] == g]
+                p = own.weight.clip(lower=0).to_numpy(float)
+                p = p / p.sum() if p.sum() > 0 else None
+                parts.append(own.iloc[rng.choice(len(own), n, p=p)])
+        return pd.concat(parts)[[by, value, group]] if parts else pdf.iloc[:0][[by, value, group]]
+
+    src = df.select(by, value, F.col(group).cast("int").alias(group), "weight")
+    return src.groupBy(by).applyInPandas(draw, src.drop("weight").schema)
+
+
 def normal_p(z: str):
     """Two-sided normal p of a column, at most 1; one row a test, so this is no hot path."""
     @F.pandas_udf("double")

@@ -66,11 +66,9 @@ def _(v):
     return intervals.properties(v.sites).select("site", "length", "middle")
 
 
-@add("flt05_distance", "SELECT a.site AS a, b.site AS b, greatest(b.s - a.e, a.s - b.e, 0) AS distance FROM site a JOIN site b ON a.gene = b.gene AND a.chr = b.chr AND a.strand = b.strand AND a.site < b.site AND b.site - a.site <= 100")
+@add("flt05_distance", "SELECT site, lead(site) OVER w AS next_site, CASE WHEN lead(site) OVER w IS NOT NULL THEN greatest(lead(s) OVER w - e, s - lead(e) OVER w, 0) END AS distance FROM site WINDOW w AS (PARTITION BY gene, chr, strand ORDER BY s, e, site)")
 def _(v):
-    a, b = v.sites.alias("a"), v.sites.alias("b")
-    j = a.join(b, (F.col("a.gene") == F.col("b.gene")) & (F.col("a.chr") == F.col("b.chr")) & (F.col("a.strand") == F.col("b.strand")) & (F.col("a.site") < F.col("b.site")) & (F.col("b.site") - F.col("a.site") <= 100))
-    return j.select(F.col("a.site").alias("a"), F.col("b.site").alias("b"), intervals.gap(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e")).alias("distance"))
+    return intervals.next_distance(v.sites, ["gene", "chr", "strand"]).select("site", "next_site", "distance")
 
 
 @add("flt06_normalise", "SELECT p_partkey AS site, 'chr1' AS chr, '+' AS strand, coalesce(p_brand, '.') AS kind, CAST(coalesce(p_size, 0) AS BIGINT) AS reads FROM part")
@@ -118,9 +116,9 @@ def _(v):
     return v.usage.join(v.spots, "spot").select("gene", "spot", "x", "y", "domain")
 
 
-@add("jn02_left_fill", "SELECT gene, coalesce(n, 0) AS n, coalesce(names, '') AS names FROM (SELECT DISTINCT gene FROM site) LEFT JOIN (SELECT gene, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS names FROM site WHERE gene % 3 = 0 GROUP BY gene) USING (gene)")
+@add("jn02_left_fill", "SELECT gene, coalesce(n, 0) AS n, coalesce(names, '') AS names FROM (SELECT DISTINCT gene FROM site) LEFT JOIN (SELECT gene, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS names FROM site WHERE support >= 0.9 AND reads >= 40 GROUP BY gene) USING (gene)")
 def _(v):
-    r = v.sites.where("gene % 3 = 0").groupBy("gene").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("names"))
+    r = v.sites.where("support >= 0.9 AND reads >= 40").groupBy("gene").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("names"))
     return v.sites.select("gene").distinct().join(r, "gene", "left").select("gene", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("names", F.lit("")).alias("names"))
 
 
@@ -129,18 +127,19 @@ def _(v):
     return v.counts.select("spot").distinct().join(v.spots.where("domain > 0"), "spot", "left_anti")
 
 
-@add("jn04_full_union", "SELECT coalesce(a.gene, b.gene) AS gene, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM (SELECT gene, count(*) AS n FROM site WHERE gene < 30 GROUP BY gene) a FULL JOIN (SELECT gene, count(*) AS n FROM site WHERE gene > 20 GROUP BY gene) b ON a.gene = b.gene")
+@add("jn04_full_union", "SELECT coalesce(a.gene, b.gene) AS gene, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM (SELECT gene, count(*) AS n FROM site WHERE support >= 0.9 AND reads >= 40 GROUP BY gene) a FULL JOIN (SELECT gene, count(*) AS n FROM site WHERE support <= 0.1 AND reads <= 10 GROUP BY gene) b ON a.gene = b.gene")
 def _(v):
-    a = v.sites.where("gene < 30").groupBy("gene").agg(F.count("*").alias("n_a"))
-    b = v.sites.where("gene > 20").groupBy("gene").agg(F.count("*").alias("n_b"))
+    a = v.sites.where("support >= 0.9 AND reads >= 40").groupBy("gene").agg(F.count("*").alias("n_a"))
+    b = v.sites.where("support <= 0.1 AND reads <= 10").groupBy("gene").agg(F.count("*").alias("n_b"))
     return a.join(b, "gene", "full_outer").select("gene", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
 
 
-_GENES = "genes AS (SELECT site AS gid, chr, strand, s - 40 AS gs, e + (site % 17) * 9 AS ge FROM site WHERE site % 7 = 0)"
+#: every site stands for a gene too, as wide as it has reads
+_GENES = "genes AS (SELECT site AS gid, chr, strand, s - 40 AS gs, e + reads * 3 AS ge FROM site)"
 
 
 def _genes(v):
-    return v.sites.where("site % 7 = 0").select(F.col("site").alias("gid"), "chr", "strand", (F.col("s") - 40).alias("gs"), (F.col("e") + F.col("site") % 17 * 9).alias("ge"))
+    return v.sites.select(F.col("site").alias("gid"), "chr", "strand", (F.col("s") - 40).alias("gs"), (F.col("e") + F.col("reads") * 3).alias("ge"))
 
 
 @add("jn05_smallest_gene", "SELECT site, gid FROM (SELECT a.site, g.gid, row_number() OVER (PARTITION BY a.site ORDER BY g.ge - g.gs, g.gs, g.gid) AS k FROM site a LEFT JOIN genes g ON a.chr = g.chr AND a.strand = g.strand AND a.coord BETWEEN g.gs AND g.ge) WHERE k = 1", _GENES)
@@ -154,16 +153,18 @@ def _(v):
     return intervals.overlaps(v.sites.select("chr", "strand", "s", "e", "site"), b, ["chr", "strand"]).where("site <> other").select("site", "other")
 
 
-@add("jn07_nearest", "SELECT a.site AS id, min(abs(a.coord - b.coord)) AS distance FROM site a LEFT JOIN site b ON a.chr = b.chr AND a.strand = b.strand AND b.site % 3 = 0 WHERE a.site % 3 = 1 GROUP BY a.site")
+def _points(v, which: str = "true"):
+    return v.sites.where(which).select("chr", "strand", F.col("coord").alias("pos"), "site")
+
+
+@add("jn07_nearest", "SELECT a.site AS id, min(abs(a.coord - b.coord)) AS distance FROM site a LEFT JOIN site b ON a.chr = b.chr AND a.strand = b.strand AND b.support >= 0.8 GROUP BY a.site")
 def _(v):
-    a = v.sites.where("site % 3 = 1").select("chr", "strand", F.col("coord").alias("pos"), F.col("site").alias("id"))
-    return intervals.nearest(a, v.sites.where("site % 3 = 0").select("chr", "strand", F.col("coord").alias("pos")), ["chr", "strand"])
+    return intervals.nearest(_points(v).withColumnRenamed("site", "id"), _points(v, "support >= 0.8"), ["chr", "strand"])
 
 
-@add("jn07_nearest_rate", "SELECT round(avg(CAST(d <= 50 AS DOUBLE)), 6) AS within_50, round(avg(CAST(d <= 100 AS DOUBLE)), 6) AS within_100, round(median(d), 6) AS median FROM (SELECT min(abs(a.coord - b.coord)) AS d FROM site a JOIN site b ON a.chr = b.chr AND a.strand = b.strand AND b.site % 53 = 0 WHERE a.site % 3 = 1 GROUP BY a.site)")
+@add("jn07_nearest_rate", "SELECT round(avg(CAST(d <= 50 AS DOUBLE)), 6) AS within_50, round(avg(CAST(d <= 100 AS DOUBLE)), 6) AS within_100, round(median(d), 6) AS median FROM (SELECT min(abs(a.coord - b.coord)) AS d FROM site a JOIN site b ON a.chr = b.chr AND a.strand = b.strand AND b.support >= 0.9 AND b.reads >= 40 GROUP BY a.site)")
 def _(v):
-    a = v.sites.where("site % 3 = 1").select("chr", "strand", F.col("coord").alias("pos"), F.col("site").alias("id"))
-    d = intervals.nearest(a, v.sites.where("site % 53 = 0").select("chr", "strand", F.col("coord").alias("pos")), ["chr", "strand"]).where("distance IS NOT NULL")
+    d = intervals.nearest(_points(v).withColumnRenamed("site", "id"), _points(v, "support >= 0.9 AND reads >= 40"), ["chr", "strand"]).where("distance IS NOT NULL")
     rate = lambda n: r6(F.avg((F.col("distance") <= n).cast("double")), f"within_{n}")
     return d.agg(rate(50), rate(100), r6(F.percentile("distance", F.lit(0.5)), "median"))
 
@@ -689,12 +690,12 @@ def _(v):
 
 @add("spa08_permutation")
 def _(v):
-    return impute.permutation_p(v.usage, spatial.symmetric(_knn(v)), 49)
+    return impute.permutation_p(v.usage, spatial.symmetric(_knn(v)), 100)
 
 
 @add("spa09_table")
 def _(v):
-    t = impute.permutation_p(v.usage, spatial.symmetric(_knn(v)), 49).where("n >= 10").withColumn("c", F.lit(1))
+    t = impute.permutation_p(v.usage, spatial.symmetric(_knn(v)), 100).where("n >= 10").withColumn("c", F.lit(1))
     return stats.adjust(t, ["c"]).drop("c").withColumn("significant", F.col("padj") < 0.05)
 
 
@@ -704,10 +705,10 @@ def _(v):
     return m.select(*[F.round(c, 5).alias(c) for c in ("s1", "s2", "s0")])
 
 
-@add("spa16_similarity", "SELECT a.gene AS a, b.gene AS b, count(*) AS n, round(corr(a.value, b.value), 5) AS pearson, round(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value)), 5) AS cosine FROM obs a JOIN obs b ON a.spot = b.spot AND b.gene = a.gene + 1 GROUP BY ALL HAVING count(*) >= 3")
+@add("spa16_similarity", "SELECT a.gene AS a, b.gene AS b, count(*) AS n, round(corr(a.value, b.value), 5) AS pearson, round(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value)), 5) AS cosine FROM obs a JOIN obs b ON a.spot = b.spot AND b.gene > a.gene GROUP BY ALL HAVING count(*) >= 3")
 def _(v):
-    b = v.observed.select(F.col("gene").alias("b"), (F.col("gene") - 1).alias("a"), "spot", F.col("value").alias("y"))
-    j = v.observed.select(F.col("gene").alias("a"), "spot", F.col("value").alias("x")).join(b, ["a", "spot"])
+    b = v.observed.select(F.col("gene").alias("b"), "spot", F.col("value").alias("y"))
+    j = v.observed.select(F.col("gene").alias("a"), "spot", F.col("value").alias("x")).join(b, "spot").where("a < b")
     cosine = F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))
     return j.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 5).alias("pearson"), F.round(cosine, 5).alias("cosine")).where("n >= 3")
 
@@ -757,11 +758,9 @@ def _(v):
     return a.join(b, "gene").join(c, "gene")
 
 
-@add("sta06_all_pairs", "SELECT a, b, gene, sum(r) FILTER (domain = a) - count(*) FILTER (domain = a) * (count(*) FILTER (domain = a) + 1) / 2 AS u FROM (SELECT a, b, gene, domain, rank() OVER (PARTITION BY a, b, gene ORDER BY value) + (count(*) OVER (PARTITION BY a, b, gene, value) - 1) / 2.0 AS r FROM obs JOIN spot USING (spot) JOIN (SELECT 0 AS a, 1 AS b UNION ALL SELECT 0, 2 UNION ALL SELECT 1, 2) ON domain = a OR domain = b) GROUP BY a, b, gene HAVING count(*) FILTER (domain = a) > 0 AND count(*) FILTER (domain = b) > 0")
+@add("sta06_all_pairs", "SELECT a, b, gene, sum(r) FILTER (domain = a) - count(*) FILTER (domain = a) * (count(*) FILTER (domain = a) + 1) / 2 AS u FROM (SELECT a, b, gene, domain, rank() OVER (PARTITION BY a, b, gene ORDER BY value) + (count(*) OVER (PARTITION BY a, b, gene, value) - 1) / 2.0 AS r FROM obs JOIN spot USING (spot) JOIN (SELECT p.domain AS a, q.domain AS b FROM (SELECT DISTINCT domain FROM spot) p, (SELECT DISTINCT domain FROM spot) q WHERE p.domain < q.domain) ON domain = a OR domain = b) GROUP BY a, b, gene HAVING count(*) FILTER (domain = a) > 0 AND count(*) FILTER (domain = b) > 0")
 def _(v):
-    pairs = F.filter(F.expr("array(struct(0 AS a, 1 AS b), struct(0 AS a, 2 AS b), struct(1 AS a, 2 AS b))"), lambda p: (p["a"] == F.col("domain")) | (p["b"] == F.col("domain")))
-    j = v.observed.join(v.spots, "spot").withColumn("p", F.explode(pairs)).select("p.*", "gene", "value", F.when(F.col("domain") == F.col("p.a"), 1).otherwise(2).alias("g"))
-    return stats.rank_sum(j, ["a", "b", "gene"]).select("a", "b", "gene", "u")
+    return stats.all_pairs(v.observed.join(v.spots, "spot"), "domain", ["gene"]).select("a", "b", "gene", "u")
 
 
 @add("sta07_markers", "SELECT d AS domain, gene, round(log2((avg(value) FILTER (domain <> d) + 1e-6) / (avg(value) FILTER (domain = d) + 1e-6)), 6) AS log2fc_rest_over_domain FROM obs JOIN spot USING (spot), (SELECT DISTINCT domain AS d FROM spot) GROUP BY d, gene HAVING count(*) FILTER (domain = d) > 0 AND count(*) FILTER (domain <> d) > 0")

@@ -134,8 +134,8 @@ def _(v):
 
 @add("spa11_selected")
 def _(v):
-    t = impute.permutation_p(v.usage, spatial.symmetric(_knn(v)), 49).withColumn("c", F.lit(1))
-    return stats.adjust(t, ["c"]).where("padj < 0.2 AND morans_i > 0").drop("c")
+    t = impute.permutation_p(v.usage, spatial.symmetric(_knn(v)), 100).withColumn("c", F.lit(1))
+    return stats.adjust(t, ["c"]).where("padj < 0.05 AND morans_i > 0").drop("c")
 
 
 @add("spa15_patterns")
@@ -151,7 +151,7 @@ def _(v):
 
 @add("sta03_permutation")
 def _(v):
-    return stats.permutation_difference(_groups(v), "gene", 99)
+    return stats.permutation_difference(_groups(v), "gene", 1000)
 
 
 @add("sta08_sample_t", "SELECT gene, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) AS t FROM (SELECT gene, count(*) FILTER (batch = 0) AS n1, count(*) FILTER (batch = 1) AS n2, avg(m) FILTER (batch = 0) AS m1, avg(m) FILTER (batch = 1) AS m2, var_samp(m) FILTER (batch = 0) AS v1, var_samp(m) FILTER (batch = 1) AS v2 FROM (SELECT gene, sample, batch, avg(value) AS m FROM obs JOIN spot USING (spot) GROUP BY ALL) GROUP BY gene) WHERE n1 > 1 AND n2 > 1")
