@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from spotloom.llm.common import PART, map_texts, table
+from spotloom.llm.common import PART, keep, map_texts, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 MOST_STATES = 200_000
@@ -297,16 +297,9 @@ def encode(docs: DataFrame, keys: list[str], text: str = "text", ranks_path: str
     return map_texts(docs, keys, text, make, IDS if with_ids else DIGESTS, PART)
 
 
-_encoders: dict[tuple[bytes, str], Encoder] = {}
-
-
 def _encoder(data: bytes, pattern: str) -> Encoder:
     """One for each worker process and vocabulary, kept from task to task."""
-    key = (hashlib.sha256(data).digest(), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(read_ranks(data), pattern)
-    return _encoders[key]
+    return keep((hashlib.sha256(data).digest(), pattern), lambda: Encoder(read_ranks(data), pattern))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

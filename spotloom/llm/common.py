@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -108,6 +109,27 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
+_kept: dict = {}
+
+
+def keep(key, make: Callable):
+    """What make() gives, held in this worker process from task to task until forget() or another key."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop what a worker process holds from an earlier stage, and hand the memory back."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 #: bytes of text that a task works on at a time
 PART = 4 << 20
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotloom.llm.common import ALNUM, Scratch, fresh, ship, table
+from spotloom.llm.common import ALNUM, Scratch, forget, fresh, ship, table
 
 WINDOW = 10
 #: bytes of window text in one automaton; an automaton takes about forty times as much memory
@@ -161,6 +161,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", most: int = AUTO
         def run(batches, rows=rows, at=at, schema=schema):
             from pyspark.sql.pandas.types import to_arrow_schema
 
+            forget()
             auto, arrow = build(rows.value), to_arrow_schema(schema)
             kind = arrow.field(arrow.names[-1]).type
             for b in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotloom.llm.common import LOWER, fresh, remainder, ship, table
+from spotloom.llm.common import LOWER, forget, fresh, remainder, ship, table
 
 WORD_BUCKETS = 1 << 15
 FACTORS = 8
@@ -211,6 +211,7 @@ def scorer(spark: SparkSession, machine: Machine):
 
     @F.pandas_udf(T.DoubleType())
     def score(text: pd.Series, chars: pd.Series) -> pd.Series:
+        forget()
         m = sent.value
         return pd.Series([m.score(*features(t, c)) for t, c in zip(text, chars)], dtype="float64")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotloom.llm.common import LOWER, map_texts, ship, table
+from spotloom.llm.common import LOWER, forget, map_texts, ship, table
 
 BASE_KINDS = ("assign", "access", "hex")
 MORE_KINDS = ("github", "npm", "jwt", "pem")
@@ -188,6 +188,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def masked(s: pd.Series) -> pd.Series:
+        forget()
         if "auto" not in state:
             state["auto"] = automaton()
         return s.map(lambda t: None if t is None else mask(t.encode("utf-8", "replace"), state["auto"]).decode("utf-8", "replace"))
