@@ -201,32 +201,3 @@ def neighbour_passes(usage: DataFrame, edges: DataFrame, passes: int = 3) -> Dat
         m = edges.join(near, "dst").groupBy("gene", F.col("src").alias("spot")).agg(F.avg("v").alias("m"))
         now = now.join(m, ["gene", "spot"], "left").select("gene", "spot", "value", F.coalesce("filled", "m").alias("filled"))
     return now.select("gene", "spot", F.coalesce("filled", F.avg("value").over(Window.partitionBy("gene"))).alias("imputed"))
-
-
-def factorize(usage: DataFrame, rank: int, rounds: int = 3, ridge: float = 0.1, seed: int = 42) -> DataFrame:
-    """(gene, spot, imputed) by alternating weighted ridge regressions: each side's factors solve against the other's.
-
-    The outer products are summed on the fly by group; factors are small vectors that travel by join.
-    """
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("f", T.ArrayType(T.DoubleType()))])
-    seen = usage.where("value IS NOT NULL").withColumn("base", F.avg("value").over(Window.partitionBy("gene")))
-    data = seen.select("gene", "spot", (F.col("value") - F.col("base")).alias("v"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.f.to_numpy())
-        w = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ pdf.v.to_numpy(float))
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "f": [w.tolist()]})
-
-    hashed = F.transform(F.sequence(F.lit(1), F.lit(rank)), lambda i: (F.pmod(F.xxhash64("spot", i, F.lit(seed)), F.lit(20001)) - 10000) / 10000.0)
-    side = data.select("spot").distinct().select(F.col("spot").alias("id"), hashed.alias("f"))
-    genes = None
-    for _ in range(rounds):
-        genes = data.join(side.withColumnRenamed("id", "spot"), "spot").select(F.col("gene").alias("id"), "v", "f").groupBy("id").applyInPandas(solve, schema)
-        side = data.join(genes.withColumnRenamed("id", "gene"), "gene").select(F.col("spot").alias("id"), "v", "f").groupBy("id").applyInPandas(solve, schema)
-    base = seen.select("gene", "base").distinct()
-    g = genes.select(F.col("id").alias("gene"), F.col("f").alias("fg"))
-    s = side.select(F.col("id").alias("spot"), F.col("f").alias("fs"))
-    dot = F.aggregate(F.zip_with("fg", "fs", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return usage.join(base, "gene", "left").join(g, "gene", "left").join(s, "spot", "left").select("gene", "spot", F.coalesce("value", F.col("base") + dot, "base").alias("imputed"))

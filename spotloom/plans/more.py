@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spotloom.operators import cluster, geometry, impute, intervals, quantify, spatial, stats
+from spotloom.operators import cluster, factor, geometry, impute, intervals, quantify, spatial, stats
 from spotloom.plans.catalogue import _BH, _CONF, _curve, _FOLD, _GROUPS, _KNN, _LOCAL, _MORAN, _METRICS, _adjusted, _folds, _groups, _knn, _q, add, rounded
 from spotloom.plans.views import r6
 
@@ -233,7 +233,7 @@ def _(v):
 
 @add("dom03_factorize")
 def _(v):
-    return impute.factorize(v.usage, 3, 2)
+    return factor.factorize(v.usage, spatial.rbf_graph(_knn(v)))
 
 
 @add("dom07_weighted_kmeans")
