@@ -7,7 +7,6 @@ they are shuffled, so neither a gene nor a spot has to fit in a task.  Only k x
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.operators import spatial
+from spotloom.operators.lineage import cut
 
 
 #: a graph of no more entries (24 bytes each) is smoothed by the driver
@@ -26,16 +26,6 @@ def _names(k: int) -> list[str]:
     return [f"f{i}" for i in range(k)]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder; one is made only where none is set and everything is local."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="factors"))
-    return df.checkpoint()
-
-
 def _times(data: DataFrame, factors: DataFrame, by: str, other: str, k: int) -> DataFrame:
     return data.join(factors.withColumnRenamed("id", other), other).groupBy(F.col(by).alias("id")).agg(*[F.sum(F.col("c") * F.col(f)).alias(f) for f in _names(k)])
 
@@ -58,7 +48,7 @@ def _first_factors(data: DataFrame, k: int, rounds: int, seed: int) -> DataFrame
     z = data.select(F.col("spot").alias("id")).distinct().select("id", *start)
     for _ in range(rounds):
         g = _times(data, z, "gene", "spot", k)
-        z = _orthonormal(_cut(_times(data, g, "spot", "gene", k)), k)
+        z = _orthonormal(cut(_times(data, g, "spot", "gene", k)), k)
     return z
 
 
@@ -138,17 +128,17 @@ def factorize(usage: DataFrame, graph: DataFrame | None = None, rank: int = 8, s
     """
     seen = usage.where("value IS NOT NULL")
     seen = seen.select("gene", "spot", F.col("value").alias("v"), (F.coalesce(F.col(weight), F.lit(0.0)) if weight else F.lit(1.0)).alias("weight"))
-    data = _cut(seen.withColumn("c", F.col("v") - F.avg("v").over(Window.partitionBy("gene"))))
+    data = cut(seen.withColumn("c", F.col("v") - F.avg("v").over(Window.partitionBy("gene"))))
     steps = None
     if graph is not None and strength > 0:
-        steps = _cut(spatial.laplacian(graph, normalized=True).where("i <> j"))
-    z, genes, last = _cut(_first_factors(data, rank, 5, seed)), None, math.inf
+        steps = cut(spatial.laplacian(graph, normalized=True).where("i <> j"))
+    z, genes, last = cut(_first_factors(data, rank, 5, seed)), None, math.inf
     f = _names(rank)
     for _ in range(max_iter):
-        genes = _cut(_solved(_sums(data, z, "gene", "spot", rank), rank, ridge))
-        sums = _cut(_sums(data, genes, "spot", "gene", rank))
+        genes = cut(_solved(_sums(data, z, "gene", "spot", rank), rank, ridge))
+        sums = cut(_sums(data, genes, "spot", "gene", rank))
         raw = _solved(sums, rank, ridge)
-        z = _cut(raw if steps is None else smooth(_cut(raw), steps, strength, rank))
+        z = cut(raw if steps is None else smooth(cut(raw), steps, strength, rank))
         square = sum((1 if i == j else 2) * F.col(f"s{i}_{j}") * F.col(f[i]) * F.col(f[j]) for i in range(rank) for j in range(i, rank))
         off = F.col("q") - 2 * sum(F.col(f"t{i}") * F.col(f[i]) for i in range(rank)) + square
         got = sums.join(z, "id").agg(F.sum(off).alias("e"), F.sum("n").alias("n")).first()

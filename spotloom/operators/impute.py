@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotloom.operators.lineage import cut
+
 
 def grid(usage: DataFrame, spots: DataFrame) -> DataFrame:
     """Every (gene, spot) cell, with null where nothing was observed: genes are exploded spot by spot, so the work is that of the output."""
@@ -194,10 +196,78 @@ def block_gp(usage: DataFrame, spots: DataFrame, side: float, lengths: list[floa
 
 
 def neighbour_passes(usage: DataFrame, edges: DataFrame, passes: int = 3) -> DataFrame:
-    """Missing values take the mean of their neighbours' values, pass by pass; then the gene's mean."""
-    now = usage.select("gene", "spot", "value", F.col("value").alias("filled"))
+    """Missing values take the mean of their neighbours' values, pass by pass, until none is filled; then the gene's mean."""
+    now, left = usage.select("gene", "spot", F.col("value").alias("filled")), None
+    if passes > 1:
+        now, edges = cut(now), cut(edges.select("src", "dst"))
     for _ in range(passes):
         near = now.where("filled IS NOT NULL").select("gene", F.col("spot").alias("dst"), F.col("filled").alias("v"))
         m = edges.join(near, "dst").groupBy("gene", F.col("src").alias("spot")).agg(F.avg("v").alias("m"))
-        now = now.join(m, ["gene", "spot"], "left").select("gene", "spot", "value", F.coalesce("filled", "m").alias("filled"))
-    return now.select("gene", "spot", F.coalesce("filled", F.avg("value").over(Window.partitionBy("gene"))).alias("imputed"))
+        now = now.join(m, ["gene", "spot"], "left").select("gene", "spot", F.coalesce("filled", "m").alias("filled"))
+        if passes > 1:
+            now = cut(now)
+            missing = now.where("filled IS NULL").count()
+            if missing in (0, left):
+                break
+            left = missing
+    return now.select("gene", "spot", F.coalesce("filled", F.avg("filled").over(Window.partitionBy("gene"))).alias("imputed"))
+
+
+def variance_parts(usage: DataFrame, spots: DataFrame, lengths: list[float], noises: list[float], least: int = 10) -> DataFrame:
+    """(gene, n, total, spatial, random, share, r2): how much of a gene's variance an exact Gaussian process of the places explains.
+
+    Values are centred; the length and noise of greatest likelihood on the grid, given the best amplitude, are used.
+    spatial is the variance of the fitted values, random the mean squared residual.  Genes of fewer than `least`
+    values give nulls, and so does the share without variance; r2 is then 0.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("spot")
+        y, n = pdf.value.to_numpy(float), len(pdf)
+        row = [pdf.gene.iloc[0], n, None, None, None, None, None]
+        if n >= least:
+            t, total = y - y.mean(), float(y.var())
+            row[2:] = [total, 0.0, total, None, 0.0]
+            if total > 1e-12:
+                at = pdf[["x", "y"]].to_numpy(float)
+                d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+                best = None
+                for ell in lengths:
+                    w, v = np.linalg.eigh(np.exp(-d2 / (2 * ell * ell)))
+                    w, p = np.maximum(w, 0), v.T @ t
+                    for s2 in noises:
+                        scale = (p * p / (w + s2)).mean()
+                        ll = -0.5 * (n * np.log(scale) + np.log(w + s2).sum())
+                        if best is None or ll > best[0]:
+                            best = (ll, v @ (w / (w + s2) * p))
+                rest = float(((t - best[1]) ** 2).mean())
+                row[2:] = [total, float(best[1].var()), rest, float(best[1].var()) / total, 1 - rest / total]
+        return pd.DataFrame([row], columns=["gene", "n", "total", "spatial", "random", "share", "r2"])
+
+    rows = usage.where("value IS NOT NULL").join(spots.select("spot", "x", "y"), "spot")
+    return rows.groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, total double, spatial double, random double, share double, r2 double")
+
+
+def local_noise(usage: DataFrame, spots: DataFrame, k: int = 8, scale: float = 1000.0, least: float = 1e-3) -> DataFrame:
+    """(gene, n, noise): (1.4826 x median distance of a value from the median of its k nearest observed values)^2 x scale.
+
+    Neighbours are the gene's other observed spots, ties by the smaller id; under four values the variance takes the
+    square's place.  Distances are worked out in blocks of rows.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("spot").reset_index(drop=True)
+        y, at, n = pdf.value.to_numpy(float), pdf[["x", "y"]].to_numpy(float), len(pdf)
+        if n < 4:
+            noise = float(y.var()) * scale
+        else:
+            off = np.empty(n)
+            for i in range(0, n, 256):
+                d2 = ((at[i : i + 256, None] - at[None]) ** 2).sum(2)
+                d2[np.arange(len(d2)), np.arange(i, i + len(d2))] = np.inf
+                near = np.argsort(d2, axis=1, kind="stable")[:, : min(k, n - 1)]
+                off[i : i + 256] = np.abs(y[i : i + 256] - np.median(y[near], axis=1))
+            noise = (1.4826 * float(np.median(off))) ** 2 * scale
+        return pd.DataFrame([(pdf.gene.iloc[0], n, max(noise, least))], columns=["gene", "n", "noise"])
+
+    return usage.where("value IS NOT NULL").join(spots.select("spot", "x", "y"), "spot").groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, noise double")

@@ -18,8 +18,8 @@ def _around(df: DataFrame, ring: int) -> DataFrame:
     return df.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy")).drop("dx", "dy")
 
 
-def _dest(spots: DataFrame, side: float) -> DataFrame:
-    return _cells(spots.select(F.col("spot").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2")), side, "x2", "y2")
+def _dest(spots: DataFrame, side: float, whole: str | None = None) -> DataFrame:
+    return _cells(spots.select(F.col("spot").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), *([F.col(whole).alias("whole2")] if whole else [])), side, "x2", "y2")
 
 
 def _d2() -> Column:
@@ -32,26 +32,29 @@ def radius_edges(spots: DataFrame, radius: float) -> DataFrame:
     return a.join(_dest(spots, radius), ["cx", "cy"]).select("src", "dst", _d2().alias("d2")).where((F.col("src") != F.col("dst")) & (F.col("d2") <= radius * radius))
 
 
-def knn_edges(spots: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+def knn_edges(spots: DataFrame, k: int, queries: DataFrame | None = None, whole: str | None = None) -> DataFrame:
     """(src, dst, d2, rank) of the k nearest other spots (ties: the smaller id), exact.
 
     Spots meet in rings of grid cells; a query is settled when its k-th distance lies within the ring
     searched.  Only unsettled queries are searched again, in twice the ring, so work follows density.
+    `whole` names an array of all coordinates, of which x and y are the first two; distances are then between arrays.
     """
     n, x0, x1, y0, y1 = spots.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    todo = (queries if queries is not None else spots).select(F.col("spot").alias("src"), "x", "y")
+    todo = (queries if queries is not None else spots).select(F.col("spot").alias("src"), "x", "y", *([whole] if whole else []))
     if not n or (n == 1 and queries is None):
         return todo.where("false").select("src", F.col("src").alias("dst"), F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
     reach = min(k, n - (queries is None))
     side = max(math.sqrt(max(1.0, float(x1 - x0) * float(y1 - y0)) * (reach + 1) / n), 1e-9)
-    whole = int(max(x1 - x0, y1 - y0) / side) + 2
+    widest = int(max(x1 - x0, y1 - y0) / side) + 2
+    far = _dest(spots, side, whole)
+    d2 = _d2() if whole is None else F.aggregate(F.zip_with(whole, "whole2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     order = Window.partitionBy("src").orderBy("d2", "dst")
     done, ring = None, 1
     while True:
-        pair = _around(_cells(todo, side), ring).join(_dest(spots, side), ["cx", "cy"])
+        pair = _around(_cells(todo, side), ring).join(far, ["cx", "cy"])
         got = pair.where("src <> dst") if queries is None else pair
-        got = got.select("src", "x", "y", "dst", _d2().alias("d2")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reach)
-        if ring >= whole:
+        got = got.select("src", "x", "y", "dst", d2.alias("d2")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reach)
+        if ring >= widest:
             out = got.select("src", "dst", "d2", "rank")
             return out if done is None else done.unionByName(out)
         last = Window.partitionBy("src")
@@ -61,7 +64,17 @@ def knn_edges(spots: DataFrame, k: int, queries: DataFrame | None = None) -> Dat
         todo = todo.join(part.select("src").distinct(), "src", "left_anti")
         if todo.isEmpty():
             return done
-        ring = min(ring * 2, whole)
+        ring = min(ring * 2, widest)
+
+
+def knn_in(points: DataFrame, column: str, k: int) -> DataFrame:
+    """knn_edges in a space of any number of dimensions, given as an array column of at least one.
+
+    A distance is never less than that of the first two coordinates, so the rings of their grid cells settle a query
+    by whole distances as they do in the plane.
+    """
+    at = lambda i: F.coalesce(F.get(column, F.lit(i)), F.lit(0.0))
+    return knn_edges(points.select("spot", at(0).alias("x"), at(1).alias("y"), F.col(column).alias("whole")), k, whole="whole")
 
 
 def weights(edges: DataFrame, kind: str = "inverse", radius: float | None = None) -> DataFrame:
@@ -191,3 +204,22 @@ def uncertain_moran(values: DataFrame, edges: DataFrame, least: int = 10) -> Dat
     var = z.groupBy("gene").agg(F.first("n").alias("n"), F.sum(F.col("a") * F.col("z") * F.col("z")).alias("var"))
     i = F.when(F.col("var") < 1e-10, 0.0).otherwise(F.coalesce("c", F.lit(0.0)) / F.col("var"))
     return var.join(row, "gene", "left").select("gene", "n", i.alias("morans_i"), (-1 / (F.col("n") - 1)).alias("expected_i"))
+
+
+def sparse_moran(counts: DataFrame, edges: DataFrame, spots: DataFrame) -> DataFrame:
+    """(site, n, morans_i): Moran's I of a site's counts over all spots, those without a count at 0, on uniform weights.
+
+    Only positive counts are joined: the zeros enter through the sums of counts, squares and weights.  Null without variance.
+    """
+    w = weights(edges.select("src", "dst", "d2"), "uniform")
+    n = spots.agg(F.count("*").alias("n"))
+    s0 = w.agg(F.sum("w").alias("s0"))
+    degree = w.select(F.col("src").alias("spot"), "w").union(w.select("dst", "w")).groupBy("spot").agg(F.sum("w").alias("deg"))
+    on = counts.where("count > 0").select("site", "spot", F.col("count").cast("double").alias("c"))
+    far = on.select("site", F.col("spot").alias("dst"), F.col("c").alias("c2"))
+    cross = on.join(w, on.spot == w.src).join(far, ["site", "dst"]).groupBy("site").agg(F.sum(F.col("w") * F.col("c") * F.col("c2")).alias("a"))
+    own = on.join(degree, "spot", "left").groupBy("site").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.sum(F.col("c") * F.coalesce("deg", F.lit(0.0))).alias("b"))
+    j = own.join(cross, "site", "left").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(s0)).withColumn("m", F.col("s") / F.col("n"))
+    ss = F.col("q") - F.col("n") * F.col("m") * F.col("m")
+    top = F.coalesce("a", F.lit(0.0)) - F.col("m") * F.col("b") + F.col("m") * F.col("m") * F.col("s0")
+    return j.select("site", "n", F.when((ss > 1e-9) & (F.col("s0") > 0), F.col("n") / F.col("s0") * top / ss).alias("morans_i"))

@@ -827,11 +827,16 @@ def _(v):
 _LOCAL = _KNN + ", loc AS (SELECT o.gene, o.spot, o.value, count(n.value) AS k, avg(n.value) AS m, var_pop(n.value) AS var FROM obs o LEFT JOIN knn ON knn.src = o.spot LEFT JOIN obs n ON n.gene = o.gene AND n.spot = knn.dst GROUP BY o.gene, o.spot, o.value)"
 
 
-@add("imp07_local_noise", "SELECT gene, round(greatest(pow(1.4826 * median(abs(value - m)), 2) * 1000, 1e-3), 5) AS noise FROM loc WHERE m IS NOT NULL GROUP BY gene", _LOCAL)
+_NEAR = """
+op AS (SELECT gene, spot, value, x, y, count(*) OVER (PARTITION BY gene) AS n FROM obs JOIN spot USING (spot)),
+nb AS (SELECT a.gene, a.spot, any_value(a.value) AS value, b.value AS v, row_number() OVER (PARTITION BY a.gene, a.spot ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.spot) AS k
+  FROM op a JOIN op b ON a.gene = b.gene AND a.spot <> b.spot GROUP BY a.gene, a.spot, a.x, a.y, b.spot, b.value, b.x, b.y),
+nm AS (SELECT gene, median(d) AS mad FROM (SELECT gene, spot, abs(any_value(value) - median(v)) AS d FROM nb WHERE k <= 8 GROUP BY gene, spot) GROUP BY gene)"""
+
+
+@add("imp07_local_noise", "SELECT gene, any_value(n) AS n, round(greatest(CASE WHEN any_value(n) < 4 THEN var_pop(value) ELSE pow(1.4826 * any_value(mad), 2) END * 1000, 1e-3), 5) AS noise FROM op LEFT JOIN nm USING (gene) GROUP BY gene", _NEAR)
 def _(v):
-    loc = spatial.local_statistics(v.observed, _knn(v)).where("mean IS NOT NULL")
-    mad = F.percentile(F.abs(F.col("value") - F.col("mean")), F.lit(0.5))
-    return loc.groupBy("gene").agg(F.round(F.greatest(F.pow(1.4826 * mad, 2) * 1000, F.lit(1e-3)), 5).alias("noise"))
+    return impute.local_noise(v.observed, v.spots).select("gene", "n", F.round("noise", 5).alias("noise"))
 
 
 @add("imp08_spot_noise", "SELECT gene, spot, round(greatest(coalesce(CASE WHEN k >= 2 THEN var END, var_pop(value) OVER (PARTITION BY gene), 0.01), 1e-6) * 1000, 4) AS noise FROM loc", _LOCAL)
