@@ -35,7 +35,7 @@ def analyse(usage: DataFrame, spots: DataFrame, edges: DataFrame, start: tuple[f
     before, after = F.lag("m").over(g), F.lead("m").over(g)
     slope = F.when(before.isNull(), after - F.col("m")).when(after.isNull(), F.col("m") - before).otherwise((after - before) / 2)
     turned = curves.withColumn("slope", F.round(slope, 7)).withColumn("turned", F.coalesce(F.signum("slope") != F.signum(F.lag("slope").over(g)), F.lit(False)))
-    r = F.round(F.corr("bin", "m"), 6)
+    r = F.round(F.try_divide(F.covar_pop("bin", "m"), F.stddev_pop("bin") * F.stddev_pop("m")), 6)  # null for a flat curve
     kind = F.when(F.count("*") < 3, "stable").when(F.count_if("turned") >= 2, "switch").when(r > 0.5, "increasing").when(r < -0.5, "decreasing").otherwise("stable")
     ranked = turned.groupBy("gene").agg(F.var_pop("m").alias("variance"), (F.max("m") - F.min("m")).alias("reach"))
     return {
