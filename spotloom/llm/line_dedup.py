@@ -72,7 +72,8 @@ def applied(docs: DataFrame, bitmaps: DataFrame, keys: list[str], doc_id: str =
     """keys, n_lines, n_dropped and the text's other lines, joined by \\n."""
     src = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{doc_id}`").alias("__d"), F.xxhash64(_text(text)).alias("__f"), _text(text).alias("__t"))
     marks = bitmaps.select(F.col("d").alias("__d2"), F.col("f").alias("__f2"), F.col("words").alias("__words"))
-    j = src.join(marks, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__f") == F.col("__f2")), "left")
+    # dealt out at any size, so that its cost is in proportion; the bitmaps are hashed, and texts aren't sorted
+    j = src.join(marks.hint("shuffle_hash"), F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__f") == F.col("__f2")), "left")
     at = j.select(*keys, "__t", F.split("__t", "\n").alias("__lines"), _dropped(F.coalesce("__words", F.array().cast("array<struct<place:int,keep:bigint>>"))).alias("__drop"))
     # the stretches between dropped lines are cut out whole
     begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("__drop", k - 1) + 1)
