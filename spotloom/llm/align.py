@@ -1,17 +1,19 @@
 """Alignment of two tokenizers over the same texts.
 
-One Arrow map encodes each text by both tokenizers and gives token ids and the byte offsets at which tokens end.
-All else is DataFrame functions.  Offsets in both lists (array_intersect) cut the tokens into groups.  Both lists of
-ends, sorted together, say for every stretch of bytes between two ends which token of A and which of B cover it:
-that is one link for each distinct end, since two tokens overlap in one stretch only.
+One Arrow map encodes texts by both tokenizers.  Text between two single spaces is encoded once for a worker and looked
+up from then on, which is exact: pieces of A begin at such a space, and no piece of B has a space mark behind
+another character (checked when B is read).  For each block of texts the map gives the different stretches of the block,
+each with token ids and the byte offsets at which tokens end, and the texts as numbers of stretches.
 
-Links are kept as one number for each pair of ids, so the corpus-wide counts are one aggregation with map-side sums.  The
+All else is DataFrame functions.  In each stretch the offsets in both lists (array_intersect) cut the tokens into groups.  Both
+lists of ends, sorted together, say for every piece of text between two ends which token of A and which of B cover it:
+that is one link for each distinct end, since two tokens overlap in one piece only.  A stretch ends both lists, so
+groups and links of a text are those of its stretches, one after the other.
+
+Links are kept as one number for each pair of ids, and the corpus-wide counts are one aggregation with map-side sums.  The
 counts are written; where they are few (SENT rows at most, counted) they are sent to the tasks, beyond that each document's
 distinct pairs are joined to them by shuffle, where the planner can split pairs that are in a third of all documents.
 
-Text between two single spaces is encoded once for a task and looked up from then on.  That is exact: pieces of A
-begin at such a space, and no piece of B has a space mark behind another character (checked when B is read).
-
 Defined results: null and empty texts, and those whose tokens don't spell a space and the text (a text with the
 space mark itself), have no tokens, groups or links; texts may be of any length (one text is one row of arrays);
 special tokens' strings are plain text; repeated rows give a row each and all count; other columns are ignored, whatever
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotloom.llm.common import PART, Scratch, keep, map_texts, table
+from spotloom.llm.common import Scratch, keep, ship, slices, table
 from spotloom.llm.toxicity import ranges
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -48,8 +50,11 @@ KEPT = 4_000_000
 #: rows of pair counts that may be sent to every task: under 100 MB as a hash table
 SENT = 4_000_000
 
-INTS = T.ArrayType(T.IntegerType())
-TOKENS = T.StructType([T.StructField(f, INTS) for f in ("a", "a_end", "b", "b_end")])
+#: tokens of a stretch that is worked on by look-ups; a longer one is sorted
+SHORT = 128
+#: bytes of text in a block
+BLOCK = 8 << 20
+STRETCH = ("a", "a_end", "b", "b_end")
 
 
 class Pair:
@@ -119,7 +124,8 @@ class Pair:
             return [text]
         return BETWEEN.split(text) if BESIDE.search(text) else text.split(" ")
 
-    def encode(self, texts: list[bytes | None]) -> dict[str, pa.Array]:
+    def encode(self, texts: list[bytes | None]) -> tuple[list[pa.Array], list[pa.Array]]:
+        """The block's stretches as lists of A's ids and ends and B's, and for each text its numbers of tokens and the places of its stretches."""
         if len(self.ids[0]) > KEPT:
             self.clear()
         cut = [self.chunks(t.decode("utf-8", "replace")) if t else [] for t in texts]
@@ -131,20 +137,25 @@ class Pair:
         row = np.repeat(np.arange(len(cut)), count)
         bad = np.bincount(row, ~self.ok[code], len(cut)) > 0
         code, row = code[~bad[row]], row[~bad[row]]
-        out = {}
-        for k, name in enumerate("ab"):
-            n = self.at[k][code + 1] - self.at[k][code]
-            place = ranges(self.at[k][code], n)
-            tokens = np.bincount(row, n, len(cut)).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(tokens)])
-            ids = self.ids[k][place]
-            ends = np.cumsum(self.length[k][ids], dtype=np.int64)
-            before = np.concatenate([[0], ends])[offsets[:-1]]
-            ends = (ends - np.repeat(before, tokens)).astype(np.int32)
-            offsets = pa.array(offsets.astype(np.int32))
-            out[name] = pa.ListArray.from_arrays(offsets, pa.array(ids))
-            out[f"{name}_end"] = pa.ListArray.from_arrays(offsets, pa.array(ends))
-        return out
+        used = np.zeros(len(self.ok), bool)
+        used[code] = True
+        place = np.cumsum(used) - 1
+        own = np.flatnonzero(used)
+        stretches, per_text = [], []
+        for k in (0, 1):
+            at, n = self.at[k][own], self.at[k][own + 1] - self.at[k][own]
+            ids = self.ids[k][ranges(at, n)]
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            ends = np.concatenate([[0], np.cumsum(self.length[k][ids], dtype=np.int64)])
+            ends = ends[1:] - np.repeat(ends[offsets[:-1]], n)
+            stretches += [_lists(offsets, ids), _lists(offsets, ends.astype(np.int32))]
+            per_text.append(pa.array(np.bincount(row, (self.at[k][code + 1] - self.at[k][code]), len(cut)).astype(np.int32)))
+        per_text.append(_lists(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(cut)))]), place[code].astype(np.int32)))
+        return stretches, per_text
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
 def _byte_bpe(data: bytes) -> tuple[Callable[[str], list[int]], list[bytes]]:
@@ -183,74 +194,164 @@ def _read(name: str, path: str | None) -> bytes:
 
 
 def tokens(docs: DataFrame, keys: list[str], text: str = "text", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """keys; ids and byte ends of the tokens of " " + text by A and by B.
+    """A row for each block of texts: a, a_end, b, b_end (lists of the stretches' token ids and byte ends; the first byte is a
+    space) and docs (keys, n_a, n_b, and the places of the text's stretches).
 
     Both vocabularies (megabytes) are read on the driver and sent along.
     """
-    return map_texts(docs, keys, text, _maker(docs.sparkSession, _read(A, a_path), _read(B, b_path)), TOKENS, PART)
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast((_read(A, a_path), _read(B, b_path)))
+    src = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("binary").alias("__text"))
+    ints = T.ArrayType(T.IntegerType())
+    doc = T.StructType([*[src.schema[k] for k in keys], T.StructField("n_a", T.IntegerType()), T.StructField("n_b", T.IntegerType()), T.StructField("places", ints)])
+    schema = T.StructType([*[T.StructField(f, T.ArrayType(ints)) for f in STRETCH], T.StructField("docs", T.ArrayType(doc))])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        inner = arrow.field("docs").type.value_type
+        a, b = sent.value
+        pair = keep(("align", hash(a), hash(b)), lambda: Pair(a, b))
+        for batch in batches:
+            for part in slices(batch, len(keys), BLOCK):
+                stretches, per_text = pair.encode(part.column(len(keys)).to_pylist())
+                columns = [c.cast(inner.field(i).type) for i, c in enumerate([*part.columns[:-1], *per_text])]
+                block = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (*stretches, pa.StructArray.from_arrays(columns, fields=list(inner)))]
+                yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(block)], schema=arrow)
 
+    return src.mapInArrow(run, schema)
 
-def _maker(spark: SparkSession, a: bytes, b: bytes) -> Callable:
-    sent = spark.sparkContext.broadcast((a, b))
 
-    def make():
-        a, b = sent.value
-        return keep(("align", hash(a), hash(b)), lambda: Pair(a, b)).encode
+#: a place among ends: end, kind (0: A, 1: B) and number of the token in one long, so that sorting is by end, A first
+_KIND = 1 << 31
 
-    return make
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
 
-#: a place among ends: end, kind (0: A, 1: B) and number of the token in one long, so that sorting is by end, A first
-_END, _KIND = 1 << 32, 1 << 31
 
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_KIND - 1).cast("long")).cast("int")
 
-def _sorted_ends() -> Column:
-    mark = lambda name, kind: F.transform(name, lambda e, i: F.shiftleft(e.cast("long"), 32) + i.cast("long") + F.lit(kind).cast("long"))
-    return F.sort_array(F.concat(mark("a_end", 0), mark("b_end", _KIND)))
 
+def _linker(b_ids: int, kind: str) -> Callable[[Column, Column], Column]:
+    """A pair of ids as one number: A's id * b_ids + B's."""
+    return lambda x, y: x.cast(kind) * F.lit(b_ids).cast(kind) + y.cast(kind)
 
-def _stretches(b_ids: int) -> Column:
-    """For each end a link (A's id * b_ids + B's id), or -1 - (A's place * 2^31 + B's place) where the end before is the same: a cut.
+
+def _covers(s: Column, ends: Column, _link: Callable, kind: str) -> Column:
+    """For each end (link, null), or (null, place of A's token and of B's) where the end before is the same: a cut.
 
     Of the ends before the r-th, those of the other kind are r less its own place, which is the other token's place.
     """
-    own = lambda x: x.bitwiseAND(F.lit(_KIND - 1).cast("long")).cast("int")
-    link = lambda i, j: F.get("a", i).cast("long") * b_ids + F.get("b", j)
+    link = lambda i, j: F.struct(_link(F.get(s["a"], i), F.get(s["b"], j)).alias("link"), F.lit(None).cast("struct<i:int,j:int>").alias("cut"))
 
     def one(x: Column, r: Column) -> Column:
         is_a = x.bitwiseAND(F.lit(_KIND).cast("long")) == 0
         # B's end is never first where A has the same
-        tie = F.shiftright(F.get("ends", r - 1), 32) == F.shiftright(x, 32)
-        return F.when(is_a, link(own(x), r - own(x))).when(F.coalesce(tie, F.lit(False)), -1 - (F.shiftleft((r - own(x) - 1).cast("long"), 31) + own(x).cast("long"))).otherwise(link(r - own(x), own(x)))
+        tie = F.shiftright(F.get(ends, F.greatest(r - 1, F.lit(0))), 32) == F.shiftright(x, 32)
+        cut = F.struct(F.lit(None).cast(kind).alias("link"), F.struct((r - _low(x)).alias("i"), (_low(x) + 1).alias("j")).alias("cut"))
+        return F.when(is_a, link(_low(x), r - _low(x))).when((r > 0) & tie, cut).otherwise(link(r - _low(x), _low(x)))
+
+    return F.transform(ends, one)
+
+
+def _groups(s: Column, cuts: Column) -> Column:
+    """The text of the groups that end behind the cuts' tokens (i of A, j of B)."""
+
+    def text(t: Column) -> Column:
+        def one(c: Column, k: Column) -> Column:
+            i, j = _before(cuts, k, "i"), _before(cuts, k, "j")
+            part = lambda x, start, end: F.when(end - start == 1, F.get(x, start)).otherwise(F.array_join(F.slice(x, start + 1, end - start), ","))
+            return F.concat(part(t["a"], i, c["i"]), F.lit("|"), part(t["b"], j, c["j"]))
+
+        return F.array_join(F.transform(cuts, one), ";")
+
+    return _let(F.struct(s["a"].cast("array<string>").alias("a"), s["b"].cast("array<string>").alias("b")), text)
+
+
+def _before(cuts: Column, k: Column, f: str) -> Column:
+    return F.coalesce(F.get(cuts, k - 1)[f], F.lit(0))
+
+
+def _long(s: Column, _link: Callable, kind: str) -> Column:
+    """groups and links of a stretch of any length, in time in proportion to it."""
+    mark = lambda x, kind: F.transform(x, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(kind).cast("long")))
+    ends = F.sort_array(F.concat(mark(s["a_end"], 0), mark(s["b_end"], _KIND)))
+
+    def mixed(all_: Column) -> Column:
+        cuts = F.transform(F.filter(all_, lambda x: x["cut"].isNotNull()), lambda x: x["cut"])
+        return F.struct(_let(cuts, lambda c: _groups(s, c)).alias("groups"), F.transform(F.filter(all_, lambda x: x["link"].isNotNull()), lambda x: x["link"]).alias("links"))
+
+    return _let(ends, lambda e: _let(_covers(s, e, _link, kind), mixed))
+
+
+def _short(s: Column, shared: Column, _link: Callable) -> Column:
+    """groups and links of a stretch; ends are looked up in its short lists.
+
+    A group of one token of A, or one of B, links it with all of the other's.  In another group the place of an end in the sorted list
+    of all ends, less its place in its own, is the number of the other's ends before it, and so the other token's place.
+    """
+    at = lambda ends, e: F.array_position(ends, e).cast("int")
+    cuts = F.transform(shared, lambda e: F.struct(at(s["a_end"], e).alias("i"), at(s["b_end"], e).alias("j")))
+
+    def links(cuts: Column) -> Column:
+        def one(c: Column, k: Column) -> Column:
+            i, j = _before(cuts, k, "i"), _before(cuts, k, "j")
+            m, n = c["i"] - i, c["j"] - j
+            part = lambda f, start, size: F.slice(s[f], start + 1, size)
+            a, a_end, b, b_end = part("a", i, m), part("a_end", i, m), part("b", j, n), part("b_end", j, n)
+
+            def crossed(ends: Column) -> Column:
+                of_a = F.zip_with(a, a_end, lambda x, e: _link(x, F.get(b, at(ends, e) - at(a_end, e))))
+                of_b = F.transform(F.array_except(b_end, a_end), lambda e: _link(F.get(a, at(ends, e) - at(b_end, e)), F.get(b, at(b_end, e) - 1)))
+                return F.concat(of_a, of_b)
+
+            single = F.array(_link(F.get(s["a"], i), F.get(s["b"], j)))
+            one_a, one_b = F.transform(b, lambda y: _link(F.get(s["a"], i), y)), F.transform(a, lambda x: _link(x, F.get(s["b"], j)))
+            return F.when((m == 1) & (n == 1), single).when(m == 1, one_a).when(n == 1, one_b).otherwise(_let(F.sort_array(F.concat(a_end, b_end)), crossed))
+
+        return F.flatten(F.transform(cuts, one))
+
+    return _let(cuts, lambda c: F.struct(_groups(s, c).alias("groups"), links(c).alias("links")))
+
+
+def _stretch(s: Column, b_ids: int, kind: str) -> Column:
+    """groups (text) and links of a stretch (a, a_end, b, b_end)."""
+    _link = _linker(b_ids, kind)
+    pair = lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))
+    single = F.struct(F.array_join(F.zip_with(s["a"], s["b"], pair), ";").alias("groups"), F.zip_with(s["a"], s["b"], _link).alias("links"))
+
+    def body(shared: Column) -> Column:
+        n, a, b = F.size(shared), F.size(s["a"]), F.size(s["b"])
+        return F.when((n == a) & (n == b), single).when(a + b <= SHORT, _short(s, shared, _link)).otherwise(_long(s, _link, kind))
 
-    return F.transform("ends", one)
+    return _let(F.array_intersect(s["a_end"], s["b_end"]), body)
 
 
-def aligned(tok: DataFrame, keys: list[str], b_ids: int) -> DataFrame:
-    """keys, n_a, n_b, n_groups, n_links, groups (text: `a1,a2|b1;a3|b2,b3`) and links (pairs of ids as numbers, A's id * b_ids + B's)."""
-    t = tok.select(*keys, "a", "b", F.size(F.array_intersect("a_end", "b_end")).alias("n_groups"), _sorted_ends().alias("ends"))
-    t = t.select(*keys, "a", "b", "n_groups", _stretches(b_ids).alias("all"))
-    t = t.select(*keys, "a", "b", "n_groups", F.filter("all", lambda x: x >= 0).alias("links"), F.transform(F.filter("all", lambda x: x < 0), lambda x: -1 - x).alias("cuts"))
-    t = t.select(*keys, "n_groups", "links", F.transform("a", lambda x: x.cast("string")).alias("a"), F.transform("b", lambda x: x.cast("string")).alias("b"), F.transform("cuts", lambda c: F.shiftright(c, 31).cast("int") + 1).alias("a_cut"), F.transform("cuts", lambda c: c.bitwiseAND(F.lit(_KIND - 1).cast("long")).cast("int") + 1).alias("b_cut"))
+def aligned(blocks: DataFrame, keys: list[str], b_ids: int, kind: str = "long") -> DataFrame:
+    """keys, n_a, n_b, n_groups, n_links, groups (text: `a1,a2|b1;a3|b2,b3`) and links (each A's id * b_ids + B's)."""
 
-    def group(k: Column) -> Column:
-        i, m = F.coalesce(F.get("a_cut", k - 1), F.lit(0)), F.get("a_cut", k)
-        j, n = F.coalesce(F.get("b_cut", k - 1), F.lit(0)), F.get("b_cut", k)
-        some = lambda x, at, upto: F.when(upto - at == 1, F.get(x, at)).otherwise(F.array_join(F.slice(x, at + 1, upto - at), ","))
-        return F.concat(some("a", i, m), F.lit("|"), some("b", j, n))
+    def of_texts(w: Column) -> Column:
+        of = lambda d, f: F.transform(d["places"], lambda p: F.get(w, p)[f])
+        return F.transform("docs", lambda d: F.struct(*[d[k].alias(k) for k in (*keys, "n_a", "n_b")], F.array_join(of(d, "groups"), ";").alias("groups"), F.flatten(of(d, "links")).alias("links")))
 
-    groups = F.when(F.col("n_groups") > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_groups") - 1), group), ";")).otherwise("")
-    # a group of m and n tokens has m + n - 1 links
-    n_links = F.aggregate("a_cut", F.size("b").cast("long"), lambda s, _: s - 1, lambda s: s + F.size("a"))
-    return t.select(*keys, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.col("n_groups").cast("long").alias("n_groups"), n_links.alias("n_links"), groups.alias("groups"), "links")
+    found = _let(F.transform(F.arrays_zip(*STRETCH), lambda s: _stretch(s, b_ids, kind)), of_texts)
+    t = blocks.select(F.explode(found).alias("d")).select("d.*")
+    # groups are parted by a mark that is in none of them; a group of m and n tokens has m + n - 1 links
+    t = t.withColumn("n_groups", F.when(F.col("n_a") > 0, F.length("groups") - F.length(F.replace("groups", F.lit(";"), F.lit(""))) + 1).otherwise(0))
+    counts = [F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups")]
+    return t.select(*[F.col(f"`{k}`") for k in keys], *counts, (F.col("n_a") + F.col("n_b") - F.col("n_groups")).cast("long").alias("n_links"), "groups", "links")
 
 
 def link_counts(links: DataFrame, b_ids: int, scratch: Scratch) -> DataFrame:
     """(link, count, best): how often each pair of ids is linked, and whether no other A id is linked more often with its B id."""
     c = scratch.save(links.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("count")))
-    top = c.groupBy(F.expr(f"link % {b_ids}").alias("b")).agg(F.max("count").alias("top"))
+    top = c.groupBy((F.col("link") % b_ids).alias("y")).agg(F.max("count").alias("top"))
     # as many rows as B has ids, by the vocabulary's size
-    return c.join(F.broadcast(top), F.expr(f"link % {b_ids}") == F.col("b")).select("link", "count", (F.col("count") == F.col("top")).alias("best"))
+    return c.join(F.broadcast(top), F.col("link") % b_ids == F.col("y")).select("link", "count", (F.col("count") == F.col("top")).alias("best"))
 
 
 def link_sums(links: DataFrame, counts: DataFrame, row: str, sent: int = SENT) -> DataFrame:
@@ -269,12 +370,12 @@ def align(docs: DataFrame, keys: list[str], text: str = "text", a_path: str | No
 
     scratch = Scratch(docs.sparkSession)
     b_ids = sentencepiece.SentencePieceProcessor(model_proto=_read(B, b_path)).get_piece_size()
-    found = aligned(tokens(docs, keys, text, a_path, b_path), keys, b_ids)
+    a_ids = 1 + max(json.loads(_read(A, a_path))["model"]["vocab"].values())
+    found = aligned(tokens(docs, keys, text, a_path, b_path), keys, b_ids, "int" if a_ids * b_ids < 1 << 31 else "long")
     if digest:
         found = found.withColumn("groups", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).withColumnRenamed("groups", "groups_sha256")
-    narrow = "int" if b_ids * len(json.loads(_read(A, a_path))["model"]["vocab"]) < 1 << 31 else "long"
     # the number of a row is fixed by being written
-    found = scratch.save(found.withColumn("links", F.col("links").cast(f"array<{narrow}>")).withColumn("__row", F.monotonically_increasing_id()))
+    found = scratch.save(found.withColumn("__row", F.monotonically_increasing_id()))
     counts = scratch.save(link_counts(found, b_ids, scratch))
     sums = link_sums(found.select("__row", "links"), counts, "__row", sent)
     j = found.drop("links").join(sums, "__row", "left").drop("__row")

@@ -68,9 +68,17 @@ def test_tokens_equal_the_libraries(libraries):
     assert pair.apart
     texts = ODD + made(400)
     for part in (texts[:50], texts[50:], texts[::3]):
-        got = pair.encode([t.encode() for t in part])
+        stretches, (n_a, n_b, places) = pair.encode([t.encode() for t in part])
         for i, t in enumerate(part):
-            assert tuple(got[f][i].as_py() for f in ("a", "a_end", "b", "b_end")) == spelt(libraries, t), t
+            got = []
+            for ids, ends in (stretches[:2], stretches[2:]):
+                at, all_ids, all_ends = 0, [], []
+                for p in places[i].as_py():
+                    all_ids += ids[p].as_py()
+                    all_ends += [at + e for e in ends[p].as_py()]
+                    at = all_ends[-1]
+                got += [all_ids, all_ends]
+            assert tuple(got) == spelt(libraries, t) and (n_a[i].as_py(), n_b[i].as_py()) == (len(got[0]), len(got[2])), t
 
 
 def test_query_columns_equal_brute_force(spark, libraries):
@@ -114,3 +122,12 @@ def test_empty_table_and_a_very_long_text(spark):
     x = A.align(df, ["doc_id"]).first()
     assert x.n_a > 100_000 and x.n_links == x.n_a + x.n_b - x.n_groups and x.groups.count(";") == x.n_groups - 1
     assert A.align(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_long_and_short_stretches_give_the_same(spark, monkeypatch):
+    """Stretches are read off short lists or, beyond a length, in one walk over all ends."""
+    rows = [(i, t) for i, t in enumerate([*ODD, *made(60, 5), "x" * 50 + "日本語" * 60])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, A.align(df, ["doc_id"]).collect()))
+    monkeypatch.setattr(A, "SHORT", 0)
+    assert sorted(map(tuple, A.align(df, ["doc_id"]).collect())) == want
