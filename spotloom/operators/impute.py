@@ -7,16 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotloom.operators import likelihood
 from spotloom.operators.lineage import cut
 
 
-def grid(usage: DataFrame, spots: DataFrame) -> DataFrame:
-    """Every (gene, spot) cell, with null where nothing was observed: genes are exploded spot by spot, so the work is that of the output."""
-    genes = usage.select("gene").distinct()
-    cells = genes.crossJoin(spots.select("spot"))
-    return cells.join(usage, ["gene", "spot"], "left")
-
-
 def by_gene(usage: DataFrame, how: str = "mean") -> DataFrame:
     w = Window.partitionBy("gene")
     fill = F.avg("value").over(w) if how == "mean" else F.percentile("value", F.lit(0.5)).over(w)
@@ -139,21 +133,12 @@ def quantile_normalize(values: DataFrame) -> DataFrame:
     return j.select("gene", "spot", "batch", "value", F.when(F.col("nb") < 2, F.col("value")).otherwise(F.col("lo") + (F.col("at") - F.col("j0")) * (F.col("hi") - F.col("lo"))).alias("normalized"))
 
 
-def exact_gp(usage: DataFrame, spots: DataFrame, lengths: list[float], noises: list[float], nu: float | None = 1.5) -> DataFrame:
+def exact_gp(usage: DataFrame, spots: DataFrame, lengths: list[float], noises: list[float], nu: float | None = 1.5, seek: bool = False) -> DataFrame:
     """Exact Gaussian process by gene, Matern (nu 0.5, 1.5, 2.5) or RBF (None): the length and noise of greatest likelihood on a grid.
 
-    Values are standardised; observed values stay, with std 0.  A gene needs two observed values, else its rows stay null.
+    With `seek`, they are sought from the best of the grid on, the amplitude as well.  Values are standardised; observed values stay, with std 0.  A gene needs two observed values, else its rows stay null.
     """
 
-    def shape(d: np.ndarray, ell: float) -> np.ndarray:
-        r = d / ell
-        if nu is None:
-            return np.exp(-r * r / 2)
-        if nu == 0.5:
-            return np.exp(-r)
-        s = np.sqrt(2 * nu) * r
-        return (1 + s) * np.exp(-s) if nu == 1.5 else (1 + s + s * s / 3) * np.exp(-s)
-
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("spot").reset_index(drop=True)
         at, y = pdf[["x", "y"]].to_numpy(float), pdf.value.to_numpy(float)
@@ -165,10 +150,15 @@ def exact_gp(usage: DataFrame, spots: DataFrame, lengths: list[float], noises: l
         mu, sd = y[seen].mean(), y[seen].std() or 1.0
         t = (y[seen] - mu) / sd
         d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
-        best = None
-        for ell in lengths:
-            k = shape(d, ell)
-            for s2 in noises:
+        best, size, sides = None, 1.0, [(ell, noises) for ell in lengths]
+        if seek:
+            own = d[np.ix_(seen, seen)]
+            _, ell, s2 = likelihood.search(own, t, lengths, noises, nu)
+            sides = [(ell, [s2])]
+            size = max(float(t @ np.linalg.solve(likelihood.shape(own, ell, nu)[0] + s2 * np.eye(len(t)), t)) / len(t), 1e-300)
+        for ell, tried in sides:
+            k = likelihood.shape(d, ell, nu)[0]
+            for s2 in tried:
                 low = np.linalg.cholesky(k[np.ix_(seen, seen)] + (s2 + 1e-9) * np.eye(len(t)))
                 a = np.linalg.solve(low, t)
                 ll = -0.5 * a @ a - np.log(np.diag(low)).sum()
@@ -177,7 +167,7 @@ def exact_gp(usage: DataFrame, spots: DataFrame, lengths: list[float], noises: l
         _, k, low, a = best
         v = np.linalg.solve(low, k[np.ix_(seen, ~seen)])
         out.loc[~seen, "imputed"] = mu + sd * (v.T @ a)
-        out.loc[~seen, "std"] = sd * np.sqrt(np.maximum(1 - (v * v).sum(0), 0))
+        out.loc[~seen, "std"] = sd * np.sqrt(np.maximum(size * (1 - (v * v).sum(0)), 0))
         return out
 
     return usage.join(spots.select("spot", "x", "y"), "spot").groupBy("gene").applyInPandas(fit, "gene bigint, spot bigint, imputed double, std double")
@@ -214,9 +204,9 @@ def neighbour_passes(usage: DataFrame, edges: DataFrame, passes: int = 3) -> Dat
 
 
 def variance_parts(usage: DataFrame, spots: DataFrame, lengths: list[float], noises: list[float], least: int = 10) -> DataFrame:
-    """(gene, n, total, spatial, random, share, r2): how much of a gene's variance an exact Gaussian process of the places explains.
+    """(gene, n, total, spatial, random, share, r2, length, noise): how much of a gene's variance an exact Gaussian process of the places explains.
 
-    Values are centred; the length and noise of greatest likelihood on the grid, given the best amplitude, are used.
+    Values are centred; length and noise of greatest likelihood, given the best amplitude, are sought from the best of the grid.
     spatial is the variance of the fitted values, random the mean squared residual.  Genes of fewer than `least`
     values give nulls, and so does the share without variance; r2 is then 0.
     """
@@ -224,28 +214,22 @@ def variance_parts(usage: DataFrame, spots: DataFrame, lengths: list[float], noi
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("spot")
         y, n = pdf.value.to_numpy(float), len(pdf)
-        row = [pdf.gene.iloc[0], n, None, None, None, None, None]
+        row = [pdf.gene.iloc[0], n, None, None, None, None, None, None, None]
         if n >= least:
             t, total = y - y.mean(), float(y.var())
-            row[2:] = [total, 0.0, total, None, 0.0]
+            row[2:7] = [total, 0.0, total, None, 0.0]
             if total > 1e-12:
                 at = pdf[["x", "y"]].to_numpy(float)
-                d2 = ((at[:, None] - at[None]) ** 2).sum(2)
-                best = None
-                for ell in lengths:
-                    w, v = np.linalg.eigh(np.exp(-d2 / (2 * ell * ell)))
-                    w, p = np.maximum(w, 0), v.T @ t
-                    for s2 in noises:
-                        scale = (p * p / (w + s2)).mean()
-                        ll = -0.5 * (n * np.log(scale) + np.log(w + s2).sum())
-                        if best is None or ll > best[0]:
-                            best = (ll, v @ (w / (w + s2) * p))
-                rest = float(((t - best[1]) ** 2).mean())
-                row[2:] = [total, float(best[1].var()), rest, float(best[1].var()) / total, 1 - rest / total]
-        return pd.DataFrame([row], columns=["gene", "n", "total", "spatial", "random", "share", "r2"])
+                d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+                _, ell, noise = likelihood.search(d, t, lengths, noises)
+                k = likelihood.shape(d, ell, None)[0]
+                fitted = k @ np.linalg.solve(k + noise * np.eye(n), t)
+                rest, own = float(((t - fitted) ** 2).mean()), float(fitted.var())
+                row[2:] = [total, own, rest, own / total, 1 - rest / total, float(ell), float(noise)]
+        return pd.DataFrame([row], columns=["gene", "n", "total", "spatial", "random", "share", "r2", "length", "noise"])
 
     rows = usage.where("value IS NOT NULL").join(spots.select("spot", "x", "y"), "spot")
-    return rows.groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, total double, spatial double, random double, share double, r2 double")
+    return rows.groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, total double, spatial double, random double, share double, r2 double, length double, noise double")
 
 
 def local_noise(usage: DataFrame, spots: DataFrame, k: int = 8, scale: float = 1000.0, least: float = 1e-3) -> DataFrame:
@@ -271,3 +255,40 @@ def local_noise(usage: DataFrame, spots: DataFrame, k: int = 8, scale: float = 1
         return pd.DataFrame([(pdf.gene.iloc[0], n, max(noise, least))], columns=["gene", "n", "noise"])
 
     return usage.where("value IS NOT NULL").join(spots.select("spot", "x", "y"), "spot").groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, noise double")
+
+
+def loo_residuals(usage: DataFrame, spots: DataFrame, length: float, noise: float = 0.1) -> DataFrame:
+    """(gene, spot, value, residual): a value less what a Gaussian process (RBF) of the gene's other values says there.
+
+    In closed form from one factorisation a gene: the weights over the diagonal of the inverse.  Values are centred on
+    the gene's mean of all its values.  A gene of under two values gives residuals of 0.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("spot").reset_index(drop=True)
+        at, y = pdf[["x", "y"]].to_numpy(float), pdf.value.to_numpy(float)
+        out = pdf[["gene", "spot", "value"]].copy()
+        out["residual"] = 0.0
+        if len(y) > 1:
+            d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+            inverse = np.linalg.inv(np.exp(-d2 / (2 * length * length)) + noise * np.eye(len(y)))
+            out["residual"] = inverse @ (y - y.mean()) / np.diag(inverse)
+        return out
+
+    rows = usage.where("value IS NOT NULL").join(spots.select("spot", "x", "y"), "spot")
+    return rows.groupBy("gene").applyInPandas(fit, "gene bigint, spot bigint, value double, residual double")
+
+
+def residual_noise(residuals: DataFrame, edges: DataFrame, cells: DataFrame, scale: float = 1.0, least: float = 1e-6) -> DataFrame:
+    """(gene, spot, noise) for each of the cells: the variance of the residuals at a spot's neighbours (src, dst), times scale.
+
+    With fewer than two neighbours observed, or no variance there, it is that of all the gene's residuals; where that is 0 too,
+    half the variance of its values, and 0.01 for a gene without values; `least` at least before scaling.
+    """
+    near = residuals.select("gene", F.col("spot").alias("dst"), "residual")
+    own = edges.select("src", "dst").join(near, "dst").groupBy("gene", F.col("src").alias("spot")).agg(F.var_pop("residual").alias("v"), F.count("*").alias("n"))
+    whole = residuals.groupBy("gene").agg(F.var_pop("residual").alias("all"), F.var_pop("value").alias("values"))
+    rest = F.when(F.col("all") > 0, F.col("all")).otherwise(F.coalesce(F.col("values") * 0.5, F.lit(0.01)))
+    j = cells.select("gene", "spot").join(own, ["gene", "spot"], "left").join(whole, "gene", "left")
+    v = F.when((F.col("n") >= 2) & (F.col("v") > 0), F.col("v")).otherwise(rest)
+    return j.select("gene", "spot", (F.greatest(v, F.lit(least)) * scale).alias("noise"))

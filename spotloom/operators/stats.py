@@ -29,11 +29,11 @@ def rank_sum(df: DataFrame, by: list[str], value: str = "value", group: str = "g
 
 
 def all_pairs(df: DataFrame, label: str, by: list[str], value: str = "value") -> DataFrame:
-    """rank_sum of each unordered pair of labels (a < b), a being group 1; a row goes to the pairs of its own label."""
+    """rank_sum of each unordered pair of labels (a < b), a being group 1; pairs with a group under three are left out; a row goes to the pairs of its own label."""
     known = df.select(F.col(label).alias("__l")).where("__l IS NOT NULL").distinct()
     pairs = known.select(F.col("__l").alias("a")).join(known.select(F.col("__l").alias("b")), F.col("a") < F.col("b"))
     sides = pairs.select(F.col("a").alias(label), "a", "b", F.lit(1).alias("g")).union(pairs.select(F.col("b").alias(label), "a", "b", F.lit(2).alias("g")))
-    return rank_sum(df.select(*by, value, label).join(sides, label), ["a", "b", *by], value)
+    return rank_sum(df.select(*by, value, label).join(sides, label), ["a", "b", *by], value).where("n1 >= 3 AND n2 >= 3")
 
 
 def uncertainty_weights(df: DataFrame, by: list[str], uncertainty: str = "std") -> DataFrame:

@@ -147,9 +147,9 @@ def _(v):
     return intervals.smallest_containing(v.sites.select("site", "chr", "strand", F.col("coord").alias("pos")), _genes(v), ["chr", "strand"])
 
 
-@add("jn06_overlaps", "SELECT a.site, b.site AS other FROM site a JOIN site b ON a.chr = b.chr AND a.strand = b.strand AND a.s < b.e AND b.s < a.e AND a.site <> b.site")
+@add("jn06_overlaps", "SELECT a.site, g.gid AS other FROM site a JOIN genes g ON a.chr = g.chr AND a.strand = g.strand AND a.s < g.ge AND g.gs < a.e AND a.site <> g.gid", _GENES)
 def _(v):
-    b = v.sites.select("chr", "strand", F.col("s").alias("bs"), F.col("e").alias("be"), F.col("site").alias("other"))
+    b = _genes(v).select("chr", "strand", F.col("gs").alias("bs"), F.col("ge").alias("be"), F.col("gid").alias("other"))
     return intervals.overlaps(v.sites.select("chr", "strand", "s", "e", "site"), b, ["chr", "strand"]).where("site <> other").select("site", "other")
 
 
@@ -758,7 +758,7 @@ def _(v):
     return a.join(b, "gene").join(c, "gene")
 
 
-@add("sta06_all_pairs", "SELECT a, b, gene, sum(r) FILTER (domain = a) - count(*) FILTER (domain = a) * (count(*) FILTER (domain = a) + 1) / 2 AS u FROM (SELECT a, b, gene, domain, rank() OVER (PARTITION BY a, b, gene ORDER BY value) + (count(*) OVER (PARTITION BY a, b, gene, value) - 1) / 2.0 AS r FROM obs JOIN spot USING (spot) JOIN (SELECT p.domain AS a, q.domain AS b FROM (SELECT DISTINCT domain FROM spot) p, (SELECT DISTINCT domain FROM spot) q WHERE p.domain < q.domain) ON domain = a OR domain = b) GROUP BY a, b, gene HAVING count(*) FILTER (domain = a) > 0 AND count(*) FILTER (domain = b) > 0")
+@add("sta06_all_pairs", "SELECT a, b, gene, sum(r) FILTER (domain = a) - count(*) FILTER (domain = a) * (count(*) FILTER (domain = a) + 1) / 2 AS u FROM (SELECT a, b, gene, domain, rank() OVER (PARTITION BY a, b, gene ORDER BY value) + (count(*) OVER (PARTITION BY a, b, gene, value) - 1) / 2.0 AS r FROM obs JOIN spot USING (spot) JOIN (SELECT p.domain AS a, q.domain AS b FROM (SELECT DISTINCT domain FROM spot) p, (SELECT DISTINCT domain FROM spot) q WHERE p.domain < q.domain) ON domain = a OR domain = b) GROUP BY a, b, gene HAVING count(*) FILTER (domain = a) >= 3 AND count(*) FILTER (domain = b) >= 3")
 def _(v):
     return stats.all_pairs(v.observed.join(v.spots, "spot"), "domain", ["gene"]).select("a", "b", "gene", "u")
 
@@ -1020,7 +1020,7 @@ def _(v):
 
 @add("spa17_shortest_path")
 def _(v):
-    from spotloom.operators.cluster import shortest_path
+    from spotloom.operators.graph import shortest_path
 
     return shortest_path(_knn(v), 1, 2)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spotloom.operators.lineage import cut
+
 
 def separator(path: str) -> str:
     for end, sep in ((".csv", ","), (".csv.gz", ","), (".tsv", "\t"), (".txt", "\t"), (".tsv.gz", "\t")):
@@ -19,8 +21,63 @@ def coordinates(spark: SparkSession, path: str) -> DataFrame:
     if missing := {"x", "y"} - set(df.columns):
         raise ValueError(f"columns missing: {sorted(missing)}")
     key = next((c for c in ("barcode", "spot_id") if c in df.columns), None)
-    spot = F.col(key) if key else F.monotonically_increasing_id().cast("string")
-    return df.select(spot.alias("spot"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if key is None:
+        key, df = "__n", numbered_rows(df, "__n")
+    return df.select(F.col(key).cast("string").alias("spot"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+def numbered_rows(df: DataFrame, name: str) -> DataFrame:
+    """df with the number of each row, from 0, in the order of the partitions: rows are counted by partition first."""
+    own = cut(df.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    counts = own.groupBy(part.alias("__p")).agg(F.count("*").alias("n"))
+    before = counts.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__before"))  # one row a partition
+    at = own.withColumn("__p", part).join(F.broadcast(before), "__p")
+    return at.withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__before", "__id")
+
+
+def spot_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(spot, label); the key is barcode or spot_id, the label a column label, layer or domain."""
+    df = spark.read.csv(path, sep=separator(path), header=True)
+    key, label = (next((c for c in names if c in df.columns), None) for names in (("barcode", "spot_id"), ("label", "layer", "domain")))
+    if key is None or label is None:
+        raise ValueError("columns barcode or spot_id, and label, layer or domain are needed")
+    return df.select(F.col(key).alias("spot"), F.col(label).alias("label"))
+
+
+def two_way(spark: SparkSession, coordinates_path: str | None = None, matrix_path: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Coordinates (spot, x, y) and usage (gene, spot, value), each from its file if one is named.
+
+    A matrix given as Parquet of (gene, spot, value, x, y) carries its spots' places, which win over those of the file.
+    """
+    spots = coordinates(spark, coordinates_path) if coordinates_path else None
+    if matrix_path is None:
+        return spots, None
+    if not matrix_path.rstrip("/").endswith(".parquet"):
+        return spots, matrix(spark, matrix_path)
+    whole = spark.read.parquet(matrix_path)
+    if {"x", "y"} <= set(whole.columns):
+        spots = whole.select("spot", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    return spots, whole.select("gene", "spot", "value")
+
+
+def common_spots(usage: DataFrame, spots: DataFrame, metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """usage and spots of the spots that both have, spots with the metadata (spot, ...) where there is any."""
+    both = usage.select("spot").distinct().join(spots.select("spot").distinct(), "spot")
+    own = spots.join(both, "spot", "left_semi")
+    return usage.join(both, "spot", "left_semi").select(*usage.columns), own if metadata is None else own.join(metadata, "spot", "left")
+
+
+def published(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """apa_matrix.csv (spots by genes), coordinates.csv (spot_id, x, y) and, if there, metadata.csv (spot_id, layer) of a folder."""
+    raw = spark.read.csv(f"{path}/apa_matrix.csv", header=True)
+    spot, *genes = raw.columns
+    v = F.col("value").cast("double")
+    usage = raw.unpivot([spot], genes, "gene", "value").select("gene", F.col(spot).alias("spot"), F.when(~F.isnan(v), v).alias("value"))
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata.csv")
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    meta = spark.read.csv(f"{path}/metadata.csv", header=True) if there else None
+    return common_spots(usage, coordinates(spark, f"{path}/coordinates.csv"), meta.withColumnRenamed(meta.columns[0], "spot") if there else None)
 
 
 def tissue_positions(spark: SparkSession, path: str) -> DataFrame:
@@ -101,6 +158,34 @@ def write_bed(sites: DataFrame, path: str) -> None:
     bed_lines(sites).write.mode("overwrite").text(path)
 
 
+def write_sites(sites: DataFrame, path: str, kind: str = "bed") -> None:
+    """Sites as BED6 without a header, or all their columns as CSV or TSV with one; a folder of part files."""
+    if kind not in ("bed", "csv", "tsv"):
+        raise ValueError("kind must be bed, csv or tsv")
+    if kind == "bed":
+        write_bed(sites, path)
+    else:
+        sites.write.mode("overwrite").csv(path, sep="," if kind == "csv" else "\t", header=True)
+
+
+def report(sections: dict[str, DataFrame], title: str, most: int = 20) -> str:
+    """A Markdown page: of each section its number of rows and up to `most` of them, in the table's own order."""
+    page = [f"# {title}"]
+    for name, df in sections.items():
+        rows = df.limit(most).collect()
+        page += ["", f"## {name}", "", f"{df.count()} rows", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+        page += ["| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
+    return "\n".join(page) + "\n"
+
+
+def best_methods(ratings: DataFrame, lower: tuple[str, ...] = ("rmse", "mae"), higher: tuple[str, ...] = ("pearson", "r2")) -> DataFrame:
+    """(metric, method, value): the best method by each metric; ties to the first name."""
+    metrics = [m for m in (*lower, *higher) if m in ratings.columns]
+    long = ratings.unpivot(["method"], metrics, "metric", "value").where("value IS NOT NULL")
+    sign = F.when(F.col("metric").isin(*higher), -1.0).otherwise(1.0)
+    return long.groupBy("metric").agg(F.min_by(F.struct("method", "value"), F.struct(sign * F.col("value"), "method")).alias("b")).select("metric", "b.method", "b.value")
+
+
 def write_matrix(usage: DataFrame, path: str, sep: str = ",") -> None:
     usage.groupBy("gene").pivot("spot").agg(F.first("value")).write.mode("overwrite").csv(path, sep=sep, header=True)
 

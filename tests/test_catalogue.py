@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from spotloom.plans import catalogue, further, more, recovery  # noqa: F401
+from spotloom.plans import catalogue, deeper, further, more, recovery  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

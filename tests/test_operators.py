@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotloom.operators import cluster, geometry, impute, intervals, quantify, spatial, stats
+from spotloom.operators import cluster, geometry, graph, impute, intervals, quantify, spatial, stats
 from spotloom.sources import tables
 
 
@@ -106,8 +106,8 @@ def test_quantile_normalise_removes_a_shift(spark):
 
 def test_shortest_path(spark):
     e = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (1, 3, 25), (3, 4, 1)], "src long, dst long, d2 long")
-    assert [r.spot for r in cluster.shortest_path(e, 1, 4).orderBy("seq").collect()] == [1, 2, 3, 4]
-    assert cluster.shortest_path(e, 4, 1).count() == 0
+    assert [r.spot for r in graph.shortest_path(e, 1, 4).orderBy("seq").collect()] == [1, 2, 3, 4]
+    assert graph.shortest_path(e, 4, 1).count() == 0
 
 
 def test_sources(spark, tmp_path):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotloom.operators import cluster, expression, impute, recover, spatial, trajectory
+from spotloom.operators import cluster, expression, graph, impute, recover, spatial, trajectory
 
 
 def _field(spark, missing=0.3, side=6):
@@ -47,7 +47,7 @@ def test_expression_gp_without_values_or_embedding(spark):
 def test_communities_of_two_cliques(spark):
     edges = [(a, b, 1.0) for c in (0, 10) for a in range(c, c + 5) for b in range(a + 1, c + 5)] + [(4, 10, 0.1)]
     spots = spark.createDataFrame([(i,) for i in [*range(5), *range(10, 15), 99]], "spot long")
-    got = {r.spot: r.domain for r in cluster.communities(spark.createDataFrame(edges, "a long, b long, w double"), spots).collect()}
+    got = {r.spot: r.domain for r in graph.leiden(spark.createDataFrame(edges, "a long, b long, w double"), spots).collect()}
     assert [got[i] for i in range(5)] == [0] * 5 and [got[i] for i in range(10, 15)] == [1] * 5 and got[99] == 2
 
 
