@@ -11,7 +11,8 @@ The index holds the postings in blocks of BLOCK examples, and for each word and
 For a text the greatest weights bound every block's similarities; blocks are scored in the order of their
 bounds, a few more at each turn, until the bound falls below the K-th similarity found, which leaves exactly
 the K nearest (ties: the smaller example).  Their votes are weighted by similarity.  The share of toxic votes becomes a probability
-by isotonic regression on each example's vote among the others, weighted by the labels' true shares.
+by isotonic regression on each example's vote among the others, weighted by the labels' true shares, with straight
+lines between the centres of its blocks, so that scores have no coarse steps.
 
 Every row is scored over its whole text, however long.  Defined results: null and empty texts, and texts
 without a word of the vocabulary, get the share of toxic rows among examples without neighbours; without labels of both
@@ -136,18 +137,15 @@ class Index:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps (least x, value) of the weighted non-decreasing fit."""
-    order = np.argsort(x, kind="stable")
+    """Blocks (weighted mean of x, value) of the weighted non-decreasing fit; between them the fit is read off straight lines."""
+    places, at = np.unique(x, return_inverse=True)
+    total = np.bincount(at, w)
     out: list[list[float]] = []
-    for i in order:
-        if out and out[-1][0] == x[i]:
-            last = out.pop()
-            cur = [last[0], (last[1] * last[2] + y[i] * w[i]) / (last[2] + w[i]), last[2] + w[i]]
-        else:
-            cur = [float(x[i]), float(y[i]), float(w[i])]
+    for cur in np.stack([places, np.bincount(at, w * y) / total, total], axis=1).tolist():
         while out and out[-1][1] >= cur[1]:
             p = out.pop()
-            cur = [p[0], (p[1] * p[2] + cur[1] * cur[2]) / (p[2] + cur[2]), p[2] + cur[2]]
+            whole = p[2] + cur[2]
+            cur = [(p[0] * p[2] + cur[0] * cur[2]) / whole, (p[1] * p[2] + cur[1] * cur[2]) / whole, whole]
         out.append(cur)
     return np.array([o[0] for o in out]), np.array([o[1] for o in out])
 
@@ -186,8 +184,7 @@ class Model:
         at, sim = self.index.nearest(words)
         if not len(at):
             return self.alone, []
-        x, y = self.steps
-        return float(y[max(0, np.searchsorted(x, self.index.vote(at, sim), "right") - 1)]), self.index.ids[at[:EVIDENCE]].tolist()
+        return float(np.interp(self.index.vote(at, sim), *self.steps)), self.index.ids[at[:EVIDENCE]].tolist()
 
 
 COUNTS = T.StructType([T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
