@@ -64,21 +64,13 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", n: int = SHINGLE, sketch: int = 0) -> DataFrame:
-    """keys, fp, and if asked for the `sketch` least distinct shingle hashes, in order."""
+def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", n: int = SHINGLE) -> DataFrame:
+    """keys and fp; a text of any length is hashed whole, 4096 shingles at a time."""
 
     def make():
-        def fn(texts):
-            hashes = [shingle_hashes(t, n) for t in texts]
-            out = {"fp": [fingerprint(h) for h in hashes]}
-            if sketch:
-                out["sketch"] = [np.unique(h)[:sketch].view(np.int64).tolist() for h in hashes]
-            return out
+        return lambda texts: {"fp": [fingerprint(shingle_hashes(t, n)) for t in texts]}
 
-        return fn
-
-    fields = [T.StructField("fp", T.LongType())] + [T.StructField("sketch", T.ArrayType(T.LongType()))] * bool(sketch)
-    return map_texts(docs, keys, text, make, T.StructType(fields))
+    return map_texts(docs, keys, text, make, T.StructType([T.StructField("fp", T.LongType())]))
 
 
 def anchors(k: int) -> np.ndarray:
@@ -184,35 +176,12 @@ def links(fps: DataFrame, scratch: Scratch, bits: int = BITS, block: int = BLOCK
     return edges
 
 
-def _resemblance(a: str, b: str, k: int):
-    """Jaccard similarity from two sketches: exact for texts with at most k distinct shingles."""
-    union = F.slice(F.array_sort(F.transform(F.array_union(a, b), _unsigned)), 1, k)
-    both = F.transform(F.array_intersect(a, b), _unsigned)
-    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(union, both)) / F.size(union))
-
-
-def _unsigned(x):
-    """A signed 64-bit integer as one that sorts like the unsigned."""
-    return x.bitwiseXOR(F.lit(-(1 << 63)))
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, bits: int = BITS, least: float = 0.0, sketch: int = 128) -> DataFrame:
-    """(id, fp, component_id) for each row; component_id is the smallest id reachable over links.
-
-    With `least`, of the links only those count whose texts' shingle sets are that similar, by sketches of the
-    `sketch` least hashes (standard error 0.035 at 0.8; exact for shorter texts).
-    """
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """(id, fp, component_id) for each row; component_id is the smallest id reachable over links."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(fingerprints(docs, [doc_id], text, n, sketch if least else 0).withColumnRenamed(doc_id, "doc_id"))
-    first = [F.min_by("sketch", "doc_id").alias("sketch")] if least else []
-    fps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *first))
+    rows = scratch.save(fingerprints(docs, [doc_id], text, n).withColumnRenamed(doc_id, "doc_id"))
+    fps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(fps, scratch, bits)
-    if least:
-        edges = scratch.save(edges.distinct())
-        ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-        known = scratch.save(fps.join(ends, "fp").select("fp", "sketch"))
-        edges = edges.join(known.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(known.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
-        edges = edges.where(_resemblance("sa", "sb", sketch) >= least).select("a", "b")
     comp = scratch.save(components(edges, scratch))
     member = fps.join(comp.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
     roots = member.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -75,24 +75,3 @@ def test_odd_tables(spark):
     rows = sorted((r.doc_id or 0, r.component_id) for r in H.near_duplicates(df).collect())
     assert rows == [(0, 7), (2, 2), (3, 2), (7, 7), (7, 7), (8, 8)]
     assert H.near_duplicates(df.limit(0)).count() == 0
-
-
-def test_sketches_tell_the_similarity(spark):
-    r = random.Random(8)
-    base = [str(r.randint(0, 10**6)) for _ in range(90)]
-    rows = []
-    for i, edits in enumerate((0, 1, 2, 3, 4, 30)):
-        w = list(base)
-        for j in range(edits):
-            w[10 + 15 * j if edits < 30 else 3 * j] = f"e{i}.{j}"
-        rows.append((i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in H.fingerprints(df, ["doc_id"], n=5, sketch=128).collect()}
-    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(86)} for i, t in rows}
-    pairs = spark.createDataFrame([(i, j, got[i].sketch, got[j].sketch) for i in got for j in got], "i long, j long, a array<long>, b array<long>")
-    for p in pairs.select("i", "j", H._resemblance("a", "b", 128).alias("s")).collect():
-        assert abs(p.s - len(sets[p.i] & sets[p.j]) / len(sets[p.i] | sets[p.j])) < 1e-9 or len(sets[p.i] | sets[p.j]) > 128
-    wide = {r.doc_id: r.component_id for r in H.near_duplicates(df, n=5, bits=20, least=0.8).collect()}
-    similar = {(i, j) for i in sets for j in sets if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
-    assert wide[1] == wide[0] == 0 and wide[5] == 5
-    assert all((i, wide[i]) in similar or wide[i] == i or i in (2, 3, 4) for i in wide)
