@@ -53,7 +53,7 @@ SENT = 4_000_000
 #: tokens of a stretch that is worked on by look-ups; a longer one is sorted
 SHORT = 128
 #: bytes of text in a block
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 STRETCH = ("a", "a_end", "b", "b_end")
 
 
