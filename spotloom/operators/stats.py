@@ -229,3 +229,54 @@ def fixed_effects(df: DataFrame, by: str, response: str, predictor: str, group:
         return pd.DataFrame([out], columns=[by, "n", "beta", "se", "t", "dof"])
 
     return df.groupBy(by).applyInPandas(fit, f"{by} bigint, n bigint, beta double, se double, t double, dof bigint")
+
+
+def quantile_bin(df: DataFrame, column: str, n: int, name: str = "bin") -> DataFrame:
+    """df with the number, from 0, of the one of n parts between quantiles (linear between ranks) that the column lies in; edges belong above."""
+    edges = df.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("__q"))  # one row
+    j = df.crossJoin(F.broadcast(edges))
+    return j.withColumn(name, F.when(F.col(column).isNotNull(), F.size(F.filter("__q", lambda q: q <= F.col(column))))).drop("__q")
+
+
+def block_coverage(df: DataFrame, block: str, alpha: float, calibrating: int = 3, of: int = 5, least: int = 10) -> DataFrame:
+    """One row (q, n_calibration, n_test, coverage): intervals q x std calibrated on some blocks of spots and rated on the others.
+
+    df: (truth, pred, std, block).  Blocks are dealt by a hash of their name, `calibrating` of each `of` on average to the
+    calibration; where either side has under `least` rows, the sides are changed, as with one block alone nothing else is left.
+    """
+    half = F.pmod(F.crc32(F.col(block).cast("string").cast("binary")), F.lit(of)) < calibrating
+    n = df.agg(F.count_if(half).alias("a"), F.count_if(~half).alias("b")).first()
+    if n.a < least or n.b < least:
+        half = ~half
+    score = F.abs(F.col("truth") - F.col("pred")) / F.greatest("std", F.lit(1e-12))
+    own = df.where(half).select(score.alias("score"))
+    m = n.b if (n.a < least or n.b < least) else n.a
+    level = conformal_level(m, alpha)
+    k = math.ceil(level * (m - 1)) + 1
+    q = own.agg(F.percentile("score", F.lit((k - 1) / (m - 1) if m > 1 else 0.0)).alias("q"), F.count("*").alias("n_calibration"))
+    test = df.where(~half).withColumn("score", score).crossJoin(F.broadcast(q))  # one row
+    return test.groupBy("q", "n_calibration").agg(F.count("*").alias("n_test"), F.avg((F.col("score") <= F.col("q")).cast("double")).alias("coverage"))
+
+
+def confident_spots(cells: DataFrame, levels: dict[str, float]) -> DataFrame:
+    """(level, sample, spot): of each sample the most certain spots, ceil(n (1 - drop)) of n.
+
+    cells: (sample, spot, gene, value, half), half being the width of the value's interval.  A spot's uncertainty is the mean over
+    its unobserved values, over all where it has none; ties go to the smaller spot.
+    """
+    score = F.coalesce(F.avg(F.when(F.col("value").isNull(), F.col("half"))), F.avg("half"))
+    s = cells.groupBy("sample", "spot").agg(F.round(score, 12).alias("u"))
+    own = Window.partitionBy("sample")
+    ranked = s.withColumn("k", F.row_number().over(own.orderBy(F.col("u").asc_nulls_last(), "spot"))).withColumn("n", F.count("*").over(own))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(d)).alias("drop")) for k, d in levels.items()]))
+    return ranked.select("*", each.alias("l")).where(F.col("k") <= F.ceil(F.round(F.col("n") * (1 - F.col("l.drop")), 9))).select("l.level", "sample", "spot")
+
+
+def retest(values: DataFrame, kept: DataFrame, group: str, alpha: float = 0.05) -> DataFrame:
+    """(level, gene, n1, n2, u, p, padj, significant): rank tests between the two groups on the spots that each level keeps, adjusted within a level.
+
+    values: (sample, spot, gene, value, group of 1 or 2); kept: (level, sample, spot).
+    """
+    j = values.where("value IS NOT NULL").join(kept, ["sample", "spot"]).withColumnRenamed(group, "g")
+    t = rank_sum(j, ["level", "gene"]).withColumn("p", normal_p("z"))
+    return adjust(t, ["level"]).withColumn("significant", F.col("padj") < alpha).select("level", "gene", "n1", "n2", "u", "p", "padj", "significant")

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotloom.operators import batch, graph, impute, masks, patterns, recover, spatial, trajectory
-from spotloom.plans.catalogue import _KNN, _LOCAL, _knn, add, rounded
+from spotloom.operators import batch, graph, impute, masks, patterns, recover, spatial, stats, trajectory
+from spotloom.plans.catalogue import _IV, _KNN, _LOCAL, _knn, _q, add, rounded
 from spotloom.plans.views import r6
 from spotloom.sources import reads
 
@@ -263,3 +263,63 @@ def _(v):
     return impute.residual_noise(res, _knn(v), v.usage).select("gene", "spot", r6(F.col("noise"), "noise"))
 
 
+
+
+# --- coverage and levels of certainty --------------------------------------------------------------
+
+_CUTS = ", ".join(f"quantile_cont(std, {i / 5}) AS q{i}" for i in range(1, 5))
+
+
+@add("imp22_by_quintile", f"SELECT bin, count(*) AS n, round(avg(CAST(truth BETWEEN lo AND hi AS DOUBLE)), 6) AS coverage FROM (SELECT iv.*, {' + '.join(f'CAST(q{i} <= std AS INTEGER)' for i in range(1, 5))} AS bin FROM iv, (SELECT {_CUTS} FROM iv)) GROUP BY bin", _IV)
+def _(v):
+    """Coverage by fifths of the uncertainty."""
+    iv = stats.quantile_bin(stats.intervals(v.pred.where("part = 1"), _q(v)), "std", 5)
+    return iv.groupBy("bin").agg(F.count("*").alias("n"), r6(F.avg(F.col("truth").between(F.col("lo"), F.col("hi")).cast("double")), "coverage"))
+
+
+@add("imp22_by_region", "SELECT CAST(floor(x / 340) * 3 + floor(y / 340) AS BIGINT) AS region, count(*) AS n, round(avg(CAST(truth BETWEEN lo AND hi AS DOUBLE)), 6) AS coverage FROM iv JOIN spot USING (spot) GROUP BY ALL", _IV)
+def _(v):
+    """Coverage by squares of the slide."""
+    iv = stats.intervals(v.pred.where("part = 1"), _q(v)).join(v.spots.select("spot", "x", "y"), "spot")
+    return iv.groupBy((F.floor(F.col("x") / 340) * 3 + F.floor(F.col("y") / 340)).cast("bigint").alias("region")).agg(F.count("*").alias("n"), r6(F.avg(F.col("truth").between(F.col("lo"), F.col("hi")).cast("double")), "coverage"))
+
+
+@add("imp22_by_blocks")
+def _(v):
+    """Intervals calibrated on some squares of the slide and rated on the others."""
+    at = v.spots.select("spot", (F.floor(F.col("x") / 100) * 16 + F.floor(F.col("y") / 100)).alias("block"))
+    return rounded(stats.block_coverage(v.pred.join(at, "spot"), "block", 0.1), "q", "coverage")
+
+
+_LEVELS = {"all": 0.0, "most": 0.2, "half": 0.5}
+_SURE = f"""
+sc AS (SELECT sample, spot, round(coalesce(avg(half) FILTER (value IS NULL), avg(half)), 12) AS u FROM (SELECT sample, u.spot, u.gene, u.value, 0.01 + ((u.gene * 7 + u.spot * 13) % 11) / 50.0 AS half FROM usage u JOIN spot USING (spot)) GROUP BY ALL),
+lv AS (SELECT level, sample, spot FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY u NULLS LAST, spot) AS k, count(*) OVER (PARTITION BY sample) AS n FROM sc), (VALUES {", ".join(f"('{k}', {d})" for k, d in _LEVELS.items())}) l(level, drop_) WHERE k <= ceil(round(n * (1 - drop_), 9)))"""
+
+
+def _sure(v):
+    half = 0.01 + ((F.col("gene") * 7 + F.col("spot") * 13) % 11) / 50.0
+    cells = v.usage.join(v.spots.select("spot", "sample"), "spot").withColumn("half", half)
+    return cells, stats.confident_spots(cells, _LEVELS)
+
+
+@add("stu08_levels", "SELECT level, sample, spot FROM lv", _SURE)
+def _(v):
+    return _sure(v)[1]
+
+
+@add("stu08_retest", """SELECT level, gene, n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u FROM (
+  SELECT level, gene, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 2) AS n2, sum(r) FILTER (g = 1) AS r1 FROM (
+    SELECT level, gene, g, rank() OVER (PARTITION BY level, gene ORDER BY value) + (count(*) OVER (PARTITION BY level, gene, value) - 1) / 2.0 AS r FROM (
+      SELECT lv.level, o.gene, o.value, 1 + lv.sample % 2 AS g FROM obs o JOIN lv USING (spot))) GROUP BY ALL) WHERE n1 > 0 AND n2 > 0""", _SURE)
+def _(v):
+    """Rank tests between two groups of samples, on the spots that each level of certainty keeps."""
+    cells, kept = _sure(v)
+    return stats.retest(cells.withColumn("group", 1 + F.col("sample") % 2), kept, "group").select("level", "gene", "n1", "n2", "u")
+
+
+@add("dom10_parents")
+def _(v):
+    """The slide's graph with that of squares of the slide as parents."""
+    parents = v.spots.select("spot", (F.floor(F.col("x") / 250) * 5 + F.floor(F.col("y") / 250)).alias("parent"))
+    return rounded(recover.with_parents(spatial.rbf_graph(_knn(v)), v.spots, parents, None, 0.3, 3), "w")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotloom.operators import batch, impute, likelihood, masks, patterns, recover, spatial, trajectory
+from spotloom.operators import batch, impute, likelihood, masks, patterns, recover, spatial, stats, trajectory
 from spotloom.sources import reads
 
 
@@ -352,3 +352,68 @@ def test_smoothed_curves_fill_and_stay_within_bounds(spark, method):
     got = {(x.gene, x.bin): x.m for x in trajectory.smoothed(spark.createDataFrame(rows, "gene long, bin long, m double"), 12, method).collect()}
     assert {b for g, b in got if g == 1} == set(range(12)) and {b for g, b in got if g == 2} == {0, 9}
     assert all(0 <= v <= 1 for v in got.values()) and abs(got[1, 4] - 0.4) < 0.05 and got[2, 9] == 0.7
+
+
+# ---- coverage, levels of certainty, parents
+
+
+def test_quantile_bins_equal_numpy(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.random(40), [0.5] * 20])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(999, None)], "id long, x double")
+    got = {t.id: t.bin for t in stats.quantile_bin(df, "x", 5).collect()}
+    edges = np.quantile(x, [0.2, 0.4, 0.6, 0.8])
+    assert got == {i: int(np.digitize(v, edges)) for i, v in enumerate(x)} | {999: None}
+
+
+def test_blocks_calibrate_for_other_blocks(spark):
+    import zlib
+
+    r = random.Random(6)
+    rows = [(f"b{i % 12}", 0.5, 0.5 + r.gauss(0, 0.1), 0.1 + 0.01 * (i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "block string, truth double, pred double, std double")
+    got = stats.block_coverage(df, "block", 0.2).first()
+    side = lambda b: zlib.crc32(b.encode()) % 5 < 3
+    cal = sorted(abs(t - p) / s for b, t, p, s in rows if side(b))
+    n = len(cal)
+    q = cal[math.ceil(min(1.0, math.ceil((n + 1) * 0.8) / n) * (n - 1))]
+    test = [abs(t - p) / s <= q for b, t, p, s in rows if not side(b)]
+    assert math.isclose(got.q, q) and (got.n_calibration, got.n_test) == (n, len(test)) and math.isclose(got.coverage, sum(test) / len(test))
+    one = stats.block_coverage(df.where("block = 'b1'"), "block", 0.2).first()
+    assert one is None or one.n_calibration + one.n_test == 34  # one block has nothing to be rated on
+
+
+def test_levels_keep_the_surest_spots_and_test_again(spark):
+    rows = [("s", i, g, None if (i + g) % 3 == 0 else 0.1 * i, 0.01 * ((i * 7) % 10) + (5 if (i + g) % 3 else 0), 1 + (i >= 5)) for i in range(10) for g in (1, 2)]
+    cells = spark.createDataFrame(rows, "sample string, spot long, gene long, value double, half double, g int")
+    u = {}
+    for _, i, g, v, h, _ in rows:
+        u.setdefault(i, []).append((v is None, h))
+    score = {i: np.mean([h for none, h in x if none] or [h for _, h in x]) for i, x in u.items()}
+    order = sorted(score, key=lambda i: (round(score[i], 12), i))
+    kept = stats.confident_spots(cells, {"all": 0.0, "less": 0.25})
+    got = {}
+    for x in kept.collect():
+        got.setdefault(x.level, set()).add(x.spot)
+    assert got == {"all": set(range(10)), "less": set(order[:8])}
+    tests = stats.retest(cells, kept, "g").collect()
+    assert {(x.level, x.gene) for x in tests} == {(k, g) for k in ("all", "less") for g in (1, 2)}
+    for x in tests:
+        own = [(v, g) for _, i, gene, v, _, g in rows if gene == x.gene and v is not None and i in got[x.level]]
+        a, b = [v for v, g in own if g == 1], [v for v, g in own if g == 2]
+        assert x.u == sum((p > q) + (p == q) / 2 for p in a for q in b) and (x.n1, x.n2) == (len(a), len(b))
+
+
+def test_parents_pass_their_edges_on(spark):
+    at = [(i, float(10 * (i // 3) + i % 3), 0.0, i // 3) for i in range(12)]
+    spots = spark.createDataFrame([x[:3] for x in at], "spot long, x double, y double")
+    parents = spark.createDataFrame([(x[0], x[3]) for x in at], "spot long, parent long")
+    own = spark.createDataFrame([(0, 1, 1.0), (0, 3, 0.5)], "a long, b long, w double")
+    got = {(x.a, x.b): x.w for x in recover.with_parents(own, spots, parents, None, 0.4, 1).collect()}
+    near = math.exp(-0.5)  # parents 10 apart, the median distance
+    want = {(a, b): 0.4 * near / 3 for a in range(12) for b in range(a + 1, 12) if b // 3 - a // 3 == 1}
+    want[0, 1] = want.get((0, 1), 0) + 0.6
+    want[0, 3] += 0.3
+    linked = {(a // 3, b // 3) for a, b in got if a // 3 != b // 3}
+    assert linked <= {(0, 1), (1, 2), (2, 3)} and all(math.isclose(w, want[k]) for k, w in got.items())
+    assert {tuple(x) for x in recover.with_parents(own, spots, parents, None, 0.0).collect()} == {(0, 1, 1.0), (0, 3, 0.5)}
