@@ -46,14 +46,14 @@ BESIDE = re.compile(r" (?:\s|$|(?<=\s )|(?<=^ ))")
 #: chunks that are encoded in one call
 JOINED = 2000
 #: numbers of tokens of text kept by a worker from one part to the next
-KEPT = 4_000_000
+KEPT = 3_000_000
 #: rows of pair counts that may be sent to every task: under 100 MB as a hash table
 SENT = 4_000_000
 
-#: tokens of a stretch that is worked on by look-ups; a longer one is sorted
+#: tokens of a stretch that is worked on by look-ups; a longer one is walked through
 SHORT = 128
 #: bytes of text in a block
-BLOCK = 2 << 20
+BLOCK = 3 << 20
 STRETCH = ("a", "a_end", "b", "b_end")
 
 
@@ -241,6 +241,12 @@ def _linker(b_ids: int, kind: str) -> Callable[[Column, Column], Column]:
     return lambda x, y: x.cast(kind) * F.lit(b_ids).cast(kind) + y.cast(kind)
 
 
+def _ordered(t: Column) -> Column:
+    """All ends of a stretch in order, each with its kind and place."""
+    mark = lambda x, kind: F.transform(x, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(kind).cast("long")))
+    return F.sort_array(F.concat(mark(t["a_end"], 0), mark(t["b_end"], _KIND)))
+
+
 def _covers(s: Column, ends: Column, _link: Callable, kind: str) -> Column:
     """For each end (link, null), or (null, place of A's token and of B's) where the end before is the same: a cut.
 
@@ -258,88 +264,78 @@ def _covers(s: Column, ends: Column, _link: Callable, kind: str) -> Column:
     return F.transform(ends, one)
 
 
-def _groups(s: Column, cuts: Column) -> Column:
-    """The text of the groups that end behind the cuts' tokens (i of A, j of B)."""
-
-    def text(t: Column) -> Column:
-        def one(c: Column, k: Column) -> Column:
-            i, j = _before(cuts, k, "i"), _before(cuts, k, "j")
-            part = lambda x, start, end: F.when(end - start == 1, F.get(x, start)).otherwise(F.array_join(F.slice(x, start + 1, end - start), ","))
-            return F.concat(part(t["a"], i, c["i"]), F.lit("|"), part(t["b"], j, c["j"]))
+def _before(cuts: Column, k: Column) -> Column:
+    return F.coalesce(F.get(cuts, k - 1), F.lit(0))
 
-        return F.array_join(F.transform(cuts, one), ";")
 
-    return _let(F.struct(s["a"].cast("array<string>").alias("a"), s["b"].cast("array<string>").alias("b")), text)
+def _part(tokens: Column, cuts: Column, end: Column, k: Column) -> Column:
+    """The k-th group's tokens, of which the last is the end-th."""
+    start = _before(cuts, k)
+    return F.when(end - start == 1, F.get(tokens, start)).otherwise(F.array_join(F.slice(tokens, start + 1, end - start), ","))
 
 
-def _before(cuts: Column, k: Column, f: str) -> Column:
-    return F.coalesce(F.get(cuts, k - 1)[f], F.lit(0))
-
-
-def _long(s: Column, _link: Callable, kind: str) -> Column:
-    """groups and links of a stretch of any length, in time in proportion to it."""
-    mark = lambda x, kind: F.transform(x, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(kind).cast("long")))
-    ends = F.sort_array(F.concat(mark(s["a_end"], 0), mark(s["b_end"], _KIND)))
+def _written(t: Column) -> Column:
+    """The text of a stretch's groups, that end with the i-th tokens of A and the j-th of B."""
+    pair = lambda x, y: F.concat(x, F.lit("|"), y)
+    of = lambda tokens, cuts: F.transform(cuts, lambda end, k: _part(tokens, cuts, end, k))
+    single = (F.size(t["i"]) == F.size(t["a_text"])) & (F.size(t["i"]) == F.size(t["b_text"]))
+    return F.array_join(F.when(single, F.zip_with(t["a_text"], t["b_text"], pair)).otherwise(F.zip_with(of(t["a_text"], t["i"]), of(t["b_text"], t["j"]), pair)), ";")
 
-    def mixed(all_: Column) -> Column:
-        cuts = F.transform(F.filter(all_, lambda x: x["cut"].isNotNull()), lambda x: x["cut"])
-        return F.struct(_let(cuts, lambda c: _groups(s, c)).alias("groups"), F.transform(F.filter(all_, lambda x: x["link"].isNotNull()), lambda x: x["link"]).alias("links"))
 
-    return _let(ends, lambda e: _let(_covers(s, e, _link, kind), mixed))
+def _at(ends: Column, e: Column) -> Column:
+    return F.array_position(ends, e).cast("int")
 
 
-def _short(s: Column, shared: Column, _link: Callable) -> Column:
-    """groups and links of a stretch; ends are looked up in its short lists.
+def _linked(t: Column, link: Callable[[Column, Column], Column]) -> Column:
+    """Links of a stretch, ends looked up in its short lists.
 
-    A group of one token of A, or one of B, links it with all of the other's.  In another group the place of an end in the sorted list
-    of all ends, less its place in its own, is the number of the other's ends before it, and so the other token's place.
+    The place of an end in the sorted list of all ends, less its place in its own, is the number of the other's ends
+    before it, and so the place of the other token that covers it.
     """
-    at = lambda ends, e: F.array_position(ends, e).cast("int")
-    cuts = F.transform(shared, lambda e: F.struct(at(s["a_end"], e).alias("i"), at(s["b_end"], e).alias("j")))
+    of_a = F.zip_with(t["a"], t["a_end"], lambda x, e: link(x, F.get(t["b"], _at(t["ends"], e) - _at(t["a_end"], e))))
+    of_b = F.transform(F.array_except(t["b_end"], t["shared"]), lambda e: link(F.get(t["a"], _at(t["ends"], e) - _at(t["b_end"], e)), F.get(t["b"], _at(t["b_end"], e) - 1)))
+    single = (F.size(t["shared"]) == F.size(t["a"])) & (F.size(t["shared"]) == F.size(t["b"]))
+    return F.when(single, F.zip_with(t["a"], t["b"], link)).otherwise(F.concat(of_a, of_b))
 
-    def links(cuts: Column) -> Column:
-        def one(c: Column, k: Column) -> Column:
-            i, j = _before(cuts, k, "i"), _before(cuts, k, "j")
-            m, n = c["i"] - i, c["j"] - j
-            part = lambda f, start, size: F.slice(s[f], start + 1, size)
-            a, a_end, b, b_end = part("a", i, m), part("a_end", i, m), part("b", j, n), part("b_end", j, n)
 
-            def crossed(ends: Column) -> Column:
-                of_a = F.zip_with(a, a_end, lambda x, e: _link(x, F.get(b, at(ends, e) - at(a_end, e))))
-                of_b = F.transform(F.array_except(b_end, a_end), lambda e: _link(F.get(a, at(ends, e) - at(b_end, e)), F.get(b, at(b_end, e) - 1)))
-                return F.concat(of_a, of_b)
+def _is_long(t: Column) -> Column:
+    return F.size(t["a_end"]) + F.size(t["b_end"]) > SHORT
 
-            single = F.array(_link(F.get(s["a"], i), F.get(s["b"], j)))
-            one_a, one_b = F.transform(b, lambda y: _link(F.get(s["a"], i), y)), F.transform(a, lambda x: _link(x, F.get(s["b"], j)))
-            return F.when((m == 1) & (n == 1), single).when(m == 1, one_a).when(n == 1, one_b).otherwise(_let(F.sort_array(F.concat(a_end, b_end)), crossed))
 
-        return F.flatten(F.transform(cuts, one))
-
-    return _let(cuts, lambda c: F.struct(_groups(s, c).alias("groups"), links(c).alias("links")))
-
-
-def _stretch(s: Column, b_ids: int, kind: str) -> Column:
-    """groups (text) and links of a stretch (a, a_end, b, b_end)."""
-    _link = _linker(b_ids, kind)
-    pair = lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))
-    single = F.struct(F.array_join(F.zip_with(s["a"], s["b"], pair), ";").alias("groups"), F.zip_with(s["a"], s["b"], _link).alias("links"))
-
-    def body(shared: Column) -> Column:
-        n, a, b = F.size(shared), F.size(s["a"]), F.size(s["b"])
-        return F.when((n == a) & (n == b), single).when(a + b <= SHORT, _short(s, shared, _link)).otherwise(_long(s, _link, kind))
-
-    return _let(F.array_intersect(s["a_end"], s["b_end"]), body)
+def _cuts(t: Column) -> Column:
+    """(i, j) of a long stretch: the numbers of A's and B's tokens up to each end of a group."""
+    return F.transform(F.filter(t["covers"], lambda x: x["cut"].isNotNull()), lambda x: x["cut"])
 
 
 def aligned(blocks: DataFrame, keys: list[str], b_ids: int, kind: str = "long") -> DataFrame:
-    """keys, n_a, n_b, n_groups, n_links, groups (text: `a1,a2|b1;a3|b2,b3`) and links (each A's id * b_ids + B's)."""
-
-    def of_texts(w: Column) -> Column:
-        of = lambda d, f: F.transform(d["places"], lambda p: F.get(w, p)[f])
-        return F.transform("docs", lambda d: F.struct(*[d[k].alias(k) for k in (*keys, "n_a", "n_b")], F.array_join(of(d, "groups"), ";").alias("groups"), F.flatten(of(d, "links")).alias("links")))
+    """keys, n_a, n_b, n_groups, n_links, groups (text: `a1,a2|b1;a3|b2,b3`) and links (each A's id * b_ids + B's).
 
-    found = _let(F.transform(F.arrays_zip(*STRETCH), lambda s: _stretch(s, b_ids, kind)), of_texts)
-    t = blocks.select(F.explode(found).alias("d")).select("d.*")
+    What is found for a block's stretches is a column in each step, so that it is computed once.  A stretch of over SHORT tokens is
+    walked through, in time in proportion to its length; blocks without such stretches have no column for that.
+    """
+    link = _linker(b_ids, kind)
+    text = lambda c: F.col(c).cast("array<array<string>>").alias(f"{c}_text")
+
+    def each(names: list[str], short: Callable[[Column], Column], long: Callable[[Column], Column] | None = None) -> Column:
+        if long is None:
+            return F.transform(F.arrays_zip(*names), short)
+        mixed = F.transform(F.arrays_zip(*names, "covers"), lambda t: F.when(t["covers"].isNotNull(), long(t)).otherwise(short(t)))
+        return F.when(F.col("covers").isNotNull(), mixed).otherwise(F.transform(F.arrays_zip(*names), short))
+
+    own = each(["a_end", "b_end"], lambda t: F.array_intersect(t["a_end"], t["b_end"])).alias("shared")
+    covers = F.when(F.exists(F.arrays_zip("a_end", "b_end"), _is_long), each(list(STRETCH), lambda t: F.when(_is_long(t), _let(_ordered(t), lambda e: _covers(t, e, link, kind)))))
+    t = blocks.select("docs", *STRETCH, text("a"), text("b"), own, covers.alias("covers"))
+    ends = each(["a_end", "b_end"], lambda t: F.sort_array(F.concat(t["a_end"], t["b_end"])))
+    place = lambda end, f: each([end, "shared"], lambda t: F.transform(t["shared"], lambda e: _at(t[end], e)), lambda t: F.transform(_cuts(t), lambda c: c[f])).alias(f)
+    t = t.select("*", ends.alias("ends"), place("a_end", "i"), place("b_end", "j"))
+    links = each([*STRETCH, "shared", "ends"], lambda t: _linked(t, link), lambda t: F.transform(F.filter(t["covers"], lambda x: x["link"].isNotNull()), lambda x: x["link"]))
+    t = t.select("docs", each(["a_text", "b_text", "i", "j"], _written).alias("groups"), links.alias("links"))
+
+    def of_text(d: Column) -> Column:
+        of = lambda f: F.transform(d["places"], lambda p: F.get(f, p))
+        return F.struct(*[d[k].alias(k) for k in (*keys, "n_a", "n_b")], F.array_join(of("groups"), ";").alias("groups"), F.flatten(of("links")).alias("links"))
+
+    t = t.select(F.explode(F.transform("docs", of_text)).alias("d")).select("d.*")
     # groups are parted by a mark that is in none of them; a group of m and n tokens has m + n - 1 links
     t = t.withColumn("n_groups", F.when(F.col("n_a") > 0, F.length("groups") - F.length(F.replace("groups", F.lit(";"), F.lit(""))) + 1).otherwise(0))
     counts = [F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups")]
