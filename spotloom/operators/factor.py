@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.operators import spatial
-from spotloom.operators.lineage import cut
+from spotloom.operators.lineage import cut, drop
 
 
 #: a graph of no more entries (24 bytes each) is smoothed by the driver
@@ -135,13 +135,20 @@ def factorize(usage: DataFrame, graph: DataFrame | None = None, rank: int = 8, s
     z, genes, last = cut(_first_factors(data, rank, 5, seed)), None, math.inf
     f = _names(rank)
     for _ in range(max_iter):
+        before = [t for t in (genes, z) if t is not None]
         genes = cut(_solved(_sums(data, z, "gene", "spot", rank), rank, ridge))
         sums = cut(_sums(data, genes, "spot", "gene", rank))
         raw = _solved(sums, rank, ridge)
-        z = cut(raw if steps is None else smooth(cut(raw), steps, strength, rank))
+        if steps is None:
+            z = cut(raw)
+        else:
+            rough = cut(raw)
+            z = cut(smooth(rough, steps, strength, rank))
+            drop(rough)
         square = sum((1 if i == j else 2) * F.col(f"s{i}_{j}") * F.col(f[i]) * F.col(f[j]) for i in range(rank) for j in range(i, rank))
         off = F.col("q") - 2 * sum(F.col(f"t{i}") * F.col(f[i]) for i in range(rank)) + square
         got = sums.join(z, "id").agg(F.sum(off).alias("e"), F.sum("n").alias("n")).first()
+        drop(sums, *before)
         error = math.sqrt(max(got.e or 0.0, 0.0) / max(got.n or 0.0, 1.0))
         if math.isfinite(last) and abs(last - error) / max(last, 1e-8) < tol:
             break

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.operators import likelihood
-from spotloom.operators.lineage import cut
+from spotloom.operators.lineage import cut, cut_and_count, drop
 
 
 def by_gene(usage: DataFrame, how: str = "mean") -> DataFrame:
@@ -190,16 +190,18 @@ def neighbour_passes(usage: DataFrame, edges: DataFrame, passes: int = 3) -> Dat
     now, left = usage.select("gene", "spot", F.col("value").alias("filled")), None
     if passes > 1:
         now, edges = cut(now), cut(edges.select("src", "dst"))
+    before = now
     for _ in range(passes):
         near = now.where("filled IS NOT NULL").select("gene", F.col("spot").alias("dst"), F.col("filled").alias("v"))
         m = edges.join(near, "dst").groupBy("gene", F.col("src").alias("spot")).agg(F.avg("v").alias("m"))
         now = now.join(m, ["gene", "spot"], "left").select("gene", "spot", F.coalesce("filled", "m").alias("filled"))
         if passes > 1:
-            now = cut(now)
-            missing = now.where("filled IS NULL").count()
-            if missing in (0, left):
+            filled, got = cut_and_count(now, missing=F.count_if(F.col("filled").isNull()))
+            drop(before)
+            before = now = filled
+            if got["missing"] in (0, left):
                 break
-            left = missing
+            left = got["missing"]
     return now.select("gene", "spot", F.coalesce("filled", F.avg("filled").over(Window.partitionBy("gene"))).alias("imputed"))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotloom.functions.hashed import exponential
+
 #: rows that are put in order in one task at most, and slices that a range of keys is cut into
 FEW, SLICES = 4096, 256
 #: shares of the radii, and sector widths, that a ring sector is tried with until it holds enough
@@ -14,18 +16,6 @@ BANDS, WIDTHS = ((0.2, 0.8), (0.1, 0.9), (0.0, 1.0)), (math.pi / 2, 2 * math.pi
 KINDS = ("random", "spatial_block", "spatial_block_large", "ring_sector", "layer_aware", "low_coverage")
 
 
-def uniform(*names: str, salt: str) -> Column:
-    """A number between 0 and 1 from the MD5 of the columns."""
-    hexed = F.substring(F.md5(F.concat_ws("/", F.lit(salt), *names)), 1, 12)
-    return (F.conv(hexed, 16, 10).cast("double") + 0.5) / float(1 << 48)
-
-
-def exponential(*names: str, salt: str, weight: Column | None = None) -> Column:
-    """Keys whose n least are a sample of n without replacement, by weight."""
-    e = -F.log(uniform(*names, salt=salt))
-    return e if weight is None else e / weight
-
-
 def least(df: DataFrame, key: str, ids: list[str], target: int, weight: str | None = None) -> DataFrame:
     """The rows in order of (key, ids) up to that with which their weights (1 each) reach the target.
 
