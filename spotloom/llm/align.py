@@ -46,7 +46,7 @@ BESIDE = re.compile(r" (?:\s|$|(?<=\s )|(?<=^ ))")
 #: chunks that are encoded in one call
 JOINED = 2000
 #: numbers of tokens of text kept by a worker from one part to the next
-KEPT = 3_000_000
+KEPT = 2_000_000
 #: rows of pair counts that may be sent to every task: under 100 MB as a hash table
 SENT = 4_000_000
 
