@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotloom.llm.common import Scratch, keep, ship, slices, table
+from spotloom.llm.common import Scratch, hand_back, keep, ship, slices, table
 from spotloom.llm.toxicity import ranges
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -46,7 +46,7 @@ BESIDE = re.compile(r" (?:\s|$|(?<=\s )|(?<=^ ))")
 #: chunks that are encoded in one call
 JOINED = 2000
 #: numbers of tokens of text kept by a worker from one part to the next
-KEPT = 2_000_000
+KEPT = 3_000_000
 #: rows of pair counts that may be sent to every task: under 100 MB as a hash table
 SENT = 4_000_000
 
@@ -219,6 +219,8 @@ def tokens(docs: DataFrame, keys: list[str], text: str = "text", a_path: str | N
                 columns = [c.cast(inner.field(i).type) for i, c in enumerate([*part.columns[:-1], *per_text])]
                 block = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (*stretches, pa.StructArray.from_arrays(columns, fields=list(inner)))]
                 yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(block)], schema=arrow)
+                del stretches, per_text, columns, block
+                hand_back()
 
     return src.mapInArrow(run, schema)
 

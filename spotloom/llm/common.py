@@ -120,14 +120,19 @@ def keep(key, make: Callable):
     return _kept[key]
 
 
+def hand_back() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def forget() -> None:
     """Drop what a worker process holds from an earlier stage, and hand the memory back."""
     if _kept:
         _kept.clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        hand_back()
 
 
 #: bytes of text that a task works on at a time
