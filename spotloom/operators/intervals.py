@@ -45,12 +45,14 @@ def smallest_containing(points: DataFrame, genes: DataFrame, keys: list[str], si
 
 
 def nearest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """For each (id, pos) of a the distance to the nearest pos of b, by one sort of both sides."""
+    """For each (id, pos) of a the distance to the nearest pos of b, by a sort of both sides up and one down.
+
+    A frame that ends with the partition would be scanned anew from every row, so both frames begin with it.
+    """
     u = a.select(*keys, "pos", "id", F.lit(1).alias("side")).unionByName(b.select(*keys, "pos", F.lit(None).cast("bigint").alias("id"), F.lit(0).alias("side")))
     mine = F.when(F.col("side") == 0, F.col("pos"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    below = F.last(mine, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first(mine, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    upto = lambda c: F.last(mine, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
+    below, above = upto(F.asc("pos")), upto(F.desc("pos"))
     return u.withColumn("below", below).withColumn("above", above).where("side = 1").select("id", F.least(F.col("pos") - F.col("below"), F.col("above") - F.col("pos")).alias("distance"))
 
 
@@ -94,15 +96,13 @@ def annotate(points: DataFrame, genes: DataFrame, key: str = "chr", flank: int =
     """For each point (site, key, strand, pos) the gene that holds it, else the nearest on the key: (site, gid, gap, tier).
 
     Of genes equally near, one of the point's strand comes first, then the least id.  tier is inside, near (a
-    gap up to flank), far, or null where the key has no gene.  Nearest ends come from one sort of points and
-    ends; only genes that end or start right there are joined.
+    gap up to flank), far, or null where the key has no gene.  Nearest ends come from sorts of points and
+    ends, up and down; only genes that end or start right there are joined.
     """
     ends = genes.select(key, F.col("ge").alias("at"), F.lit(-1).alias("end")).union(genes.select(key, F.col("gs").alias("at"), F.lit(1).alias("end"))).distinct()
     u = points.select(key, F.col("pos").alias("at"), F.lit(0).alias("end"), "site").unionByName(ends, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("at")
-    near = lambda side: F.when(F.col("end") == side, F.col("at"))
-    below = F.last(near(-1), ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first(near(1), ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    upto = lambda side, c: F.last(F.when(F.col("end") == side, F.col("at")), ignorenulls=True).over(Window.partitionBy(key).orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
+    below, above = upto(-1, F.asc("at")), upto(1, F.desc("at"))
     found = u.select(key, "site", "end", "at", below.alias("below"), above.alias("above")).where("end = 0").select("site", F.least(F.col("at") - F.col("below"), F.col("above") - F.col("at")).alias("gap"))
     p = points.join(found, "site")
     left = p.withColumn("there", F.col("pos") - F.col("gap")).join(genes.select(key, "gid", F.col("strand").alias("gstrand"), F.col("ge").alias("there")), [key, "there"])

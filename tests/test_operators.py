@@ -58,6 +58,24 @@ def test_overlap_counts_each_pair_once(spark):
     assert sorted(got) == sorted((i, j) for _, i, s, e in a for _, j, t, f in a if s < f and t < e)
 
 
+def test_nearest_and_annotate_scan_no_frame_anew(spark):
+    r = random.Random(5)
+    at = [(r.choice("ab"), "+", r.randint(0, 400), i) for i in range(120)]
+    ends = [(r.choice("abc"), "+", r.randint(0, 400), i) for i in range(30)]
+    a = spark.createDataFrame(at, "chr string, strand string, pos long, id long")
+    b = spark.createDataFrame(ends, "chr string, strand string, pos long, id long")
+    found = intervals.nearest(a, b, ["chr", "strand"])
+    want = {i: min((abs(p - q) for d, _, q, _ in ends if d == c), default=None) for c, _, p, i in at}
+    assert {x.id: x.distance for x in found.collect()} == want
+    genes = b.select("chr", "strand", F.col("id").alias("gid"), F.col("pos").alias("gs"), (F.col("pos") + 3).alias("ge"))
+    told = intervals.annotate(a.withColumnRenamed("id", "site"), genes)
+    gaps = {i: min((max(q - p, p - q - 3, 0) for d, _, q, _ in ends if d == c), default=None) for c, _, p, i in at}
+    assert {x.site: x.gap for x in told.collect()} == gaps
+    # Spark reads a frame up to the end of its partition again for every row
+    for df in (found, told):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_islands_of_nested_intervals(spark):
     df = spark.createDataFrame([("c", "+", 1, 0, 100, 0.5, 3, 7), ("c", "+", 2, 10, 20, None, None, 8), ("c", "+", 3, 105, 110, 0.9, 1, 9), ("c", "+", 4, 121, 130, 0.1, 1, 9)], "chr string, strand string, site long, s long, e long, support double, reads long, gene long")
     rows = [(r.s, r.e, r.support, r.reads, r.gene) for r in intervals.merge(df, 10).orderBy("s").collect()]
