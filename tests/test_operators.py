@@ -21,6 +21,19 @@ def test_site_metrics_without_counts(spark):
     assert (r[0].total, r[0].n_spots, r[0]["mean"], r[0].cv) == (0, 0, 0.0, None) and r[1].cv == 0.0
 
 
+def test_cv_at_its_limit_passes_in_any_order(spark):
+    r, ties = random.Random(4), []
+    while len(ties) < 8:  # n q - s^2 = s^2 / 4: the CV is 0.5
+        xs = [r.randint(1, 50) for _ in range(10)]
+        if 4 * (10 * sum(x * x for x in xs) - sum(xs) ** 2) == sum(xs) ** 2:
+            ties += [r.sample(xs, 10) for _ in range(4)]
+    rows = [(i, j, x) for i, xs in enumerate(ties) for j, x in enumerate(xs)] + [(99, 0, 1), (99, 1, 2 * 10**9)]
+    counts = spark.createDataFrame(rows, "site long, spot long, count long")
+    got = {x.site: x for x in quantify.site_report(counts, max_cv=0.5).collect()}
+    assert all(got[i].cv == 0.5 and got[i].pass_cv for i in range(len(ties)))
+    assert got[99].cv == pytest.approx((2e9 - 1) / (2e9 + 1))
+
+
 @pytest.mark.parametrize("k", [1, 3, 50])
 def test_knn_equals_all_pairs(spark, k):
     r = random.Random(k)
