@@ -99,3 +99,27 @@ def test_a_new_imputer_is_validated(spark):
             recover.add_imputer("half", lambda u, s: u)
     finally:
         del recover.IMPUTERS["half"]
+
+
+def test_knn_in_compares_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK", 16)
+    r = random.Random(12)
+    pts = [(i, [0.0, 0.0, float(r.randint(0, 4)), float(r.randint(0, 4))]) for i in range(70)]
+    edges = spatial.knn_in(spark.createDataFrame(pts, "spot long, at array<double>"), "at", 5)
+    d2 = lambda a, b: sum((s - t) ** 2 for s, t in zip(a, b))
+    want = {(i, j, d, k + 1) for i, a in pts for k, (d, j) in enumerate(sorted((d2(a, b), j) for j, b in pts if j != i)[:5])}
+    assert {(e.src, e.dst, e.d2, e.rank) for e in edges.collect()} == want
+    assert "zip_with" not in edges._jdf.queryExecution().optimizedPlan().toString()  # no row for each pair
+    few = spatial.knn_in(spark.createDataFrame(pts[:3], "spot long, at array<double>"), "at", 5)
+    assert few.count() == 6 and spatial.knn_in(spark.createDataFrame(pts[:1], "spot long, at array<double>"), "at", 5).count() == 0
+
+
+def test_recovered_values_alone_make_no_graph(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a graph was made")
+
+    spots = spark.createDataFrame([(i, i % 4, i // 4) for i in range(12)], "spot long, x long, y long")
+    usage = spark.createDataFrame([(g, s, None if (g + s) % 5 == 0 else (g + s) / 20) for g in range(3) for s in range(12)], "gene long, spot long, value double")
+    whole = recover.recover(usage, spots, 2, source="none", k=3)["recovered"].collect()
+    monkeypatch.setattr(spatial, "knn_edges", never)
+    assert sorted(recover.recover(usage, spots, 2, source="none", k=3, only="recovered")["recovered"].collect()) == sorted(whole)
