@@ -26,6 +26,15 @@ def shape(d: np.ndarray, ell: float, nu: float | None) -> tuple[np.ndarray, np.n
     return (1 + s + s * s / 3) * e, s * s * (1 + s) / 3 * e
 
 
+def forward(low: np.ndarray, y: np.ndarray, block: int = 256) -> np.ndarray:
+    """z of low z = y for a lower triangle, block by block."""
+    z = np.array(y, float)
+    for i in range(0, len(z), block):
+        j = i + block
+        z[i:j] = np.linalg.solve(low[i:j, i:j], z[i:j] - low[i:j, :i] @ z[:i])
+    return z
+
+
 def profiled(d: np.ndarray, y: np.ndarray, ell: float, noise: float, nu: float | None = None) -> tuple[float, np.ndarray]:
     """Log likelihood of centred y under a (K + noise I) with the best a, and its slope in log(ell) and log(noise)."""
     n = len(y)

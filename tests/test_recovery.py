@@ -123,3 +123,25 @@ def test_recovered_values_alone_make_no_graph(spark, monkeypatch):
     whole = recover.recover(usage, spots, 2, source="none", k=3)["recovered"].collect()
     monkeypatch.setattr(spatial, "knn_edges", never)
     assert sorted(recover.recover(usage, spots, 2, source="none", k=3, only="recovered")["recovered"].collect()) == sorted(whole)
+
+
+def test_likelihood_ratio_equals_eigenvalues_by_gene_and_length(spark):
+    from spotloom.operators import impute
+
+    r = np.random.default_rng(3)
+    at = r.integers(0, 60, (300, 2))
+    y = np.sin(at[:, 0] / 9) + r.normal(size=300) * 0.4
+    spots = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(at)], "spot long, x long, y long")
+    usage = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(y)] + [(2, i, 0.5) for i in range(300)], "gene long, spot long, value double")
+    found = impute.likelihood_ratio(usage, spots, [5.0, 15.0])
+    got = {x.gene: x for x in found.collect()}
+    z, best = (y - y.mean()) / y.std(), (0.0, None, None)
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    for ell in (5.0, 15.0):
+        w, v = np.linalg.eigh(np.exp(-d2 / (2 * ell * ell)))
+        for s in (0.1, 0.25, 0.5, 0.75, 0.9):
+            lam = s * np.maximum(w, 0) + 1 - s
+            best = max(best, (-300 * np.log((((v.T @ z) ** 2) / lam).mean()) - np.log(lam).sum(), s, ell), key=lambda b: b[0])
+    assert got[1].lr == pytest.approx(best[0]) and (got[1].share, got[1].length, got[1].n) == (*best[1:], 300)
+    assert tuple(got[2]) == (2, 300, 0.0, 1.0, 0.0, None)
+    assert "k#" in found._jdf.queryExecution().optimizedPlan().toString()  # a group is a gene and a length
