@@ -145,3 +145,16 @@ def test_likelihood_ratio_equals_eigenvalues_by_gene_and_length(spark):
     assert got[1].lr == pytest.approx(best[0]) and (got[1].share, got[1].length, got[1].n) == (*best[1:], 300)
     assert tuple(got[2]) == (2, 300, 0.0, 1.0, 0.0, None)
     assert "k#" in found._jdf.queryExecution().optimizedPlan().toString()  # a group is a gene and a length
+
+
+def test_expression_gp_spreads_genes_and_solves_by_the_triangle(spark):
+    from spotloom.operators import likelihood
+
+    r = np.random.default_rng(5)
+    a = r.normal(size=(600, 600))
+    low, b = np.linalg.cholesky(a @ a.T + 600 * np.eye(600)), r.normal(size=(600, 3))
+    assert np.allclose(likelihood.forward(low, b), np.linalg.solve(low, b)) and np.allclose(likelihood.forward(low, b[:, 0]), np.linalg.solve(low, b[:, 0]))
+    spots = spark.createDataFrame([(i, i % 4, i // 4) for i in range(12)], "spot long, x long, y long")
+    usage = spark.createDataFrame([(1, s, None if s % 5 == 0 else s / 20) for s in range(12)], "gene long, spot long, value double")
+    plan = expression.expression_gp(usage, spots, None, "spatial_radial")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
