@@ -207,3 +207,15 @@ def test_student_p(spark):
 def test_binomial_band(spark):
     r = geometry.binomial_band(spark.createDataFrame([(100,)], "n long"), "n", 0.9).first()
     assert (r.lo, r.hi) == (0.84, 0.95)
+
+
+def test_delaunay_forgets_triangles_that_are_done():
+    """4,000 points took 25 seconds or more when each looked at all triangles."""
+    import time
+
+    pts = np.random.default_rng(6).uniform(0, 100, (4000, 2))
+    began = time.process_time()
+    tri = geometry.triangles(pts)
+    assert time.process_time() - began < 10
+    assert 2 * 4000 - 2 - 120 <= len(tri) <= 2 * 4000 - 5
+    assert len({v for t in tri for v in t}) == 4000
