@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from spotloom.operators import likelihood
 from spotloom.operators.lineage import cut, cut_and_count, drop
 
+#: rows that a gene's task estimates at a time, at least
+ROWS = 1024
+
 
 def by_gene(usage: DataFrame, how: str = "mean") -> DataFrame:
     w = Window.partitionBy("gene")
@@ -152,6 +155,7 @@ def exact_gp(usage: DataFrame, spots: DataFrame, lengths: list[float], noises: l
     """Exact Gaussian process by gene, Matern (nu 0.5, 1.5, 2.5) or RBF (None): the length and noise of greatest likelihood on a grid.
 
     With `seek`, they are sought from the best of the grid on, the amplitude as well.  Values are standardised; observed values stay, with std 0.  A gene needs two observed values, else its rows stay null.
+    Memory grows with the square of a gene's observed spots; the others are estimated some at a time.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,26 +167,28 @@ def exact_gp(usage: DataFrame, spots: DataFrame, lengths: list[float], noises: l
         if seen.sum() < 2:
             return out
         mu, sd = y[seen].mean(), y[seen].std() or 1.0
-        t = (y[seen] - mu) / sd
-        d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+        t, own = (y[seen] - mu) / sd, at[seen]
+        d = likelihood.apart(own, own)
         best, size, sides = None, 1.0, [(ell, noises) for ell in lengths]
         if seek:
-            own = d[np.ix_(seen, seen)]
-            _, ell, s2 = likelihood.search(own, t, lengths, noises, nu)
+            _, ell, s2 = likelihood.search(d, t, lengths, noises, nu)
             sides = [(ell, [s2])]
-            size = max(float(t @ np.linalg.solve(likelihood.shape(own, ell, nu)[0] + s2 * np.eye(len(t)), t)) / len(t), 1e-300)
+            size = max(float(t @ np.linalg.solve(likelihood.shape(d, ell, nu)[0] + s2 * np.eye(len(t)), t)) / len(t), 1e-300)
         for ell, tried in sides:
             k = likelihood.shape(d, ell, nu)[0]
             for s2 in tried:
-                low = np.linalg.cholesky(k[np.ix_(seen, seen)] + (s2 + 1e-9) * np.eye(len(t)))
-                a = np.linalg.solve(low, t)
+                low = np.linalg.cholesky(k + (s2 + 1e-9) * np.eye(len(t)))
+                a = likelihood.forward(low, t)
                 ll = -0.5 * a @ a - np.log(np.diag(low)).sum()
                 if best is None or ll > best[0]:
-                    best = (ll, k, low, a)
-        _, k, low, a = best
-        v = np.linalg.solve(low, k[np.ix_(seen, ~seen)])
-        out.loc[~seen, "imputed"] = mu + sd * (v.T @ a)
-        out.loc[~seen, "std"] = sd * np.sqrt(np.maximum(size * (1 - (v * v).sum(0)), 0))
+                    best = (ll, ell, low, a)
+        _, ell, low, a = best
+        rest, step = np.flatnonzero(~seen), max(ROWS, len(t))
+        for i in range(0, len(rest), step):
+            j = rest[i : i + step]
+            v = likelihood.forward(low, likelihood.shape(likelihood.apart(own, at[j]), ell, nu)[0])
+            out.loc[j, "imputed"] = mu + sd * (v.T @ a)
+            out.loc[j, "std"] = sd * np.sqrt(np.maximum(size * (1 - (v * v).sum(0)), 0))
         return out
 
     return usage.join(spots.select("spot", "x", "y"), "spot").groupBy("gene").applyInPandas(fit, "gene bigint, spot bigint, imputed double, std double")

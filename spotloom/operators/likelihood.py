@@ -11,6 +11,15 @@ LOWEST_NOISE, HIGHEST_NOISE = 1e-4, 1e2
 STEPS = 25
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of each of a to each of b, in no more memory than theirs."""
+    d = np.zeros((len(a), len(b)))
+    for i in range(0, len(a), 256):
+        for c in range(a.shape[1]):
+            d[i : i + 256] += (a[i : i + 256, c, None] - b[:, c]) ** 2
+    return np.sqrt(d, out=d)
+
+
 def shape(d: np.ndarray, ell: float, nu: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Kernel values at distances d and their slope in log(ell): RBF (None) or Matern of nu 0.5, 1.5, 2.5."""
     r = d / ell
@@ -27,7 +36,7 @@ def shape(d: np.ndarray, ell: float, nu: float | None) -> tuple[np.ndarray, np.n
 
 
 def forward(low: np.ndarray, y: np.ndarray, block: int = 256) -> np.ndarray:
-    """z of low z = y for a lower triangle, block by block."""
+    """z of low z = y for a lower triangle, block by block; y may have columns."""
     z = np.array(y, float)
     for i in range(0, len(z), block):
         j = i + block

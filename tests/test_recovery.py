@@ -158,3 +158,12 @@ def test_expression_gp_spreads_genes_and_solves_by_the_triangle(spark):
     usage = spark.createDataFrame([(1, s, None if s % 5 == 0 else s / 20) for s in range(12)], "gene long, spot long, value double")
     plan = expression.expression_gp(usage, spots, None, "spatial_radial")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_a_gene_seen_at_few_of_many_spots_needs_little_memory(spark):
+    """All pairs of the spots would take 160 GB."""
+    n = 100_000
+    spots = spark.range(n).select(F.col("id").alias("spot"), (F.col("id") % 300).alias("x"), F.floor(F.col("id") / 300).alias("y"))
+    usage = spots.select(F.lit(1).cast("long").alias("gene"), "spot", F.when(F.col("spot") % 20_000 == 0, (F.col("spot") % 7) / 10).cast("double").alias("value"))
+    got = impute.exact_gp(usage, spots, [80.0], [0.1]).agg(F.count("imputed").alias("n"), F.count_if(F.col("std") == 0).alias("seen"), F.max("std").alias("most")).first()
+    assert (got.n, got.seen) == (n, 5) and 0 < got.most < 1
