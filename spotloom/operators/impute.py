@@ -255,11 +255,54 @@ def variance_parts(usage: DataFrame, spots: DataFrame, lengths: list[float], noi
     return rows.groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, total double, spatial double, random double, share double, r2 double, length double, noise double")
 
 
+def nearest(at: np.ndarray, k: int, most: int = 2_000_000) -> np.ndarray:
+    """Of each of the points (n x 2) the k < n nearest others, the smaller number first of equally near ones: n x k.
+
+    Points meet in rings of grid cells, as in spatial.knn_edges, `most` pairs at a time.
+    """
+    n, low = len(at), at.min(0)
+    wide = at.max(0) - low
+    side = max(float(np.sqrt(max(1.0, wide[0] * wide[1]) * (k + 1) / n)), 1e-9)
+    cell = np.floor((at - low) / side).astype(np.int64)
+    high = int(cell[:, 1].max()) + 1
+    code = cell[:, 0] * high + cell[:, 1]
+    order = np.argsort(code, kind="stable")
+    filed, out, todo, ring, widest = code[order], np.empty((n, k), np.int64), np.arange(n), 1, int(wide.max() / side) + 2
+    while len(todo):
+        steps = np.arange(-ring, ring + 1)
+        left = []
+        for part in np.array_split(todo, max(1, len(todo) * (2 * ring + 1) // most)):
+            column = (cell[part, 0, None] + steps) * high
+            lo = np.searchsorted(filed, column + np.maximum(cell[part, 1, None] - ring, 0))
+            hi = np.searchsorted(filed, column + np.minimum(cell[part, 1, None] + ring, high - 1), side="right")
+            total = np.cumsum((hi - lo).sum(1))
+            for few in np.split(np.arange(len(part)), np.unique(np.searchsorted(total, np.arange(most, total[-1], most)))):
+                if not len(few):
+                    continue
+                length = (hi[few] - lo[few]).ravel()
+                first = np.repeat(lo[few].ravel() - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+                other = order[first + np.arange(len(first))]
+                row = np.repeat(np.arange(len(few)), (hi[few] - lo[few]).sum(1))
+                own = part[few][row]
+                row, other, own = row[other != own], other[other != own], own[other != own]
+                d2 = ((at[own] - at[other]) ** 2).sum(1)
+                sort = np.lexsort((other, d2, row))
+                row, other, d2 = row[sort], other[sort], d2[sort]
+                begin = np.searchsorted(row, np.arange(len(few)))
+                count = np.diff(np.append(begin, len(row)))
+                sure = count >= k
+                sure[sure] = (d2[begin[sure] + k - 1] <= (ring * side) ** 2) | (ring >= widest)
+                out[part[few[sure]]] = other[begin[sure, None] + np.arange(k)]
+                left.append(part[few[~sure]])
+        todo, ring = np.concatenate(left), min(ring * 2, widest)
+    return out
+
+
 def local_noise(usage: DataFrame, spots: DataFrame, k: int = 8, scale: float = 1000.0, least: float = 1e-3) -> DataFrame:
     """(gene, n, noise): (1.4826 x median distance of a value from the median of its k nearest observed values)^2 x scale.
 
     Neighbours are the gene's other observed spots, ties by the smaller id; under four values the variance takes the
-    square's place.  Distances are worked out in blocks of rows.
+    square's place.  A spot is compared with those of the cells around alone.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -268,16 +311,13 @@ def local_noise(usage: DataFrame, spots: DataFrame, k: int = 8, scale: float = 1
         if n < 4:
             noise = float(y.var()) * scale
         else:
-            off = np.empty(n)
-            for i in range(0, n, 256):
-                d2 = ((at[i : i + 256, None] - at[None]) ** 2).sum(2)
-                d2[np.arange(len(d2)), np.arange(i, i + len(d2))] = np.inf
-                near = np.argsort(d2, axis=1, kind="stable")[:, : min(k, n - 1)]
-                off[i : i + 256] = np.abs(y[i : i + 256] - np.median(y[near], axis=1))
+            off = np.abs(y - np.median(y[nearest(at, min(k, n - 1))], axis=1))
             noise = (1.4826 * float(np.median(off))) ** 2 * scale
         return pd.DataFrame([(pdf.gene.iloc[0], n, max(noise, least))], columns=["gene", "n", "noise"])
 
-    return usage.where("value IS NOT NULL").join(spots.select("spot", "x", "y"), "spot").groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, noise double")
+    rows = usage.where("value IS NOT NULL").join(spots.select("spot", "x", "y"), "spot")
+    # few rows but much work: a number of partitions that the planner leaves as it is
+    return rows.repartition(4 * usage.sparkSession.sparkContext.defaultParallelism, "gene").groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, noise double")
 
 
 def loo_residuals(usage: DataFrame, spots: DataFrame, length: float, noise: float = 0.1) -> DataFrame:
