@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -280,3 +281,52 @@ def retest(values: DataFrame, kept: DataFrame, group: str, alpha: float = 0.05)
     j = values.where("value IS NOT NULL").join(kept, ["sample", "spot"]).withColumnRenamed(group, "g")
     t = rank_sum(j, ["level", "gene"]).withColumn("p", normal_p("z"))
     return adjust(t, ["level"]).withColumn("significant", F.col("padj") < alpha).select("level", "gene", "n1", "n2", "u", "p", "padj", "significant")
+
+
+#: spots of a block, all pairs of which with another block's are compared in one task, and genes of a product of matrices
+PAIR_BLOCK, GENES = 1024, 256
+
+
+def pair_correlations(values: DataFrame, by: list[str], least: int) -> DataFrame:
+    """(*by, pairs, flat, total): over a group's pairs of spots with `least` genes in common or more, how many there are,
+    how many of them have no correlation since one side doesn't vary, and the others' sum of Pearson correlations.
+
+    values: (*by, gene, spot, value).  A block of spots is compared with a block at a time by products of matrices, so no row a pair is
+    made; work grows with the square of a group's spots, a task's memory doesn't.
+    """
+    known = values.where("value IS NOT NULL").select(*by, "gene", "spot", F.col("value").cast("double").alias("value"))
+    n = known.groupBy(*by).agg(F.ceil(F.count_distinct("spot") / PAIR_BLOCK).alias("blocks"))
+    one = known.groupBy(*by, "spot").agg(F.collect_list("gene").alias("genes"), F.collect_list("value").alias("values")).join(n, by)
+    one = one.withColumn("own", F.pmod(F.xxhash64("spot"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    two = one.select(*by, "spot", "genes", "values", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[-2:]
+        pdf = pdf.sort_values("spot").reset_index(drop=True)
+        genes, at = np.unique(np.concatenate(pdf.genes.to_list()), return_inverse=True)
+        row, v = np.repeat(np.arange(len(pdf)), pdf.genes.str.len()), np.concatenate(pdf["values"].to_list())
+        left, right = (np.flatnonzero(pdf.own == k) for k in (i, j))
+        sums = np.zeros((6, len(left), len(right)))
+        order = np.argsort(at, kind="stable")
+        row, at, v = row[order], at[order], v[order] - v.mean()  # one shift for all leaves correlations as they are
+        for g in range(0, len(genes), GENES):
+            lo, hi = np.searchsorted(at, (g, g + GENES))
+            x, seen = np.zeros((2, len(pdf), min(GENES, len(genes) - g)))
+            x[row[lo:hi], at[lo:hi] - g], seen[row[lo:hi], at[lo:hi] - g] = v[lo:hi], 1.0
+            a, b, p, q = x[left], x[right], seen[left], seen[right]
+            for k, (s, t) in enumerate(((p, q), (a, q), (p, b), (a * a, q), (p, b * b), (a, b))):
+                sums[k] += s @ t.T
+        n, sx, sy, xx, yy, xy = sums
+        pair = n >= max(least, 1)
+        if i == j:
+            pair &= np.arange(len(left))[:, None] < np.arange(len(right))
+        n, sx, sy, xx, yy, xy = (m[pair] for m in sums)
+        vx, vy, both = xx - sx * sx / n, yy - sy * sy / n, xy - sx * sy / n
+        flat = (vx <= 1e-13 * xx) | (vy <= 1e-13 * yy)
+        r = both[~flat] / np.sqrt(vx[~flat] * vy[~flat])
+        return pd.DataFrame([(*key[:-2], int(pair.sum()), int(flat.sum()), float(r.sum()))], columns=[*by, "pairs", "flat", "total"])
+
+    kinds = ", ".join(f"{b} {values.schema[b].dataType.simpleString()}" for b in by)
+    parts = 4 * values.sparkSession.sparkContext.defaultParallelism
+    # few rows but much work: a number of partitions that the planner leaves as it is
+    return two.repartition(parts, *by, "i", "j").groupBy(*by, "i", "j").applyInPandas(compare, f"{kinds}, pairs bigint, flat bigint, total double").where("pairs > 0")

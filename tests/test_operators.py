@@ -219,3 +219,50 @@ def test_delaunay_forgets_triangles_that_are_done():
     assert time.process_time() - began < 10
     assert 2 * 4000 - 2 - 120 <= len(tri) <= 2 * 4000 - 5
     assert len({v for t in tri for v in t}) == 4000
+
+
+def test_many_pairs_of_few_rows_are_dealt_over_tasks(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    at = [(i, int(x), int(y)) for i, (x, y) in enumerate(r.integers(0, 40, (300, 2)))]
+    spots = spark.createDataFrame(at, "spot long, x long, y long").coalesce(1)
+    monkeypatch.setattr(spatial, "PAIRS", 1000, raising=False)
+    e = spatial.radius_edges(spots, 30).withColumn("task", F.spark_partition_id()).collect()
+    want = {(i, j, (x - a) ** 2 + (y - b) ** 2) for i, x, y in at for j, a, b in at if i != j and (x - a) ** 2 + (y - b) ** 2 <= 900}
+    assert {(x.src, x.dst, x.d2) for x in e} == want and len(e) == len(want)
+    assert max(sum(x.task == t for x in e) for t in {x.task for x in e}) < len(e) / 4
+    kids = spark.createDataFrame([(i, i % 2) for i in range(300)], "spot long, parent long").coalesce(1)
+    lifted = spatial.lift_graph(spark.createDataFrame([(0, 1, 3.0)], "a long, b long, w double"), kids).withColumn("task", F.spark_partition_id()).collect()
+    assert {(x.i, x.j, round(x.w, 9)) for x in lifted} == {(i, j, round(3 / 150, 9)) for i in range(0, 300, 2) for j in range(1, 300, 2)} and len(lifted) == 150 * 150
+    assert max(sum(x.task == t for x in lifted) for t in {x.task for x in lifted}) < len(lifted) / 4
+
+
+def test_nearest_in_a_plane_looks_around_only():
+    r = np.random.default_rng(3)
+    for side in (3, 40):
+        at = r.integers(0, side, (400, 2)).astype(float)
+        at[-1] += 10_000
+        d = ((at[:, None] - at[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        assert (impute.nearest(at, 8, 500) == np.argsort(d, axis=1, kind="stable")[:, :8]).all()
+
+
+def test_pair_correlations_equal_numpy_without_rows_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PAIR_BLOCK", 8)
+    monkeypatch.setattr(stats, "GENES", 5)
+    r = np.random.default_rng(7)
+    v = {(s, g): float(r.normal()) for s in range(30) for g in range(14) if r.random() < 0.8}
+    v |= {(4, g): 0.5 for g in range(14)}
+    rows = [(s % 2, g, s, x) for (s, g), x in v.items()] + [(0, 1, 99, None)]
+    got = {x.k: x for x in stats.pair_correlations(spark.createDataFrame(rows, "k long, gene long, spot long, value double"), ["k"], 8).groupBy("k").agg(*[F.sum(c).alias(c) for c in ("pairs", "flat", "total")]).collect()}
+    for k in (0, 1):
+        n = flat = total = 0
+        for a in range(k, 30, 2):
+            for b in range(a + 2, 30, 2):
+                both = [g for g in range(14) if (a, g) in v and (b, g) in v]
+                if len(both) >= 8:
+                    n += 1
+                    if 4 in (a, b):
+                        flat += 1
+                    else:
+                        total += np.corrcoef([v[a, g] for g in both], [v[b, g] for g in both])[0, 1]
+        assert (got[k].pairs, got[k].flat) == (n, flat) and got[k].total == pytest.approx(total)
