@@ -430,3 +430,14 @@ def test_parents_pass_their_edges_on(spark):
     linked = {(a // 3, b // 3) for a, b in got if a // 3 != b // 3}
     assert linked <= {(0, 1), (1, 2), (2, 3)} and all(math.isclose(w, want[k]) for k, w in got.items())
     assert {tuple(x) for x in recover.with_parents(own, spots, parents, None, 0.0).collect()} == {(0, 1, 1.0), (0, 3, 0.5)}
+
+
+def test_a_parents_pair_is_not_shuffled_again(spark):
+    spots = spark.createDataFrame([(i, float(10 * (i // 3) + i % 3), 0.0) for i in range(12)], "spot long, x double, y double")
+    parents = spark.createDataFrame([(i, i // 3) for i in range(11)], "spot long, parent long")  # spot 11 has none
+    own = spark.createDataFrame([(0, 1, 1.0), (3, 0, 0.5), (0, 9, 0.25), (2, 11, 0.125), (3, 0, 0.5)], "a long, b long, w double")
+    out = recover.with_parents(own, spots, parents, None, 0.4, 1)
+    got = {(x.a, x.b): x.w for x in out.collect()}
+    assert math.isclose(got[0, 1], 0.6) and math.isclose(got[0, 9], 0.15) and math.isclose(got[2, 11], 0.075)
+    assert math.isclose(got[0, 3] - got[1, 3], 0.6) and out.count() == len(got)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
