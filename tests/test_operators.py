@@ -210,7 +210,7 @@ def test_binomial_band(spark):
 
 
 def test_delaunay_forgets_triangles_that_are_done():
-    """4,000 points took 25 seconds or more when each looked at all triangles."""
+    """4,000 points took 17.8 CPU seconds when each looked at all triangles."""
     import time
 
     pts = np.random.default_rng(6).uniform(0, 100, (4000, 2))
