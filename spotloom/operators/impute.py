@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,27 +109,25 @@ def permutation_p(usage: DataFrame, edges: DataFrame, n_perm: int = 99, seed: in
     near = usage.where("value IS NOT NULL").select("gene", F.col("spot"), "value")
     rows = near.join(edges.groupBy(F.col("src").alias("spot")).agg(F.collect_list(F.struct("dst", "w")).alias("near")), "spot")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("spot").reset_index(drop=True)
-        place = {s: i for i, s in enumerate(pdf.spot)}
-        i, j, w = [], [], []
-        for a, ns in enumerate(pdf.near):
-            for e in ns:
-                if e["dst"] in place:
-                    i.append(a)
-                    j.append(place[e["dst"]])
-                    w.append(e["w"])
-        z = pdf.value.to_numpy(float) - pdf.value.mean()
-        i, j, w, ss = np.array(i, int), np.array(j, int), np.array(w), float(z @ z)
-        if len(z) < 3 or ss <= 1e-12 or not len(w):
-            return pd.DataFrame([(pdf.gene.iloc[0], len(z), None, 1.0)], columns=["gene", "n", "morans_i", "p"])
-        value = lambda v: len(v) / w.sum() * float((w * v[i]) @ v[j]) / ss
-        rng = np.random.default_rng([seed, int(pdf.gene.iloc[0])])
-        seen = value(z)
-        more = sum(value(rng.permutation(z)) >= seen for _ in range(n_perm))
-        return pd.DataFrame([(pdf.gene.iloc[0], len(z), seen, (1 + more) / (n_perm + 1))], columns=["gene", "n", "morans_i", "p"])
-
-    return rows.groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, morans_i double, p double")
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("spot")
+        gene, spot, y = t["gene"][0].as_py(), t["spot"].to_numpy(), t["value"].to_numpy().astype(float)
+        # flat columns: an object for each edge takes more than a worker has
+        edge = pc.list_flatten(t["near"])
+        dst, w = pc.struct_field(edge, "dst").to_numpy(), pc.struct_field(edge, "w").to_numpy()
+        i, j = np.repeat(np.arange(len(spot)), pc.list_value_length(t["near"]).to_numpy()), np.searchsorted(spot, dst)
+        known = spot[np.minimum(j, len(spot) - 1)] == dst
+        i, j, w = i[known], j[known], w[known]
+        z = y - y.mean()
+        ss, seen, p = float(z @ z), None, 1.0
+        if len(z) >= 3 and ss > 1e-12 and len(w):
+            value = lambda v: len(v) / w.sum() * float((w * v[i]) @ v[j]) / ss
+            rng = np.random.default_rng([seed, gene])
+            seen = value(z)
+            p = (1 + sum(value(rng.permutation(z)) >= seen for _ in range(n_perm))) / (n_perm + 1)
+        return pa.table({"gene": pa.array([gene], pa.int64()), "n": pa.array([len(z)], pa.int64()), "morans_i": pa.array([seen], pa.float64()), "p": pa.array([p], pa.float64())})
+
+    return rows.groupBy("gene").applyInArrow(fit, "gene bigint, n bigint, morans_i double, p double")
 
 
 def two_batch_correction(values: DataFrame) -> DataFrame:
