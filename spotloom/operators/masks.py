@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.functions.hashed import exponential
+from spotloom.operators.lineage import cut
 
 #: rows that are put in order in one task at most, and slices that a range of keys is cut into
 FEW, SLICES = 4096, 256
@@ -24,14 +25,14 @@ def least(df: DataFrame, key: str, ids: list[str], target: int, weight: str | No
     """
     w = F.col(weight) if weight else F.lit(1)
     lo, before = None, 0
-    part = df
+    part = df = cut(df)  # every pass reads it
     while True:
         n, a, b = part.agg(F.count("*"), F.min(key), F.max(key)).first()
         if n <= FEW or a == b:
             break
         width = (b - a) / SLICES
-        cut = F.least(F.floor((F.col(key) - a) / width), F.lit(SLICES - 1)).cast("int")
-        sums = sorted((r.at, r.w, r.lo, r.hi) for r in part.groupBy(cut.alias("at")).agg(F.sum(w).alias("w"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect())
+        slice_ = F.least(F.floor((F.col(key) - a) / width), F.lit(SLICES - 1)).cast("int")
+        sums = sorted((r.at, r.w, r.lo, r.hi) for r in part.groupBy(slice_.alias("at")).agg(F.sum(w).alias("w"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect())
         for i, (_, more, first, last) in enumerate(sums):
             if before + more >= target or i == len(sums) - 1:
                 break
