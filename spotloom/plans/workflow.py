@@ -1,4 +1,4 @@
-"""The whole analysis as one object: counts, sites and spots in, named tables out, all of them lazy."""
+"""The whole analysis as one object: counts, sites and spots in, named tables out; edges, usage and filled values are written once, the others are lazy."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.operators import cluster, quantify, recover, spatial, stats
+from spotloom.operators.lineage import cut
 
 
 def differential(values: DataFrame, label: str) -> DataFrame:
@@ -62,8 +63,10 @@ class Workflow:
     def run(self) -> dict[str, DataFrame]:
         """edges, usage, imputed, calibration, domains, differential, trends and report."""
         edges = spatial.knn_edges(self.spots, self.k)
-        usage = self._usage(edges)
-        imputed = recover.IMPUTERS[self.imputer](usage, self.spots)
+        # several results read each of these
+        edges = cut(edges)
+        usage = cut(self._usage(edges))
+        imputed = cut(recover.IMPUTERS[self.imputer](usage, self.spots))
         filled = imputed.select("gene", "spot", F.col("imputed").alias("value"))
         domains = cluster.kmeans_domains(filled, self.spots, self.n_domains)
         half, tests = F.pmod(F.xxhash64("gene"), F.lit(2)), None
