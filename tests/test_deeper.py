@@ -3,10 +3,11 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spotloom.operators import batch, impute, likelihood, masks, patterns, recover, spatial, stats, trajectory
+from spotloom.operators import batch, expression, impute, likelihood, masks, patterns, recover, spatial, stats, trajectory
 from spotloom.sources import reads
 
 
@@ -511,3 +512,15 @@ def test_workflow_and_recipes_compute_the_values_once(spark, sf_dir, monkeypatch
     monkeypatch.setattr(cluster, "RECIPES", ("variable_genes", "places"))
     __spark_entry__.queries()["stu09_recipes"](spark, sf_dir).collect()
     assert n.value == made.count()
+
+
+def test_spot_vectors_do_not_search_for_each_gene(spark):
+    """A map of a spot's genes was searched from its start for every gene: quadratic in the genes."""
+    r = np.random.default_rng(5)
+    rows = [(g, s, None if r.random() < 0.2 else float(r.normal())) for g in range(0, 600, 2) for s in range(7) if r.random() < 0.8]
+    got = expression.spot_vectors(spark.createDataFrame(rows, "gene long, spot long, value double"))
+    assert "map_from_entries" not in got._jdf.queryExecution().toString()
+    wide = pd.DataFrame(rows, columns=["gene", "spot", "value"]).pivot(index="spot", columns="gene", values="value").astype(float)
+    want = ((wide - wide.mean()) / wide.std(ddof=0).where(lambda x: x > 0)).fillna(0.0)
+    for row in got.collect():
+        assert np.allclose(row.features.toArray(), want.loc[row.spot].to_numpy(), atol=1e-9)
