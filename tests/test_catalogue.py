@@ -50,3 +50,13 @@ MAY_BE_EMPTY = {"spa11_selected"}
 def test_gives_rows(spark, sf_dir, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
     assert df.columns and (df.count() > 0 or name in MAY_BE_EMPTY)
+
+
+def test_tasks_of_dealt_counts_follow_the_lines(spark, sf_dir):
+    """Each task adds up so many lines, so that its memory doesn't grow with the table."""
+    from spotloom.plans.views import Views
+
+    v = Views(spark, sf_dir)
+    got, tasks = v.dealt_counts(lines=200)
+    assert tasks >= v.table("lineitem").count() / 200 and got.rdd.getNumPartitions() == tasks
+    assert sorted(got.collect()) == sorted(v.counts.collect())
