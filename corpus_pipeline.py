@@ -24,7 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts alike (shingle sets of similarity LEAST or more, and chains of such) the row of the smallest id stays.  Rows without an id stay."""
+    """Of texts alike (shingle sets of similarity LEAST or more, and chains of such) the row of the smallest id stays.  Rows without an id stay.
+
+    SimHash by anchors finds the first of them, each checked by whole sets; the rest, which fingerprints miss, is found by shingles.
+    """
     return similar.one_of_each(docs, n=PIPELINE_SHINGLE)
 
 

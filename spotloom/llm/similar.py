@@ -1,6 +1,8 @@
 """All pairs of texts whose shingle sets have a Jaccard similarity of `least` or more, and their components.
 
-Texts with the same set are one item from the start.  Shingles are put in one order, those frequent in a
+Texts with the same set are one item from the start.  Fingerprints that SimHash links by anchors (simhash.links) are
+found first, and each such pair of items is compared by whole sets.  The rest, what fingerprints miss, is found by
+shingles: they are put in one order, those frequent in a
 sample last; sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each, so items that
 are alike meet there, and nothing is lost whatever the order (it only decides how many unlike items meet).
 Of two items that meet, sizes, the places of the shingle, the parities of the numbers of shingles by cell
@@ -9,7 +11,7 @@ the similarity; what passes is compared by whole sets.
 
 Where m items meet there are m^2 pairs, so links are found in rounds.  First each item is compared with one
 other at each shingle, in an order of the shingle's own: in TURNS turns, each for its part of the shingles and
-without pairs that are of one component by then.  Then, where items of different components still meet, those
+without pairs that are of one component by then, of fingerprints' links or an earlier turn's.  Then, where items of different components still meet, those
 outside the largest component are compared with all of other components.  What is left out would join items
 that are joined already.
 
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spotloom.llm import simhash
 from spotloom.llm.common import Scratch, forget, ship, slices
 from spotloom.llm.components import components
 from spotloom.llm.simhash import HASH_SEED, shingle_hashes
@@ -44,7 +47,7 @@ CELLS = 512
 STEP = 512
 TURNS = 2
 
-ITEMS = [T.StructField("__item", T.LongType()), T.StructField("__size", T.IntegerType()), T.StructField("__prefix", T.ArrayType(T.LongType())), T.StructField("__bins", T.BinaryType()), T.StructField("__odd", T.ArrayType(T.LongType()))]
+ITEMS = [T.StructField("__item", T.LongType()), T.StructField("__size", T.IntegerType()), T.StructField("__prefix", T.ArrayType(T.LongType())), T.StructField("__bins", T.BinaryType()), T.StructField("__odd", T.ArrayType(T.LongType())), T.StructField("__fp", T.LongType())]
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -95,7 +98,7 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], least: floa
 
 
 def items(docs: DataFrame, text: str, n: int, least: float) -> DataFrame:
-    """docs with __item (a hash of the shingle set), __size, __prefix, __bins (counts of shingles by the top bits) and __odd (a bit for each cell with an odd number)."""
+    """docs with __item (a hash of the shingle set), __size, __prefix, __bins (counts of shingles by the top bits), __odd (a bit for each cell with an odd number) and __fp (the SimHash)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, n))
     at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, *ITEMS])
@@ -106,15 +109,17 @@ def items(docs: DataFrame, text: str, n: int, least: float) -> DataFrame:
         forget()
         arrow, often = to_arrow_schema(schema), sent.value
         for b in (part for batch in batches for part in slices(batch, at)):
-            item, size, first, bins, odd = [], [], [], [], []
+            item, size, first, bins, odd, fp = [], [], [], [], [], []
             for data in b.column(at).cast(pa.binary()).to_pylist():
-                h = np.unique(shingle_hashes(data, n))
+                h = shingle_hashes(data, n)
+                fp.append(simhash.fingerprint(h))
+                h = np.unique(h)
                 item.append(xxhash.xxh64_intdigest(h.tobytes(), HASH_SEED))
                 size.append(len(h))
                 first.append(prefix(h, often, least))
                 bins.append(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BINS).astype("<u4").tobytes())
                 odd.append(np.packbits((np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).view(np.uint64))
-            new = [pa.array(np.array(item, np.uint64).view(np.int64)), pa.array(size, type=pa.int32()), lists(first), pa.array(bins, type=pa.binary()), lists(odd)]
+            new = [pa.array(np.array(item, np.uint64).view(np.int64)), pa.array(size, type=pa.int32()), lists(first), pa.array(bins, type=pa.binary()), lists(odd), pa.array(fp, type=pa.int64())]
             cols = [c.cast(f.type) for c, f in zip([*b.columns, *new], arrow)]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
@@ -196,22 +201,34 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def by_fingerprint(rows: DataFrame, first: DataFrame, text: str, n: int, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of items that SimHash links, one item for a fingerprint and the others of its own with it, and those of that similarity."""
+    # written, so that the join of a hot fingerprint stands alone and the planner can split it
+    fps = scratch.save(first.groupBy(F.col("__fp").alias("fp")).agg(F.min("__item").alias("item")))
+    at = lambda s: fps.select(F.col("fp").alias(s), F.col("item").alias(f"i{s}"))
+    linked = simhash.links(fps, scratch).join(at("a"), "a").join(at("b"), "b").select("ia", "ib")
+    same = first.select(F.col("__fp").alias("a"), F.col("__item").alias("ib")).join(at("a"), "a").where("ia <> ib").select("ia", "ib")
+    pairs = scratch.save(linked.union(same).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct())
+    return pairs, verified(pairs, rows, first, text, n, least, scratch)
+
+
 def links(rows: DataFrame, text: str, n: int, least: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different items of that similarity: the same components as all such pairs."""
-    first = rows.groupBy("__item").agg(F.min("__row").alias("__row"), F.first("__size").alias("__size"), F.first("__prefix").alias("__prefix"), F.first("__odd").alias("__odd"))
+    first = rows.groupBy("__item").agg(F.min("__row").alias("__row"), F.first("__size").alias("__size"), F.first("__prefix").alias("__prefix"), F.first("__odd").alias("__odd"), F.min("__fp").alias("__fp"))
     first = scratch.save(first)
+    tried, found = by_fingerprint(rows, first, text, n, least, scratch)
+    comp = scratch.save(components(found, scratch))
     met = first.select("__item", "__size", F.posexplode("__prefix").alias("at", "h"))
     met = met.select("h", "__item", F.struct(F.col("__item").alias("item"), F.col("__size").alias("size"), (F.col("__size") - F.col("at")).alias("rest")).alias("x"))
     turn = Window.partitionBy("h").orderBy(F.xxhash64("__item", "h"), "__item")
     met = met.select("h", "x", F.lag("x").over(turn).alias("y"), F.lead("__item").over(turn).alias("z"))
     met = scratch.save(met.where("y is not null or z is not null").drop("z"))
     beside = met.where("y is not null").where(_possible("x", "y", least))
-    tried = found = comp = None
     for turn in range(TURNS):
         pairs = beside.where(F.pmod("h", F.lit(TURNS)) == turn).select(*_pair("x", "y")).distinct()
-        pairs = scratch.save(_apart(pairs, comp) if turn else pairs)
+        pairs = scratch.save(_apart(pairs, comp))
         got = verified(pairs, rows, first, text, n, least, scratch)
-        tried, found = (tried.union(pairs), found.union(got)) if turn else (pairs, got)
+        tried, found = tried.union(pairs), found.union(got)
         comp = scratch.save(components(found, scratch))
     now = scratch.save(met.select("h", "x", F.col("x.item").alias("node")).join(comp, "node", "left").select("h", "x", F.coalesce("root", "node").alias("root")))
     scratch.drop(met)

@@ -81,3 +81,25 @@ def test_parities_let_all_alike_pass(spark):
     pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
     alike = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert alike and alike <= near and len(near) < len(pairs) / 2
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """The pipeline's copies come by SimHash and its anchors, and only pairs alike by their whole sets are links."""
+    from spotloom.llm import simhash
+    from spotloom.llm.common import Scratch
+
+    calls, given, links = [], [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, scratch: calls.append(fps.count()) or links(fps, scratch))
+    real = S.by_fingerprint
+    monkeypatch.setattr(S, "by_fingerprint", lambda *a: given.append(real(*a)) or given[-1])
+    r = random.Random(8)
+    long = [[f"w{r.randint(0, 10**6)}" for _ in range(600)] for _ in range(6)]
+    near = [" ".join(w[:300] + ["edit"] + w[301:]) for w in long]
+    texts = [*(" ".join(w) for w in long), *near, "a b c d e f", "a b c d e f a b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((x.doc_id, x.text) for x in C.near_duplicates(spark, docs, "").collect()) == kept(list(enumerate(texts)))
+    (pairs, found), = given
+    assert calls and 0 < found.count() <= pairs.count()
+    name = {x["__item"]: shingles(x.text) for x in S.items(docs, "text", 5, 0.8).collect()}
+    for x in found.collect():
+        assert len(name[x.a] & name[x.b]) >= 0.8 * len(name[x.a] | name[x.b])
