@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.operators import spatial
-from spotloom.operators.lineage import cut, drop
+from spotloom.operators.lineage import cut, cut_and_count, drop
 
 
 #: a graph of no more entries (24 bytes each) is smoothed by the driver
@@ -84,17 +85,19 @@ def _series(strength: float, error: float) -> list[float]:
     return [float(x) for x in series.convert(kind=np.polynomial.Polynomial).coef]
 
 
-def smooth(factors: DataFrame, steps: DataFrame, strength: float, k: int, error: float = 1e-5, driver_entries: int = DRIVER_ENTRIES) -> DataFrame:
+def smooth(factors: DataFrame, steps: DataFrame, strength: float, k: int, error: float = 1e-5, driver_entries: int = DRIVER_ENTRIES, here: pd.DataFrame | None = None) -> DataFrame:
     """(I + strength L)^-1 on every factor column, L = I + S the normalised Laplacian, S given as entries (i, j, v).
 
     The inverse is a polynomial in S whose degree follows from the strength and the error alone.  By Horner's rule
     each step is one join and one aggregate; a graph of at most `driver_entries` entries is worked out by the driver,
-    with the same polynomial.  Isolated spots keep their factors.
+    with the same polynomial, from `here`, all entries, if they are there already.  Isolated spots keep their factors.
     """
     c, names = _series(strength, error), _names(k)
-    linked = steps.select(F.col("i").alias("id")).distinct()
-    if len(few := steps.limit(driver_entries + 1).toPandas()) <= driver_entries:
+    if here is not None:
+        return _smooth_here(factors, here, c, names)
+    if driver_entries and len(few := _entries(steps.limit(driver_entries + 1))) <= driver_entries:
         return _smooth_here(factors, few, c, names)
+    linked = steps.select(F.col("i").alias("id")).distinct()
     b, alone = factors.join(linked, "id", "left_semi"), factors.join(linked, "id", "left_anti")
     part = lambda x: b.select("id", *[(F.col(n) * x).alias(n) for n in names])
     y = part(c[-1])
@@ -104,18 +107,22 @@ def smooth(factors: DataFrame, steps: DataFrame, strength: float, k: int, error:
     return y.union(alone)
 
 
+def _entries(steps: DataFrame) -> pd.DataFrame:
+    return steps.toArrow().to_pandas()
+
+
 def _smooth_here(factors: DataFrame, steps: pd.DataFrame, c: list[float], names: list[str]) -> DataFrame:
     ids = np.unique(steps.i.to_numpy(np.int64))
     spark = factors.sparkSession
-    linked = spark.createDataFrame(pd.DataFrame({"id": ids}), "id bigint")
-    own = factors.join(F.broadcast(linked), "id", "left_semi").toPandas()
+    linked = spark.createDataFrame(pa.table({"id": ids}))
+    own = factors.join(F.broadcast(linked), "id", "left_semi").toArrow().to_pandas()
     b = np.zeros((len(ids), len(names)))
     b[np.searchsorted(ids, own["id"].to_numpy(np.int64))] = own[names].to_numpy(float)
     i, j, v = np.searchsorted(ids, steps.i.to_numpy(np.int64)), np.searchsorted(ids, steps.j.to_numpy(np.int64)), steps.v.to_numpy(float)
     y = c[-1] * b
     for x in reversed(c[:-1]):
         y = x * b + np.stack([np.bincount(i, v * y[j, f], len(ids)) for f in range(len(names))], axis=1)
-    done = spark.createDataFrame(pd.DataFrame({"id": ids, **{n: y[:, f] for f, n in enumerate(names)}}), "id bigint, " + ", ".join(f"{n} double" for n in names))
+    done = spark.createDataFrame(pa.table({"id": ids, **{n: y[:, f] for f, n in enumerate(names)}}))
     return done.union(factors.join(F.broadcast(linked), "id", "left_anti").select("id", *names))
 
 
@@ -126,12 +133,15 @@ def factorize(usage: DataFrame, graph: DataFrame | None = None, rank: int = 8, s
     Rounds end when the weighted root mean square error changes by less than `tol` of itself, or at `max_iter`.
     Observed values stay.  A gene without any value gives 0, and so does a spot without any value or neighbour.
     """
+    usage = cut(usage)  # read for the sums and for the result
     seen = usage.where("value IS NOT NULL")
     seen = seen.select("gene", "spot", F.col("value").alias("v"), (F.coalesce(F.col(weight), F.lit(0.0)) if weight else F.lit(1.0)).alias("weight"))
     data = cut(seen.withColumn("c", F.col("v") - F.avg("v").over(Window.partitionBy("gene"))))
-    steps = None
+    steps = here = None
     if graph is not None and strength > 0:
-        steps = cut(spatial.laplacian(graph, normalized=True).where("i <> j"))
+        steps, got = cut_and_count(spatial.laplacian(graph, normalized=True).where("i <> j"), n=F.count("*"))
+        # once: every round smooths by the same entries
+        here = _entries(steps) if got["n"] <= DRIVER_ENTRIES else None
     z, genes, last = cut(_first_factors(data, rank, 5, seed)), None, math.inf
     f = _names(rank)
     for _ in range(max_iter):
@@ -143,7 +153,7 @@ def factorize(usage: DataFrame, graph: DataFrame | None = None, rank: int = 8, s
             z = cut(raw)
         else:
             rough = cut(raw)
-            z = cut(smooth(rough, steps, strength, rank))
+            z = cut(smooth(rough, steps, strength, rank, driver_entries=0, here=here))
             drop(rough)
         square = sum((1 if i == j else 2) * F.col(f"s{i}_{j}") * F.col(f[i]) * F.col(f[j]) for i in range(rank) for j in range(i, rank))
         off = F.col("q") - 2 * sum(F.col(f"t{i}") * F.col(f[i]) for i in range(rank)) + square

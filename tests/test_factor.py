@@ -58,3 +58,17 @@ def test_factors_equal_a_dense_version(spark):
 def test_factors_of_nothing_observed(spark):
     usage = spark.createDataFrame([(1, 1, None), (1, 2, None)], "gene long, spot long, value double")
     assert [r.imputed for r in factor.factorize(usage, rank=2, max_iter=2).collect()] == [0.0, 0.0]
+
+
+def test_entries_reach_the_driver_once(spark, monkeypatch):
+    """Every round collected the graph anew."""
+    calls, real = [], factor._entries
+    monkeypatch.setattr(factor, "_entries", lambda steps: calls.append(1) or real(steps))
+    rng = np.random.default_rng(6)
+    usage = spark.createDataFrame([(g, s, float(rng.normal())) for g in range(6) for s in range(8)], "gene long, spot long, value double")
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(7)], "a long, b long, w double")
+    first = {(r.gene, r.spot): r.imputed for r in factor.factorize(usage.where("gene < 5 or spot < 5"), graph, rank=2, max_iter=3, tol=0.0).collect()}
+    assert len(calls) == 1 and len(first) == 45
+    monkeypatch.setattr(factor, "DRIVER_ENTRIES", 0)  # by joins: the same, and nothing is collected
+    again = {(r.gene, r.spot): r.imputed for r in factor.factorize(usage.where("gene < 5 or spot < 5"), graph, rank=2, max_iter=3, tol=0.0).collect()}
+    assert len(calls) == 1 and all(abs(first[k] - again[k]) < 1e-6 for k in first)
