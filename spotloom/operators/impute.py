@@ -65,7 +65,8 @@ def sparse_gp(usage: DataFrame, spots: DataFrame, inducing: np.ndarray, length:
 def likelihood_ratio(usage: DataFrame, spots: DataFrame, lengths: list[float]) -> DataFrame:
     """White noise against C k(x) + noise, by gene: the likelihood's best over a grid of lengths and variance shares, p = exp(-LR / 2).
 
-    A group is a gene and a length.  A factorisation for each share is cheaper than one decomposition for all, and holds three matrices at a time.
+    A group is a gene and a length.  Where the places span few lengths, work and memory are linear in the spots (see likelihood.Places);
+    elsewhere a factorisation for each share is cheaper than one decomposition for all, and holds four matrices at a time.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,24 +76,11 @@ def likelihood_ratio(usage: DataFrame, spots: DataFrame, lengths: list[float]) -
         lr, share, best_l = 0.0, 0.0, None
         if n >= 10 and y.std() > 1e-12:
             y = (y - y.mean()) / y.std()
-            at = pdf[["x", "y"]].to_numpy(float).T
+            at = pdf[["x", "y"]].to_numpy(float)
             null = -0.5 * n * (np.log(2 * np.pi) + 1)
-            c = np.zeros((n, n))
-            for i in range(0, n, 256):
-                for a in at:
-                    c[i : i + 256] -= (a[i : i + 256, None] - a) ** 2
-            c /= 2 * lengths[k] ** 2
-            np.exp(c, out=c)
-            before = 1.0
+            process = likelihood.Places(at, y)
             for s in (0.1, 0.25, 0.5, 0.75, 0.9):
-                c *= s / before
-                before = s
-                np.fill_diagonal(c, 1.0)  # s from the kernel, the rest from the noise
-                low = np.linalg.cholesky(c)
-                z = likelihood.forward(low, y)
-                scale = float(z @ z) / n
-                ll = -0.5 * (n * np.log(2 * np.pi * scale) + 2 * np.log(np.diag(low)).sum() + n)
-                del low
+                ll = process.value(lengths[k], (1 - s) / s)  # s from the kernel, the rest from the noise
                 if 2 * (ll - null) > lr:
                     lr, share, best_l = 2 * (ll - null), s, lengths[k]
         return pd.DataFrame([(pdf.gene.iloc[0], -k, n, lr, float(np.exp(-lr / 2)), share, best_l)], columns=["gene", "turn", "n", "lr", "p", "share", "length"])
@@ -231,7 +219,8 @@ def variance_parts(usage: DataFrame, spots: DataFrame, lengths: list[float], noi
 
     Values are centred; length and noise of greatest likelihood, given the best amplitude, are sought from the best of the grid.
     spatial is the variance of the fitted values, random the mean squared residual.  Genes of fewer than `least`
-    values give nulls, and so does the share without variance; r2 is then 0.
+    values give nulls, and so does the share without variance; r2 is then 0.  Work and memory are linear in the spots
+    where they span few lengths (see likelihood.Places); a search that comes to short lengths makes the matrix of all pairs.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,16 +231,16 @@ def variance_parts(usage: DataFrame, spots: DataFrame, lengths: list[float], noi
             t, total = y - y.mean(), float(y.var())
             row[2:7] = [total, 0.0, total, None, 0.0]
             if total > 1e-12:
-                at = pdf[["x", "y"]].to_numpy(float)
-                d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
-                _, ell, noise = likelihood.search(d, t, lengths, noises)
-                k = likelihood.shape(d, ell, None)[0]
-                fitted = k @ np.linalg.solve(k + noise * np.eye(n), t)
+                process = likelihood.Places(pdf[["x", "y"]].to_numpy(float), t)
+                _, ell, noise = likelihood.climb(process, lengths, noises)
+                fitted = process.fitted(ell, noise)
                 rest, own = float(((t - fitted) ** 2).mean()), float(fitted.var())
                 row[2:] = [total, own, rest, own / total, 1 - rest / total, float(ell), float(noise)]
         return pd.DataFrame([row], columns=["gene", "n", "total", "spatial", "random", "share", "r2", "length", "noise"])
 
     rows = usage.where("value IS NOT NULL").join(spots.select("spot", "x", "y"), "spot")
+    # few rows but much work: a number of partitions that the planner leaves as it is
+    rows = rows.repartition(4 * usage.sparkSession.sparkContext.defaultParallelism, "gene")
     return rows.groupBy("gene").applyInPandas(fit, "gene bigint, n bigint, total double, spatial double, random double, share double, r2 double, length double, noise double")
 
 

@@ -524,3 +524,29 @@ def test_spot_vectors_do_not_search_for_each_gene(spark):
     want = ((wide - wide.mean()) / wide.std(ddof=0).where(lambda x: x > 0)).fillna(0.0)
     for row in got.collect():
         assert np.allclose(row.features.toArray(), want.loc[row.spot].to_numpy(), atol=1e-9)
+
+
+def test_likelihood_by_columns_equals_that_of_all_pairs():
+    r = np.random.default_rng(7)
+    at, y = r.uniform(0, 900, (700, 2)), r.normal(size=700)
+    y -= y.mean()
+    few, all_ = likelihood.Places(at, y), likelihood.Pairs(likelihood.apart(at, at), y)
+    for ell, noise, dense in ((30.0, 0.5, True), (200.0, 0.01, False), (500.0, 2.0, False), (30000.0, 100.0, False)):
+        assert (few._sums(ell) is None) == dense
+        assert few.value(ell, noise) == pytest.approx(all_.value(ell, noise), abs=1e-8)
+        assert np.allclose(few.slope(ell, noise), all_.slope(ell, noise), rtol=1e-6, atol=1e-7)
+        assert np.allclose(few.fitted(ell, noise), all_.fitted(ell, noise), atol=1e-9)
+
+
+def test_likelihood_of_many_spots_without_the_matrix_of_all_pairs():
+    import tracemalloc
+
+    at = np.random.default_rng(2).uniform(0, 1000, (12000, 2))
+    y = np.sin(at[:, 0] / 150) + np.random.default_rng(3).normal(size=12000)
+    tracemalloc.start()
+    try:
+        process = likelihood.Places(at, y - y.mean())
+        assert np.isfinite([process.value(150.0, 1.0), *process.slope(150.0, 1.0), *process.fitted(150.0, 1.0)]).all()
+        assert tracemalloc.get_traced_memory()[1] < 2e8  # one matrix of all pairs has 1.2e9
+    finally:
+        tracemalloc.stop()
